@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from jobweave.catalog.views import POSTINGS_SQL
+from jobweave.catalog.views import LATIN, POSTINGS_SQL
+from jobweave.functions.text import WHITE
+from jobweave.operators import prompts
 
 ORACLES: dict[str, str] = {}
 
@@ -186,3 +188,224 @@ SELECT industry_group, skill, n_samples, n_with_skill, n_without_skill, round(me
        round(coarse_match_premium, 4) AS coarse_match_premium, round(pure_skill_value, 4) AS pure_skill_value,
        matched_bucket_count, 'median_plus_coarse_matching' AS method
 FROM kept WHERE usable >= 3"""
+
+# --- requirement text -----------------------------------------------------------
+
+W = f"'{WHITE}'"
+WB = f"'{WHITE}-–—·•【】[]'"
+
+
+def _strip(x: str) -> str:
+    return f"trim({x}, {W})"
+
+
+def _clean(x: str) -> str:
+    return _strip(f"ltrim(trim({x}, {WB}), '：:')")
+
+
+def _after(x: str, pattern: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '{pattern}') THEN regexp_extract({x}, '(?s)\\A.*?(?:{pattern})(.*)\\z', {2 if '(' in pattern else 1}) END"
+
+
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+IGNORE = "(?i)" + "|".join(LATIN.ignore)
+
+TEXTS = f"""WITH norm AS (
+  SELECT doc_id, lang, text AS raw, {_strip("replace(replace(coalesce(text, ''), chr(13), chr(10)), chr(12288), ' ')")} AS body FROM documents
+)"""
+
+
+def _cut(source: str, column: str) -> str:
+    return f""",
+broken AS (
+  SELECT doc_id, regexp_replace(regexp_replace({column}, '([。；;])', '\\1' || chr(10), 'g'),
+         '(^|[^0-9])([：:])', '\\1\\2' || chr(10), 'g') AS b FROM {source}
+),
+lines AS (
+  SELECT doc_id, [{_clean("x")} FOR x IN regexp_split_to_array(b, '{LINE_BREAK}')
+         IF {_clean("x")} <> '' AND NOT regexp_matches({_clean("x")}, '{LATIN.heading}')] AS ls FROM broken
+),
+parts AS (
+  SELECT doc_id, flatten([[{_clean("y")} FOR y IN regexp_split_to_array(x, '[；;，,]+') IF {_clean("y")} <> ''] FOR x IN ls]) AS ps FROM lines
+),
+seg AS (SELECT doc_id, unnest(ps) AS segment, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS pos FROM parts),
+labelled AS (
+  SELECT *, CASE WHEN c = '' OR regexp_matches(c, '{IGNORE}') THEN 'ignore'
+    WHEN regexp_matches(c, '{LATIN.education}') THEN 'other'
+    WHEN regexp_matches(c, '{LATIN.age}') AND NOT regexp_matches(c, '{LATIN.age_blocked_by}') THEN 'other'
+    WHEN regexp_matches(c, '{LATIN.experience}') THEN 'experience'
+    WHEN regexp_matches(c, '{LATIN.skill}') THEN 'skill' ELSE 'other' END AS label
+  FROM (SELECT *, {_clean("segment")} AS c FROM seg)
+)"""
+
+
+SECTION = rf""",
+tailed AS (
+  SELECT doc_id, body, coalesce({_after("body", LATIN.header)}, CASE WHEN regexp_matches(body, '(^|\n)\s*Re[:：]?')
+    THEN regexp_extract(body, '(?s)\A(?:Re[:：]?|.*?\n\s*Re[:：]?)(.*)\z', 1) END) AS tail FROM norm
+),
+section AS (
+  SELECT doc_id, CASE WHEN tail IS NULL THEN body WHEN regexp_matches(tail, '{LATIN.end}')
+    THEN regexp_extract(tail, '(?s)\A(.*?){LATIN.end}', 1) ELSE tail END AS section FROM tailed
+)"""
+
+ORACLES["normalized_text"] = TEXTS + "SELECT doc_id, body AS text FROM norm"
+ORACLES["one_line_text"] = f"""
+SELECT doc_id, {_strip("replace(replace(coalesce(text, ''), chr(10), '；'), chr(13), '；')")} AS text FROM documents"""
+ORACLES["requirement_section"] = TEXTS + SECTION + "SELECT doc_id, section FROM section"
+ORACLES["cleaned_lines"] = TEXTS + _cut("norm", "body") + """
+SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS pos, unnest(ls) AS line FROM lines"""
+ORACLES["line_segments"] = TEXTS + _cut("norm", "body") + "SELECT doc_id, pos, segment FROM seg"
+ORACLES["ignored_segments"] = TEXTS + _cut("norm", "body") + f"""
+SELECT doc_id, pos, segment FROM seg WHERE regexp_matches(segment, '{IGNORE}')"""
+ORACLES["classified_segments"] = TEXTS + _cut("norm", "body") + "SELECT doc_id, pos, label FROM labelled"
+ORACLES["other_requirement"] = TEXTS + SECTION + _cut("section", _strip("section")) + """,
+kept AS (SELECT doc_id, string_agg(segment, '；' ORDER BY pos) AS o FROM labelled WHERE label = 'other' GROUP BY doc_id)
+SELECT n.doc_id, coalesce(o, '') AS other_requirement FROM norm n LEFT JOIN kept k ON k.doc_id = n.doc_id"""
+ORACLES["frequent_phrases"] = TEXTS + f""",
+pieces AS (SELECT lang, unnest(regexp_split_to_array(raw, '[；;。.!?,，、\n\r]')) AS x FROM norm),
+counted AS (
+  SELECT lang, {_strip("x")} AS phrase, count(*) AS n FROM pieces WHERE length({_strip("x")}) >= 10 GROUP BY 1, 2
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, phrase) AS INTEGER) AS rank FROM counted)
+SELECT lang, phrase, n, rank FROM ranked WHERE rank <= 5"""
+
+# --- cluster profiles -----------------------------------------------------------
+
+CLUSTERED = PREP + """,
+big AS (SELECT industry_group, count(*) AS n_jobs FROM prep WHERE industry_group IS NOT NULL GROUP BY 1 HAVING count(*) >= 10),
+clu AS (
+  SELECT p.*, CASE WHEN exp_numeric < 0.2 THEN 1 WHEN exp_numeric < 0.5 THEN 2 ELSE 3 END AS cluster
+  FROM prep p SEMI JOIN big USING (industry_group)
+),
+clu_size AS (
+  SELECT industry_group, cluster, count(*) AS job_count,
+         round_even(100e0 * count(*) / sum(count(*)) OVER (PARTITION BY industry_group), 2) AS cluster_percentage_in_industry
+  FROM clu GROUP BY 1, 2
+),
+title_n AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY industry_group, cluster ORDER BY n DESC, job_title) AS INTEGER) AS rank
+  FROM (SELECT industry_group, cluster, job_title, count(*) AS n FROM clu WHERE job_title IS NOT NULL GROUP BY ALL)
+),
+skill_n AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY industry_group, cluster ORDER BY n DESC, skill) AS INTEGER) AS rank
+  FROM (SELECT industry_group, cluster, skill, count(*) AS n
+        FROM (SELECT industry_group, cluster, unnest(skills_list) AS skill FROM clu) GROUP BY ALL)
+),
+exp_n AS (
+  SELECT industry_group, cluster, arg_min(v, (-n, v)) AS experience_required
+  FROM (SELECT industry_group, cluster, coalesce(experience_required, '未知') AS v, count(*) AS n FROM clu GROUP BY ALL) GROUP BY 1, 2
+),
+edu_n AS (
+  SELECT industry_group, cluster, arg_min(v, (-n, v)) AS education_required
+  FROM (SELECT industry_group, cluster, coalesce(education_required, '未知') AS v, count(*) AS n FROM clu GROUP BY ALL) GROUP BY 1, 2
+),
+pay AS (
+  SELECT industry_group, cluster, round_even(avg(salary_min_norm), 2) AS salary_min_avg, round_even(avg(salary_max_norm), 2) AS salary_max_avg
+  FROM clu GROUP BY 1, 2
+),
+phrase_n AS (
+  SELECT *, row_number() OVER (PARTITION BY industry_group, cluster ORDER BY n DESC, phrase) AS rank
+  FROM (SELECT industry_group, cluster, phrase, count(*) AS n
+        FROM (SELECT industry_group, cluster, unnest(string_split(other_requirement, '；')) AS phrase FROM clu)
+        WHERE length(phrase) >= 10 GROUP BY ALL)
+),
+drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY industry_group, cluster ORDER BY md5('42:' || CAST(job_id AS VARCHAR)), job_id) AS rank
+  FROM clu WHERE other_requirement IS NOT NULL
+),
+titles AS (SELECT industry_group, cluster, string_agg(job_title, '; ' ORDER BY rank) AS top_titles, string_agg(job_title, ', ' ORDER BY rank) AS t2
+           FROM title_n WHERE rank <= 5 GROUP BY 1, 2),
+cores AS (SELECT industry_group, cluster, string_agg(skill, '; ' ORDER BY rank) AS core_skills, string_agg(skill, ', ' ORDER BY rank) AS s2
+          FROM skill_n WHERE rank <= 10 GROUP BY 1, 2),
+reqs AS (SELECT industry_group, cluster, string_agg(phrase, '；' ORDER BY rank) AS other_requirements FROM phrase_n WHERE rank <= 5 GROUP BY 1, 2),
+prof AS (
+  SELECT industry_group, cluster AS cluster_id, 'Cluster ' || cluster || ' (' || industry_group || ')' AS profile_name,
+    'profile_name_prompt_' || translate(industry_group, '/ ', '__') || '_' || cluster || '.txt' AS profile_name_prompt_file,
+    job_count, cluster_percentage_in_industry, coalesce(top_titles, '') AS top_titles, coalesce(core_skills, '') AS core_skills,
+    experience_required AS experience, coalesce(other_requirements, '') AS other_requirements, education_required AS education,
+    salary_min_avg, salary_max_avg, 'prompt_' || translate(industry_group, '/ ', '__') || '_' || cluster || '.txt' AS llm_prompt_file
+  FROM clu_size LEFT JOIN titles USING (industry_group, cluster) LEFT JOIN cores USING (industry_group, cluster)
+  LEFT JOIN exp_n USING (industry_group, cluster) LEFT JOIN edu_n USING (industry_group, cluster)
+  LEFT JOIN pay USING (industry_group, cluster) LEFT JOIN reqs USING (industry_group, cluster)
+)"""
+
+
+def _sql_text(*lines: str) -> str:
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in lines)
+
+
+PROMPTS = CLUSTERED + f""",
+texts AS (
+  SELECT industry_group, cluster, string_agg(CAST(rank AS VARCHAR) || '. ' || {_strip("replace(replace(other_requirement, chr(10), '；'), chr(13), '；')")},
+         chr(10) ORDER BY rank) AS t FROM drawn WHERE rank <= 30 GROUP BY 1, 2
+),
+ask AS (
+  SELECT industry_group, cluster,
+    {_sql_text(prompts.NAMING_HEAD, prompts.INDUSTRY_LABEL)} || industry_group || chr(10) || '{prompts.CLUSTER_LABEL}' || cluster || chr(10)
+      || {_sql_text(*prompts.NAMING_BODY, prompts.TITLES_LABEL)} || coalesce(t2, '') || chr(10) || '{prompts.SKILLS_LABEL}' || coalesce(s2, '')
+      || chr(10) || {_sql_text(*prompts.NAMING_TAIL)} AS naming_prompt,
+    {_sql_text(prompts.REQUIREMENTS_HEAD, prompts.INDUSTRY_LABEL)} || industry_group || chr(10) || '{prompts.CLUSTER_LABEL}' || cluster || chr(10)
+      || {_sql_text(*prompts.REQUIREMENTS_BODY)} || coalesce(chr(10) || t, '') || chr(10) || {_sql_text(prompts.REQUIREMENTS_TAIL)} AS requirements_prompt
+  FROM clu_size LEFT JOIN titles USING (industry_group, cluster) LEFT JOIN cores USING (industry_group, cluster)
+  LEFT JOIN texts USING (industry_group, cluster)
+),
+asked AS (
+  SELECT *, sha256(naming_prompt || chr(10) || chr(10) || requirements_prompt) AS cache_key,
+    {" || chr(10) || chr(10) || ".join(_sql_text(x) for x in prompts.COMBINED_HEAD)} || chr(10) || chr(10) || '{prompts.TASK_NAMING}' || chr(10) || chr(10)
+      || naming_prompt || chr(10) || chr(10) || '{prompts.TASK_REQUIREMENTS}' || chr(10) || chr(10) || requirements_prompt AS combined_prompt
+  FROM ask
+),
+answered AS (
+  SELECT *, substr(cache_key, 1, 20) AS name, substr(cache_key, 1, 4) || '；' || substr(cache_key, 5, 4) AS items
+  FROM asked WHERE cluster = 1 AND substr(cache_key, 64, 1) < 'c'
+)"""
+
+ORACLES["clusterable_industries"] = CLUSTERED + "SELECT * FROM big"
+ORACLES["cluster_sizes"] = CLUSTERED + "SELECT * FROM clu_size"
+ORACLES["top_titles"] = CLUSTERED + "SELECT industry_group, cluster, job_title, n, rank FROM title_n WHERE rank <= 5"
+ORACLES["core_skills"] = CLUSTERED + "SELECT industry_group, cluster, skill, n, rank FROM skill_n WHERE rank <= 10"
+ORACLES["most_common_labels"] = CLUSTERED + "SELECT * FROM exp_n JOIN edu_n USING (industry_group, cluster)"
+ORACLES["salary_means"] = CLUSTERED + "SELECT * FROM pay"
+ORACLES["sampled_texts"] = CLUSTERED + """
+SELECT industry_group, cluster, job_id, other_requirement AS value FROM drawn WHERE rank <= 30"""
+ORACLES["cluster_profiles"] = CLUSTERED + "SELECT * FROM prof"
+ORACLES["cluster_prompts"] = PROMPTS + "SELECT * FROM asked"
+ORACLES["cached_replies"] = PROMPTS + """
+SELECT industry_group, cluster, cache_key, name AS profile_name, items AS other_requirements FROM answered"""
+ORACLES["open_prompts"] = PROMPTS + "SELECT industry_group, cluster, cache_key FROM asked ANTI JOIN answered USING (cache_key)"
+ORACLES["named_profiles"] = PROMPTS + """
+SELECT p.industry_group, cluster_id, coalesce(a.name, p.profile_name) AS profile_name, coalesce(a.items, p.other_requirements) AS other_requirements
+FROM prof p LEFT JOIN answered a ON a.industry_group = p.industry_group AND a.cluster = p.cluster_id"""
+
+# --- warehouse tables -----------------------------------------------------------
+
+WAREHOUSE = f"""WITH {POSTINGS_SQL},
+jf AS (
+  SELECT job_id, job_title, 'company ' || job_title AS company_name, salary_min, salary_max, education_required AS location,
+    coalesce(nullif(trim(industry_group), ''), '未分类') AS industry,
+    coalesce(array_to_string(string_split(nullif(trim(job_skills), ''), ','), '|'), '') AS skills_required,
+    try_cast(regexp_extract(experience_required, '([0-9]+)', 1) AS INTEGER) AS experience_required, education_required
+  FROM postings
+)"""
+ORACLES["job_feature_table"] = WAREHOUSE + "SELECT * REPLACE (round(salary_min, 4) AS salary_min, round(salary_max, 4) AS salary_max) FROM jf"
+ORACLES["user_feature_table"] = """
+SELECT c_custkey AS user_id, c_nationkey AS age, c_mktsegment AS education, c_name AS work_experience,
+       c_mktsegment || '|' || c_name AS skills, c_mktsegment AS industry_preference, c_acctbal AS salary_expectation,
+       CAST(c_nationkey AS VARCHAR) || '|' || CAST(c_custkey AS VARCHAR) AS location_preference FROM customer"""
+ORACLES["interaction_table"] = """
+SELECT event_id AS interaction_id, user_id, value AS job_id, event_type AS interaction_type, ts AS interaction_time, ts AS created_at FROM events"""
+ORACLES["key_figures"] = WAREHOUSE + """,
+top_of AS (
+  SELECT (SELECT location FROM jf WHERE location IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, location LIMIT 1) AS loc,
+         (SELECT industry FROM jf GROUP BY 1 ORDER BY count(*) DESC, industry LIMIT 1) AS ind
+)
+SELECT 'totalJobs' AS stat_key, 'Total Jobs' AS stat_name, 'job' AS metric_category, 'all' AS dimension,
+       CAST((SELECT count(*) FROM jf) AS DOUBLE) AS metric_value, CAST(NULL AS VARCHAR) AS metric_text, 'job_feature_table' AS source_table
+UNION ALL SELECT 'totalUsers', 'Total Users', 'user', 'all', (SELECT count(*) FROM customer), NULL, 'user_feature_table'
+UNION ALL SELECT 'totalInteractions', 'Total Interactions', 'interaction', 'all', (SELECT count(*) FROM events), NULL, 'interaction_table'
+UNION ALL SELECT 'avgSalaryMax', 'Average Max Salary', 'job', 'all', (SELECT round(avg(salary_max), 4) FROM jf), NULL, 'job_feature_table'
+UNION ALL SELECT 'avgSalaryMin', 'Average Min Salary', 'job', 'all', (SELECT round(avg(salary_min), 4) FROM jf), NULL, 'job_feature_table'
+UNION ALL SELECT 'topLocation', 'Top Job Location', 'job', 'location', NULL, loc, 'job_feature_table' FROM top_of
+UNION ALL SELECT 'topIndustry', 'Top Job Industry', 'job', 'industry', NULL, ind, 'job_feature_table' FROM top_of
+UNION ALL SELECT 'staticSourceRecords', 'Static Report Source Records', 'static', 'all', (SELECT count(*) FROM nation), NULL, 'report_static_source'"""

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.catalog.views import postings, table
+from jobweave.catalog.views import LATIN, postings, table
 from jobweave.functions import fixed_values as fv
 from jobweave.functions import scalars, text
-from jobweave.operators import bundles, robust, skills
+from jobweave.operators import bundles, profiles, prompts, robust, skills, warehouse
 from jobweave.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,240 @@ def skill_bucket_medians(spark, sf_dir):
 def skill_value_robust(spark, sf_dir):
     rows = robust.robust_skill_values(staged_sample(spark, sf_dir))
     return rows.withColumns({c: money(c) for c in ("median_premium", "coarse_match_premium", "pure_skill_value")})
+
+
+# --- requirement text -----------------------------------------------------------
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+@query
+def normalized_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+
+
+@query
+def one_line_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.one_line(F.col("text")).alias("text"))
+
+
+@query
+def requirement_section(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.requirement_section(F.col("text"), LATIN).alias("section"))
+
+
+@query
+def cleaned_lines(spark, sf_dir):
+    lines = F.posexplode(text.split_lines(F.col("text"), LATIN)).alias("pos", "line")
+    return documents(spark, sf_dir).select("doc_id", lines)
+
+
+def _segments(spark, sf_dir):
+    parts = F.posexplode(text.line_segments(text.split_lines(F.col("text"), LATIN))).alias("pos", "segment")
+    return documents(spark, sf_dir).select("doc_id", parts)
+
+
+@query
+def line_segments(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+@query
+def ignored_segments(spark, sf_dir):
+    return _segments(spark, sf_dir).where(text.is_ignored(F.col("segment"), LATIN))
+
+
+@query
+def classified_segments(spark, sf_dir):
+    return _segments(spark, sf_dir).select("doc_id", "pos", text.classify_line(F.col("segment"), LATIN).alias("label"))
+
+
+@query
+def other_requirement(spark, sf_dir):
+    return documents(spark, sf_dir).select(
+        "doc_id", text.other_requirement(F.col("text"), LATIN).alias("other_requirement")
+    )
+
+
+@query
+def frequent_phrases(spark, sf_dir):
+    return profiles.frequent_phrases(documents(spark, sf_dir), ["lang"], "text").withColumnRenamed("value", "phrase")
+
+
+# --- cluster profiles -----------------------------------------------------------
+
+
+def clustered_postings(spark, sf_dir):
+    """Postings of industries with enough jobs, clustered by required experience."""
+    jobs = prepared(spark, sf_dir)
+    sizes = skills.industry_sizes(jobs, fv.CLUSTER_MIN_JOBS)
+    cluster = F.when(F.col("exp_numeric") < 0.2, 1).when(F.col("exp_numeric") < 0.5, 2).otherwise(3)
+    return profiles.staged_clusters(jobs.join(sizes.select(KEY), KEY, "left_semi").withColumn("cluster", cluster))
+
+
+@query
+def clusterable_industries(spark, sf_dir):
+    return skills.industry_sizes(prepared(spark, sf_dir), fv.CLUSTER_MIN_JOBS)
+
+
+@query
+def cluster_sizes(spark, sf_dir):
+    return profiles.cluster_sizes(clustered_postings(spark, sf_dir))
+
+
+@query
+def top_titles(spark, sf_dir):
+    return profiles.top_titles(clustered_postings(spark, sf_dir)).withColumnRenamed("value", "job_title")
+
+
+@query
+def core_skills(spark, sf_dir):
+    return profiles.core_skills(clustered_postings(spark, sf_dir)).withColumnRenamed("value", "skill")
+
+
+@query
+def most_common_labels(spark, sf_dir):
+    jobs = clustered_postings(spark, sf_dir)
+    return profiles.most_common(jobs, "experience_required").join(
+        profiles.most_common(jobs, "education_required"), profiles.KEYS
+    )
+
+
+@query
+def salary_means(spark, sf_dir):
+    return profiles.salary_means(clustered_postings(spark, sf_dir))
+
+
+@query
+def sampled_texts(spark, sf_dir):
+    sampled = profiles.sample_texts(clustered_postings(spark, sf_dir), profiles.KEYS, "other_requirement")
+    return sampled.select(*profiles.KEYS, "job_id", "value")
+
+
+@query
+def cluster_profiles(spark, sf_dir):
+    return profiles.cluster_profiles(clustered_postings(spark, sf_dir))
+
+
+@query
+def cluster_prompts(spark, sf_dir):
+    return prompts.cluster_prompts(clustered_postings(spark, sf_dir))
+
+
+def _answered(spark, sf_dir):
+    """Profiles, prompts and a cache that holds replies for the first cluster of each industry.
+
+    Replies are derived from the prompts: fenced, bare, chatty or broken JSON by cluster and size.
+    """
+    jobs = clustered_postings(spark, sf_dir)
+    asked = stage(prompts.cluster_prompts(jobs), "prompts")
+    body = F.concat(F.lit('{"profile_name": " '), F.substring("cache_key", 1, 30), F.lit('", "other_requirements": ["'),
+                    F.substring("cache_key", 1, 4), F.lit('", " ", "'), F.substring("cache_key", 5, 4), F.lit('"]}'))
+    kind = F.substring("cache_key", 64, 1)
+    reply = (
+        F.when(kind < "4", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(kind < "8", F.concat(F.lit("Here it is: "), body, F.lit(" Regards")))
+        .when(kind < "c", body)
+        .otherwise("no answer {")
+    )
+    cache = prompts.read_replies(asked.where("cluster = 1").select("cache_key", reply.alias("reply")))
+    return jobs, asked, cache
+
+
+@query
+def cached_replies(spark, sf_dir):
+    _, asked, cache = _answered(spark, sf_dir)
+    return prompts.cached_replies(asked, cache).select(
+        *profiles.KEYS, "cache_key", "profile_name", F.array_join("other_requirements", "；").alias("other_requirements")
+    )
+
+
+@query
+def open_prompts(spark, sf_dir):
+    _, asked, cache = _answered(spark, sf_dir)
+    return prompts.open_prompts(asked, cache).select(*profiles.KEYS, "cache_key")
+
+
+@query
+def named_profiles(spark, sf_dir):
+    jobs, asked, cache = _answered(spark, sf_dir)
+    return prompts.apply_replies(profiles.cluster_profiles(jobs), asked, cache).select(
+        KEY, "cluster_id", "profile_name", "other_requirements"
+    )
+
+
+# --- warehouse tables -----------------------------------------------------------
+
+
+def _warehouse_jobs(spark, sf_dir):
+    return postings(spark, sf_dir).select(
+        "job_id",
+        "job_title",
+        F.concat(F.lit("company "), F.col("job_title")).alias("company_name"),
+        F.col("salary_min").cast("string").alias("min_salary"),
+        F.col("salary_max").cast("string").alias("max_salary"),
+        F.col("education_required").alias("city"),
+        F.col(KEY).alias("industry"),
+        F.col("job_skills").alias("required_skills"),
+        F.col("experience_required").alias("experience_requirement"),
+        F.col("education_required").alias("education_requirement"),
+        F.col("other_requirement").alias("job_description"),
+    )
+
+
+def _warehouse_users(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"),
+        F.col("c_nationkey").alias("age"),
+        F.col("c_mktsegment").alias("education"),
+        F.col("c_name").alias("work_experience"),
+        F.concat_ws(",", "c_mktsegment", "c_name").alias("skills"),
+        F.col("c_mktsegment").alias("industry_preference"),
+        F.col("c_acctbal").alias("salary_expectation"),
+        F.concat_ws(",", "c_nationkey", "c_custkey").alias("location_preference"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+    )
+
+
+def _warehouse_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), "user_id", F.col("value").alias("job_id"),
+        F.col("event_type").alias("interaction_type"), F.col("ts").alias("interaction_time"), F.col("ts").alias("created_at"),
+    )
+
+
+@query
+def job_feature_table(spark, sf_dir):
+    return warehouse.job_features(_warehouse_jobs(spark, sf_dir)).drop("created_at", "updated_at", "job_description").withColumns(
+        {
+            "skills_required": F.array_join("skills_required", "|"),
+            "salary_min": money("salary_min"),
+            "salary_max": money("salary_max"),
+        }
+    )
+
+
+@query
+def user_feature_table(spark, sf_dir):
+    lists = ("skills", "industry_preference", "location_preference")
+    return warehouse.user_features(_warehouse_users(spark, sf_dir)).drop("created_at", "updated_at").withColumns(
+        {c: F.array_join(c, "|") for c in lists}
+    )
+
+
+@query
+def interaction_table(spark, sf_dir):
+    return warehouse.interactions(_warehouse_events(spark, sf_dir))
+
+
+@query
+def key_figures(spark, sf_dir):
+    figures = warehouse.key_figures(
+        stage(warehouse.job_features(_warehouse_jobs(spark, sf_dir)).select("location", "industry", "salary_min", "salary_max"), "jobs"),
+        _warehouse_users(spark, sf_dir),
+        _warehouse_events(spark, sf_dir),
+        table(spark, sf_dir, "nation"),
+    )
+    return figures.drop("metric_time", "created_at", "updated_at").withColumn("metric_value", money("metric_value"))

@@ -11,6 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.functions.text import TextRules
+
+# The given documents are invented prose in Latin letters: word families for each
+# rule, so that every branch of sectioning and classification is met.
+LATIN = TextRules(
+    header=r"(their|dans|nicht|para)",
+    line_start=r"(^|\n)\s*Re[:：]?",
+    end=r"(which|leur|sein|como)",
+    heading=r"^(The|An|El|La|Der|Les)[:：]?$",
+    ignore=(r"https?|@|\d+\s*%|token", r"blea|quem", r"sch.*ung"),
+    education=r"tion|ción|heit",
+    age=r"ing|ando",
+    age_blocked_by=r"the|und",
+    experience=r"\d+\s*en|ent|ando",
+    skill=r"ou|er|ar",
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
