@@ -409,3 +409,152 @@ UNION ALL SELECT 'avgSalaryMin', 'Average Min Salary', 'job', 'all', (SELECT rou
 UNION ALL SELECT 'topLocation', 'Top Job Location', 'job', 'location', NULL, loc, 'job_feature_table' FROM top_of
 UNION ALL SELECT 'topIndustry', 'Top Job Industry', 'job', 'industry', NULL, ind, 'job_feature_table' FROM top_of
 UNION ALL SELECT 'staticSourceRecords', 'Static Report Source Records', 'static', 'all', (SELECT count(*) FROM nation), NULL, 'report_static_source'"""
+
+# --- vectors --------------------------------------------------------------------
+
+FINGERPRINT = """
+SELECT job_id, CAST(len(v) AS INTEGER) AS dims, round(sqrt(list_sum([x * x FOR x IN v])), 5) AS norm,
+       round(list_sum([x * i FOR x, i IN v]), 5) AS weighted_sum FROM vectors"""
+TAGGED = PREP + """,
+tag AS (
+  SELECT job_id, unnest([x FOR x IN regexp_split_to_array(coalesce(job_skills, ''), '[,;；\\s]+') IF x <> '']) AS tag FROM prep
+),
+lookup AS (SELECT 'Brand#' || vec_id AS tag, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+dims AS (SELECT job_id, dim, avg(v) AS v FROM tag JOIN lookup USING (tag) GROUP BY job_id, dim),
+found AS (SELECT job_id, list(v ORDER BY dim) AS v FROM dims GROUP BY job_id),
+skill_vec AS (SELECT p.job_id, exp_numeric, coalesce(f.v, [0e0 FOR x IN range(64)]) AS v FROM prep p LEFT JOIN found f ON f.job_id = p.job_id)"""
+ORACLES["tag_vectors"] = TAGGED + ", vectors AS (SELECT job_id, v FROM skill_vec)" + FINGERPRINT
+ORACLES["job_vectors"] = TAGGED + ", vectors AS (SELECT job_id, list_concat([exp_numeric], v, list_reverse(v)) AS v FROM skill_vec)" + FINGERPRINT
+
+VECS = """WITH vecs AS (SELECT vec_id AS job_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+ORACLES["unit_vectors"] = VECS + """,
+lengths AS (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS n FROM vecs)
+SELECT job_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(CASE WHEN n = 0 THEN unnest(v) ELSE unnest(v) / n END, 8) AS value FROM lengths"""
+ORACLES["weighted_features"] = VECS + """,
+cut AS (SELECT job_id, greatest(0e0, least(1e0, v[1])) AS e, v[2:32] AS s, v[33:64] AS o FROM vecs),
+lengths AS (SELECT *, sqrt(list_sum([x * x FOR x IN s])) AS ns, sqrt(list_sum([x * x FOR x IN o])) AS no FROM cut),
+flat AS (SELECT job_id, list_concat([x / ns FOR x IN s], [e * 8], [0.4e0 * x / no FOR x IN o]) AS f FROM lengths)
+SELECT job_id, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS dim, round(unnest(f), 8) AS value FROM flat"""
+ORACLES["seed_labels"] = VECS + """,
+sims AS (
+  SELECT a.job_id, max(list_cosine_similarity(a.v, b.v)) FILTER (b.job_id < 5) AS e,
+         max(list_cosine_similarity(a.v, b.v)) FILTER (b.job_id BETWEEN 5 AND 9) AS s,
+         max(list_cosine_similarity(a.v, b.v)) FILTER (b.job_id BETWEEN 10 AND 14) AS o
+  FROM vecs a CROSS JOIN vecs b WHERE b.job_id < 15 GROUP BY a.job_id
+)
+SELECT job_id, round(e, 8) AS sim_experience, round(s, 8) AS sim_skill, round(o, 8) AS sim_other,
+  CASE WHEN e >= s AND e >= o AND e > 0.45 THEN 'experience' WHEN s >= o AND s > 0.45 THEN 'skill' WHEN o > 0.40 THEN 'other'
+       WHEN s > e THEN 'skill' WHEN e > s THEN 'experience' ELSE 'other' END AS label FROM sims"""
+
+# --- clusters -------------------------------------------------------------------
+
+SILHOUETTE = VECS + """,
+pts AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS industry_group, * FROM vecs),
+d AS (
+  SELECT a.industry_group, a.job_id, a.label AS own, b.label AS cluster, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
+  FROM pts a JOIN pts b ON a.industry_group = b.industry_group GROUP BY ALL
+),
+ab AS (
+  SELECT industry_group, job_id, own, max(CASE WHEN own = cluster AND n > 1 THEN total / (n - 1) END) AS a,
+         min(CASE WHEN own <> cluster THEN total / n END) AS b FROM d GROUP BY ALL
+),
+sc AS (SELECT industry_group, job_id, own AS cluster, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS score FROM ab)"""
+ORACLES["silhouette_rows"] = SILHOUETTE + "SELECT industry_group, job_id, cluster, round(score, 7) AS score FROM sc"
+ORACLES["silhouette_scores"] = SILHOUETTE + "SELECT industry_group, round(avg(score), 7) AS silhouette FROM sc GROUP BY 1"
+ORACLES["nearest_centroids"] = VECS + """
+SELECT CASE WHEN a.label < 5 THEN 'low' ELSE 'high' END AS industry_group, a.job_id,
+       CAST(arg_min(b.job_id, (list_distance(a.v, b.v), b.job_id)) AS INTEGER) AS nearest
+FROM vecs a JOIN vecs b ON b.job_id < 10 GROUP BY ALL"""
+
+# --- salary analysis, large industries ------------------------------------------
+
+
+def _psi(n: str) -> str:
+    below = " + ".join(f"1e0 / (({n}) + {i})" for i in range(10))
+    x = f"(({n}) + 10e0)"
+    return f"(ln({x}) - 1e0 / (2 * {x}) - 1e0 / (12 * {x} ** 2) + 1e0 / (120 * {x} ** 4) - 1e0 / (252 * {x} ** 6) - ({below}))"
+
+
+_NEAR = ", ".join(f"ticks - lag(ticks, {i}) OVER o, lead(ticks, {i}) OVER o - ticks" for i in (1, 2, 3))
+
+MUTUAL = SAMPLE + f""",
+large AS (SELECT s.*, n_jobs FROM sample s JOIN sz USING (industry_group) WHERE n_jobs >= 70),
+ticked AS (
+  SELECT *, CAST(round(avg_salary * 100) AS BIGINT) * 1048576
+            + CAST('0x' || substr(md5(CAST(job_id AS VARCHAR)), 1, 5) AS BIGINT) AS ticks FROM large
+),
+ranked AS (SELECT industry_group, ticks, max(pl) AS pl FROM (
+  SELECT industry_group, ticks, row_number() OVER (PARTITION BY industry_group ORDER BY ticks) AS pl FROM ticked) GROUP BY ALL),
+flags AS (
+  SELECT t.industry_group, k.skill, t.job_id, ticks, list_contains(skills_list, k.skill) AS has_skill
+  FROM ticked t JOIN cnt k USING (industry_group)
+),
+near AS (
+  SELECT *, count(*) OVER (PARTITION BY industry_group, skill, has_skill) AS c,
+         list_sort([d FOR d IN [{_NEAR}] IF d IS NOT NULL]) AS gaps
+  FROM flags WINDOW o AS (PARTITION BY industry_group, skill, has_skill ORDER BY ticks, job_id)
+),
+radii AS (SELECT *, least(3, c - 1) AS k, gaps[least(3, c - 1)] AS d FROM near WHERE c > 1),
+his AS (SELECT r.*, coalesce(b.pl, 0) AS hi FROM radii r ASOF LEFT JOIN ranked b ON b.industry_group = r.industry_group AND b.ticks <= r.ticks + r.d - 1),
+ms AS (
+  SELECT h.*, greatest(1, hi - coalesce(b.pl, 0)) AS m
+  FROM his h ASOF LEFT JOIN ranked b ON b.industry_group = h.industry_group AND b.ticks <= h.ticks - h.d
+),
+mi AS (
+  SELECT industry_group, skill, greatest(0e0, round({_psi("count(*)")} + avg({_psi("k")}) - avg({_psi("c")}) - avg({_psi("m")}), 10)) AS mi
+  FROM ms GROUP BY industry_group, skill
+)"""
+
+SELECTED = MUTUAL + """,
+budget AS (
+  SELECT *, CAST(round_even(CASE WHEN groups = 1 THEN 16e0 ELSE 16e0 + (size_rank - 1) * (-11e0 / (groups - 1)) END, 0) AS INTEGER) AS skill_budget
+  FROM (SELECT *, row_number() OVER (ORDER BY n_jobs DESC, industry_group) AS size_rank, count(*) OVER () AS groups FROM sz WHERE n_jobs >= 70)
+),
+scored_skill AS (
+  SELECT m.*, skill_budget,
+    CAST(row_number() OVER (PARTITION BY m.industry_group ORDER BY mi DESC, first_job, first_pos) AS INTEGER) AS rank
+  FROM mi m JOIN cnt c ON c.industry_group = m.industry_group AND c.skill = m.skill JOIN budget b ON b.industry_group = m.industry_group
+),
+chosen AS (SELECT industry_group, skill, rank FROM scored_skill WHERE rank <= skill_budget)"""
+
+LEFTOVER = SELECTED + """,
+terms AS (
+  SELECT industry_group, job_id, term, count(*) AS tf
+  FROM (SELECT t.industry_group, t.job_id, unnest(string_split(t.skill, ' ')) AS term
+        FROM tok t JOIN sz ON sz.industry_group = t.industry_group AND n_jobs >= 70
+        ANTI JOIN chosen c ON c.industry_group = t.industry_group AND c.skill = t.skill)
+  WHERE term <> '' GROUP BY ALL
+)"""
+
+TFIDF = LEFTOVER + """,
+idf AS (
+  SELECT industry_group, term, ln((1e0 + n_jobs) / (1e0 + df)) + 1 AS idf
+  FROM (SELECT *, row_number() OVER (PARTITION BY industry_group ORDER BY total DESC, term) AS rank
+        FROM (SELECT industry_group, term, sum(tf) AS total, count(*) AS df FROM terms GROUP BY ALL)) JOIN sz USING (industry_group)
+  WHERE rank <= 200
+),
+tfidf AS (
+  SELECT industry_group, job_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY industry_group, job_id)) AS weight
+  FROM terms JOIN idf USING (industry_group, term)
+)"""
+
+ORACLES["mutual_information"] = MUTUAL + "SELECT industry_group, skill, round(mi, 7) AS mi FROM mi"
+ORACLES["selected_skills"] = SELECTED + "SELECT * FROM chosen"
+ORACLES["leftover_terms"] = LEFTOVER + "SELECT * FROM terms"
+ORACLES["leftover_tfidf"] = TFIDF + "SELECT industry_group, job_id, term, round(weight, 8) AS weight FROM tfidf"
+ORACLES["leftover_gram"] = TFIDF + """
+SELECT a.industry_group, a.term AS f, b.term AS g, round(sum(a.weight * b.weight), 6) AS s
+FROM tfidf a JOIN tfidf b ON a.industry_group = b.industry_group AND a.job_id = b.job_id AND a.term <= b.term GROUP BY ALL"""
+ORACLES["regression_moments"] = SELECTED + """,
+feats AS (
+  SELECT industry_group, job_id, unnest(['intercept', 'exp', 'exp_smooth', 'y']) AS f,
+         unnest([1e0, exp_years, exp_years ** 1.5e0, avg_salary]) AS v FROM large
+  UNION ALL
+  SELECT DISTINCT t.industry_group, t.job_id, 'skill:' || t.skill, 1e0
+  FROM tok t JOIN chosen c ON c.industry_group = t.industry_group AND c.skill = t.skill
+)
+SELECT a.industry_group, a.f, b.f AS g, round(sum(a.v * b.v) / 1e6, 4) AS s
+FROM feats a JOIN feats b ON a.industry_group = b.industry_group AND a.job_id = b.job_id AND a.f <= b.f GROUP BY ALL"""
+ORACLES["experience_slopes"] = SAMPLE + """
+SELECT industry_group, round(regr_intercept(avg_salary, exp_years), 4) AS intercept, round(regr_slope(avg_salary, exp_years), 4) AS slope
+FROM sample JOIN sz USING (industry_group) WHERE n_jobs >= 70 GROUP BY industry_group"""

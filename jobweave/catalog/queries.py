@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 
 from jobweave.catalog.views import LATIN, postings, table
 from jobweave.functions import fixed_values as fv
-from jobweave.functions import scalars, text
-from jobweave.operators import bundles, profiles, prompts, robust, skills, warehouse
+from jobweave.functions import scalars, text, vectors
+from jobweave.operators import (
+    bundles,
+    embedding,
+    kmeans,
+    mutual_info,
+    profiles,
+    prompts,
+    regression,
+    robust,
+    silhouette,
+    skills,
+    warehouse,
+)
 from jobweave.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,3 +444,223 @@ def key_figures(spark, sf_dir):
         table(spark, sf_dir, "nation"),
     )
     return figures.drop("metric_time", "created_at", "updated_at").withColumn("metric_value", money("metric_value"))
+
+
+# --- vectors --------------------------------------------------------------------
+
+
+def embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("job_id"), "label", F.col("embedding").cast("array<double>").alias("vec")
+    )
+
+
+def _fingerprint(vector: Column) -> list[Column]:
+    """Size, length and a position-weighted sum: every dimension and its place count."""
+    weighted = F.transform(vector, lambda x, i: x * (i + 1))
+    return [
+        F.size(vector).alias("dims"),
+        F.round(vectors.norm(vector), 5).alias("norm"),
+        F.round(F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x), 5).alias("weighted_sum"),
+    ]
+
+
+def _tagged(spark, sf_dir):
+    """Postings with a vector per known brand: vector n belongs to the tag Brand#n."""
+    lookup = embeddings(spark, sf_dir).select(F.concat(F.lit("Brand#"), F.col("job_id")).alias("tag"), "vec")
+    jobs = prepared(spark, sf_dir)
+    return embedding.tag_vectors(jobs, text.tag_list(F.col("job_skills")), lookup, 64)
+
+
+@query
+def tag_vectors(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("job_id", *_fingerprint(F.col("skill_vec")))
+
+
+@query
+def job_vectors(spark, sf_dir):
+    vector = vectors.job_vector(F.col("exp_numeric"), F.col("skill_vec"), F.reverse("skill_vec"))
+    return _tagged(spark, sf_dir).select("job_id", *_fingerprint(vector))
+
+
+@query
+def unit_vectors(spark, sf_dir):
+    unit = F.posexplode(vectors.l2_normalize(F.col("vec"))).alias("dim", "value")
+    return embeddings(spark, sf_dir).select("job_id", unit).withColumn("value", F.round("value", 8))
+
+
+@query
+def weighted_features(spark, sf_dir):
+    exp, skill, other = vectors.half_split(F.col("vec"))
+    values = F.posexplode(vectors.weighted_features(exp, skill, other)).alias("dim", "value")
+    return embeddings(spark, sf_dir).select("job_id", values).withColumn("value", F.round("value", 8))
+
+
+def _seeds(spark, sf_dir):
+    kind = F.when(F.col("job_id") < 5, "experience").when(F.col("job_id") < 10, "skill").otherwise("other")
+    return embeddings(spark, sf_dir).where("job_id < 15").select(kind.alias("class"), "vec")
+
+
+@query
+def seed_labels(spark, sf_dir):
+    near = embedding.seed_similarity(embeddings(spark, sf_dir), "vec", _seeds(spark, sf_dir))
+    return near.select(
+        "job_id", embedding.seed_label().alias("label"), *[F.round(f"sim_{c}", 8).alias(f"sim_{c}") for c in ("experience", "skill", "other")]
+    )
+
+
+@query
+def document_vectors(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumnRenamed("doc_id", "job_id")
+    coded = embedding.text_vectors(docs, "text", embedding.hashed_ngrams(64), 64)
+    return coded.select("job_id", *_fingerprint(F.col("other_vec")))
+
+
+@query
+def tag_sentence_vectors(spark, sf_dir):
+    jobs = postings(spark, sf_dir)
+    coded = embedding.tag_sentence_vectors(jobs, text.tag_list(F.col("job_skills")), embedding.hashed_ngrams(64), 64)
+    return coded.select("job_id", *_fingerprint(F.col("skill_vec")))
+
+
+@query
+def seeded_other_requirement(spark, sf_dir):
+    """Documents classified by rules, then by nearest seed phrase for what no rule decides."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("job_id"), "text")
+    encode = embedding.hashed_ngrams(64)
+    return embedding.add_other_requirement(docs, "text", encode, embedding.default_seeds(spark, encode), LATIN).select(
+        "job_id", "other_requirement"
+    )
+
+
+# --- clusters -------------------------------------------------------------------
+
+
+def _labelled_points(spark, sf_dir):
+    """Embeddings in two industries, with their given label as the only model."""
+    industry = F.when(F.col("label") < 5, "low").otherwise("high")
+    return embeddings(spark, sf_dir).select(
+        industry.alias(KEY), "job_id", F.col("vec").alias("features"), F.array("label").alias("labels")
+    )
+
+
+@query
+def silhouette_rows(spark, sf_dir):
+    return silhouette.row_scores(stage(_labelled_points(spark, sf_dir), "points")).select(
+        KEY, "job_id", "cluster", F.round("score", 7).alias("score")
+    )
+
+
+@query
+def silhouette_scores(spark, sf_dir):
+    return silhouette.silhouette_scores(stage(_labelled_points(spark, sf_dir), "points")).select(
+        KEY, F.round("silhouette", 7).alias("silhouette")
+    )
+
+
+@query
+def nearest_centroids(spark, sf_dir):
+    """One assignment step to given centroids: the first ten vectors, in two industries."""
+    points = _labelled_points(spark, sf_dir)
+    fixed = points.where("job_id < 10").orderBy("job_id").collect()  # ten fixed rows
+    centroids = [list(r["features"]) for r in fixed]
+    best = {name: {len(centroids): kmeans.np.array(centroids)} for name in ("low", "high")}
+    return kmeans.assign(points.drop("labels"), best, [len(centroids)]).select(KEY, "job_id", F.col("labels")[0].alias("nearest"))
+
+
+@query
+def clustered_embeddings(spark, sf_dir):
+    points = stage(_labelled_points(spark, sf_dir), "points")
+    return silhouette.cluster_industries(points).withColumn("silhouette", F.round("silhouette", 6))
+
+
+# --- salary analysis, large industries ------------------------------------------
+
+
+def _large(spark, sf_dir):
+    sample = staged_sample(spark, sf_dir)
+    sizes = skills.industry_sizes(sample, fv.REGRESSION_MIN_JOBS)
+    return stage(sample.join(sizes.select(KEY), KEY, "left_semi"), "large"), sizes
+
+
+def _selected(sample, sizes):
+    return stage(mutual_info.select_skills(mutual_info.mutual_information(sample, sizes), skills.skill_budgets(sizes)), "selected")
+
+
+@query
+def mutual_information(spark, sf_dir):
+    sample, sizes = _large(spark, sf_dir)
+    return mutual_info.mutual_information(sample, sizes).select(KEY, "skill", F.round("mi", 7).alias("mi"))
+
+
+@query
+def selected_skills(spark, sf_dir):
+    return _selected(*_large(spark, sf_dir)).select(KEY, "skill", "rank")
+
+
+def _terms(spark, sf_dir):
+    sample, sizes = _large(spark, sf_dir)
+    tokens = skills.job_skills(sample)
+    terms = stage(regression.leftover_terms(tokens, _selected(sample, sizes)), "leftover")
+    return terms, sizes
+
+
+@query
+def leftover_terms(spark, sf_dir):
+    return _terms(spark, sf_dir)[0]
+
+
+@query
+def leftover_tfidf(spark, sf_dir):
+    terms, sizes = _terms(spark, sf_dir)
+    rows = regression.tfidf_rows(terms, regression.term_weights(terms, sizes))
+    return rows.select(KEY, "job_id", F.explode("vec").alias("x")).select(
+        KEY, "job_id", F.col("x.f").alias("term"), F.round("x.v", 8).alias("weight")
+    )
+
+
+@query
+def leftover_gram(spark, sf_dir):
+    terms, sizes = _terms(spark, sf_dir)
+    rows = regression.tfidf_rows(terms, regression.term_weights(terms, sizes))
+    return regression.gram(rows, "vec").withColumn("s", F.round("s", 6))
+
+
+@query
+def residual_context(spark, sf_dir):
+    terms, sizes = _terms(spark, sf_dir)
+    rows = regression.tfidf_rows(terms, regression.term_weights(terms, sizes))
+    return regression.residual_context(rows).select(
+        KEY, "job_id", *[F.round(f"residual_context_{i}", 6).alias(f"residual_context_{i}") for i in (1, 2, 3)]
+    )
+
+
+@query
+def regression_moments(spark, sf_dir):
+    """Feature products of the regression without the context columns, whose signs are free."""
+    sample, sizes = _large(spark, sf_dir)
+    rows = regression.design_rows(sample, skills.job_skills(sample), _selected(sample, sizes), None)
+    return regression.moments(rows).withColumn("s", F.round(F.col("s") / 1e6, 4))
+
+
+@query
+def experience_slopes(spark, sf_dir):
+    """The solver on intercept and experience alone, where SQL has the same fit built in."""
+    sample, sizes = _large(spark, sf_dir)
+    rows = regression.design_rows(sample, skills.job_skills(sample), _selected(sample, sizes), None)
+    plain = rows.withColumn("feats", F.filter("feats", lambda x: x["f"].isin("intercept", "exp")))
+    coefs = regression.solve(regression.moments(plain))
+    return coefs.groupBy(KEY).agg(
+        F.round(F.max(F.when(F.col("f") == "intercept", F.col("coef"))), 4).alias("intercept"),
+        F.round(F.max(F.when(F.col("f") == "exp", F.col("coef"))), 4).alias("slope"),
+    )
+
+
+@query
+def skill_impact(spark, sf_dir):
+    return regression.skill_impact(*regression.fit_industries(staged_sample(spark, sf_dir)))
+
+
+@query
+def exp_curve(spark, sf_dir):
+    return regression.exp_curve(regression.fit_industries(staged_sample(spark, sf_dir))[1])
