@@ -171,7 +171,8 @@ FROM ranked"""
 ORACLES["skill_presence_medians"] = FLAGGED + """
 SELECT industry_group, skill, n_with_skill, n_without_skill, round(median_premium, 4) AS median_premium FROM whole"""
 ORACLES["skill_bucket_medians"] = FLAGGED + """
-SELECT industry_group, skill, exp_bucket, w, round(diff, 4) AS diff FROM bucketed"""
+SELECT industry_group, skill, exp_bucket, coalesce(w, 0) AS w, round(diff, 4) AS diff
+FROM (SELECT industry_group, skill, unnest(['<4', '>=4']) AS exp_bucket FROM whole) LEFT JOIN bucketed USING (industry_group, skill, exp_bucket)"""
 ORACLES["skill_value_robust"] = FLAGGED + """,
 matched AS (
   SELECT industry_group, skill, sum(diff * w) / sum(w) AS coarse_match_premium, count(*) AS matched_bucket_count
@@ -558,3 +559,14 @@ FROM feats a JOIN feats b ON a.industry_group = b.industry_group AND a.job_id =
 ORACLES["experience_slopes"] = SAMPLE + """
 SELECT industry_group, round(regr_intercept(avg_salary, exp_years), 4) AS intercept, round(regr_slope(avg_salary, exp_years), 4) AS slope
 FROM sample JOIN sz USING (industry_group) WHERE n_jobs >= 70 GROUP BY industry_group"""
+
+# --- files ----------------------------------------------------------------------
+
+ORACLES["csv_text_round_trip"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents"
+ORACLES["csv_typed_round_trip"] = f"""WITH {POSTINGS_SQL}
+SELECT job_id, industry_group, job_skills, experience_required, round(salary_min, 4) AS salary_min, round(salary_max, 4) AS salary_max FROM postings"""
+ORACLES["clustered_files"] = CLUSTERED + """
+SELECT translate(industry_group, '/ ', '__') AS industry_key, cluster, job_count AS n_jobs FROM clu_size"""
+ORACLES["prompt_files"] = PROMPTS + "SELECT industry_group, cluster, naming_prompt, requirements_prompt, cache_key FROM asked"
+ORACLES["reply_cache_round_trip"] = PROMPTS + "SELECT cache_key, name AS profile_name, items AS other_requirements FROM answered"
+ORACLES["experience_from_wide_vectors"] = VECS + "SELECT job_id, label, round(v[1], 8) AS exp_numeric FROM vecs"

@@ -23,7 +23,10 @@ from jobweave.operators import (
     skills,
     warehouse,
 )
-from jobweave.session import stage
+from jobweave.plans import flows
+from jobweave.schemas import POSTING
+from jobweave.session import stage, staging_path
+from jobweave.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEY = "industry_group"
@@ -44,8 +47,13 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The salary sample, written once because the analyses read it several times."""
-    return stage(prepared(spark, sf_dir).transform(scalars.salary_sample), "sample")
+    """The salary sample over a written job table, as the analyses read it several times.
+
+    Writing first also keeps the sample's filter from being pushed through the
+    expressions that compute its columns.
+    """
+    jobs = prepared(spark, sf_dir).select("job_id", KEY, "job_skills", "avg_salary", "exp_numeric")
+    return stage(jobs, "jobs").transform(scalars.salary_sample)
 
 
 # --- scalar columns -------------------------------------------------------------
@@ -91,7 +99,7 @@ def sentence_list(spark, sf_dir):
 
 @query
 def salary_sample(spark, sf_dir):
-    return prepared(spark, sf_dir).transform(scalars.salary_sample).select(
+    return staged_sample(spark, sf_dir).select(
         "job_id", KEY, money("avg_salary").alias("avg_salary"), money("exp_years", 6).alias("exp_years")
     )
 
@@ -178,29 +186,26 @@ def merged_job_skills(spark, sf_dir):
 
 @query
 def industry_routes(spark, sf_dir):
-    return skills.route_industries(skills.industry_sizes(prepared(spark, sf_dir).transform(scalars.salary_sample)))
+    return skills.route_industries(skills.industry_sizes(staged_sample(spark, sf_dir)))
 
 
 @query
 def skill_budgets(spark, sf_dir):
-    return skills.skill_budgets(skills.industry_sizes(prepared(spark, sf_dir).transform(scalars.salary_sample)))
+    return skills.skill_budgets(skills.industry_sizes(staged_sample(spark, sf_dir)))
 
 
 @query
 def skill_presence_medians(spark, sf_dir):
-    flagged = robust.flagged_jobs(staged_sample(spark, sf_dir))
-    y, has = F.col("avg_salary"), F.col("has_skill")
-    return flagged.groupBy(KEY, "skill").agg(
-        F.count_if(has).alias("n_with_skill"),
-        F.count_if(~has).alias("n_without_skill"),
-        money(F.median(F.when(has, y)) - F.median(F.when(~has, y))).alias("median_premium"),
+    return robust.skill_contrasts(staged_sample(spark, sf_dir)).select(
+        KEY, "skill", "n_with_skill", "n_without_skill", money("median_premium").alias("median_premium")
     )
 
 
 @query
 def skill_bucket_medians(spark, sf_dir):
-    flagged = robust.flagged_jobs(staged_sample(spark, sf_dir))
-    return robust.bucket_medians(flagged).select(KEY, "skill", "exp_bucket", "w", money("diff").alias("diff"))
+    return robust.skill_contrasts(staged_sample(spark, sf_dir)).select(KEY, "skill", F.explode("buckets").alias("b")).select(
+        KEY, "skill", F.col("b.bucket").alias("exp_bucket"), F.col("b.w").alias("w"), money("b.diff").alias("diff")
+    )
 
 
 @query
@@ -664,3 +669,80 @@ def skill_impact(spark, sf_dir):
 @query
 def exp_curve(spark, sf_dir):
     return regression.exp_curve(regression.fit_industries(staged_sample(spark, sf_dir))[1])
+
+
+# --- files ----------------------------------------------------------------------
+
+
+@query
+def csv_text_round_trip(spark, sf_dir):
+    """All documents out to CSV (quotes, line breaks, byte order mark) and back as strings."""
+    path = staging_path(spark, "csv")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    files.write_csv(docs, path)
+    return files.read_csv(spark, path, files.T.StructType.fromDDL("doc_id string, lang string, text string"))
+
+
+@query
+def csv_typed_round_trip(spark, sf_dir):
+    path = staging_path(spark, "csv")
+    files.write_csv(postings(spark, sf_dir).select(*POSTING.fieldNames()), path)
+    return files.read_postings(spark, path).select(
+        "job_id", KEY, "job_skills", "experience_required", *[money(c).alias(c) for c in ("salary_min", "salary_max")]
+    )
+
+
+@query
+def clustered_files(spark, sf_dir):
+    """Clustered postings written one folder per industry, counted from the folders."""
+    path = staging_path(spark, "by-industry")
+    files.write_clustered(clustered_postings(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("industry_key", "cluster").agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+@query
+def prompt_files(spark, sf_dir):
+    path = staging_path(spark, "prompts")
+    files.write_prompts(prompts.cluster_prompts(clustered_postings(spark, sf_dir)), path)
+    written = "industry_group string, cluster int, naming_prompt string, requirements_prompt string, cache_key string"
+    return spark.read.schema(written).json(path)
+
+
+@query
+def reply_cache_round_trip(spark, sf_dir):
+    _, _, cache = _answered(spark, sf_dir)
+    path = staging_path(spark, "replies")
+    files.write_reply_cache(cache, path)
+    return files.read_reply_cache(spark, path).withColumn("other_requirements", F.array_join("other_requirements", "；"))
+
+
+@query
+def experience_from_wide_vectors(spark, sf_dir):
+    """Vectors out to flat columns and Parquet; then only the first dimension is read."""
+    path = staging_path(spark, "wide")
+    files.scatter_vector(embeddings(spark, sf_dir).withColumnRenamed("vec", "job_vec"), 64).write.parquet(path)
+    return files.drop_vectors(spark.read.parquet(path)).withColumn("exp_numeric", F.round("exp_numeric", 8))
+
+
+# --- whole flows ----------------------------------------------------------------
+
+
+def _job_vectors(spark, sf_dir):
+    lookup = embeddings(spark, sf_dir).select(F.concat(F.lit("Brand#"), F.col("job_id")).alias("tag"), "vec")
+    return flows.build_job_vectors(postings(spark, sf_dir), embedding.hashed_ngrams(32), 32, lookup, 64).jobs
+
+
+@query
+def job_vector_table(spark, sf_dir):
+    """Experience, salary, merged skills and vectors of every posting."""
+    return _job_vectors(spark, sf_dir).select(
+        "job_id", money("exp_numeric", 6).alias("exp_numeric"), money("avg_salary").alias("avg_salary"),
+        "merged_job_skills", *_fingerprint(F.col("job_vec")),
+    )
+
+
+@query
+def clustered_jobs(spark, sf_dir):
+    """Postings to clusters of every industry with enough jobs, with the profile of each."""
+    jobs = stage(_job_vectors(spark, sf_dir), "job-vectors")
+    return flows.cluster_jobs(jobs).profiles

@@ -109,17 +109,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("other_requirement"),
         F.col("lines.p_name")[0].alias("job_title"),
     )
-    return (
+    offers = (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
-        .join(listed, F.expr("l_orderkey = o_orderkey"), "left")
         .select(
             F.col("o_orderkey").alias("job_id"),
             F.expr(INDUSTRY).alias("industry_group"),
-            "job_title",
-            "job_skills",
-            "other_requirement",
             F.expr(EXPERIENCE).alias("experience_required"),
             F.expr("CASE o_orderstatus WHEN 'F' THEN '本科' WHEN 'O' THEN '大专' END").alias("education_required"),
             F.expr(SALARY_UNIT).alias("salary_unit"),
@@ -128,3 +124,5 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr(f"1.1e0 * {SALARY_LEVEL} / ({SALARY_WORTH})").alias("salary_max"),
         )
     )
+    # derived below the join, so that the many uses of a column do not repeat its expression
+    return offers.join(listed, F.expr("l_orderkey = job_id"), "left").drop("l_orderkey")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions import fixed_values as fv
-from jobweave.operators.ordering import rank_rows, running_total, top_rows
+from jobweave.operators.ordering import rank_rows, running_total, top_rows, with_neighbours
 from jobweave.operators.skills import job_skills, skill_counts
 from jobweave.session import stage
 
@@ -46,31 +46,17 @@ def salary_ticks(salary: Column, job_id: Column) -> Column:
     return F.round(salary * 100).cast("long") * F.lit(1 << TIE_BITS) + tie
 
 
-def _distances(ranked: DataFrame, keys: list[str], rank: str, carry: list[str]) -> DataFrame:
-    """Per row: sorted distances to the rows up to three ranks away, itself (0) first."""
-    k = fv.NEIGHBOURS
-    shifted = ranked.withColumn("_shift", F.explode(F.sequence(F.lit(-k), F.lit(k)))).withColumn(
-        "_at", F.col(rank) + F.col("_shift")
-    )
-    own = F.col("_shift") == 0
-    return (
-        shifted.groupBy(*keys, F.col("_at").alias(rank))
-        .agg(
-            F.max(F.when(own, F.col("ticks"))).alias("ticks"),
-            *[F.max(F.when(own, F.col(c))).alias(c) for c in carry],
-            F.collect_list("ticks").alias("_ticks"),
-        )
-        .where("ticks is not null")
-        .withColumn("gaps", F.array_sort(F.transform("_ticks", lambda t: F.abs(t - F.col("ticks")))))
-        .drop("_ticks")
-    )
+def _with_gaps(ranked: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """Add ``gaps``: sorted distances to the rows up to three ranks away, itself (0) first."""
+    near = with_neighbours(ranked, keys, rank, "ticks", fv.NEIGHBOURS, "_near")
+    return near.withColumn("gaps", F.array_sort(F.transform("_near", lambda t: F.abs(t - F.col("ticks"))))).drop("_near")
 
 
 def ranked_salaries(sample: DataFrame) -> DataFrame:
     """(industry_group, job_id, ticks, at, base_m): rank in the industry and m with labels ignored."""
     rows = sample.select(KEY, "job_id", salary_ticks(F.col("avg_salary"), F.col("job_id")).alias("ticks"))
     ranked = stage(rank_rows(rows, [KEY], ["ticks", "job_id"], "at"), "salary-ranks")
-    near = _distances(ranked, [KEY], "at", ["job_id"])
+    near = _with_gaps(ranked, [KEY], "at")
     radius = F.col("gaps")[F.least(F.lit(fv.NEIGHBOURS), F.size("gaps") - 1)]
     base = F.greatest(F.lit(1), F.size(F.filter("gaps", lambda g: g < radius)))
     return stage(near.select(KEY, "job_id", "ticks", "at", base.alias("base_m")), "salaries")
@@ -132,7 +118,7 @@ def mutual_information(sample: DataFrame, sizes: DataFrame) -> DataFrame:
         .join(rows.select(KEY, "job_id", "at"), [KEY, "job_id"])
     )
     felt = rank_rows(stage(_rows_felt(ones, rows), "mi-felt"), [KEY, "skill", "has_skill"], ["at"], "nth")
-    near = _distances(felt, [KEY, "skill", "has_skill"], "nth", ["at", "reach", "base_m"])
+    near = _with_gaps(felt, [KEY, "skill", "has_skill"], "nth")
     near = near.where(F.col("reach") <= k).join(counts.select(KEY, "skill", "n1", "n0"), [KEY, "skill"])
     c = F.when(F.col("has_skill"), F.col("n1")).otherwise(F.col("n0"))
     label_k = F.least(F.lit(k), c - 1).cast("int")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from jobweave.session import shuffle_width, stage
 
+RANK_BLOCK = 8192
+
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], weight: Column, name: str) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows of the group up to this one.
@@ -46,6 +48,28 @@ def rank_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "ran
     return running_total(df, keys, order, F.lit(1), name)
 
 
+def with_neighbours(ranked: DataFrame, keys: list[str], rank: str, value: str, reach: int, name: str) -> DataFrame:
+    """Add ``name``: the values of the rows at most ``reach`` ranks away, the row's own included.
+
+    Groups are cut into blocks of consecutive ranks and the rows next to a cut
+    are copied to both sides, so that a window over one block is enough.
+    """
+    def block(r):
+        return F.floor(r / RANK_BLOCK)
+
+    at = F.col(rank)
+    blocks = F.array_distinct(F.array(block(at - reach), block(at), block(at + reach)))
+    window = Window.partitionBy(*keys, "_block").orderBy(rank)
+    near = [F.lag(value, i).over(window) for i in range(reach, 0, -1)] + [F.col(value)]
+    near += [F.lead(value, i).over(window) for i in range(1, reach + 1)]
+    return (
+        ranked.withColumn("_block", F.explode(blocks))
+        .withColumn(name, F.array_compact(F.array(*near)))
+        .where(F.col("_block") == block(at))
+        .drop("_block")
+    )
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], limit: int, name: str = "rank") -> DataFrame:
     """First ``limit`` rows of every group.
 

@@ -1,85 +1,102 @@
-"""Matched-median skill premium for industries of medium size."""
+"""Matched-median skill premium for industries of medium size.
+
+An industry has at most ``REGRESSION_MIN_JOBS - 1`` jobs here. Its salaries are
+kept as one short sorted array; a skill brings the list of jobs that name it,
+and every count and median of the skill is read off those two arrays in its own
+row. So the jobs are never multiplied by the skills.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions import fixed_values as fv
 from jobweave.functions.scalars import experience_bucket
-from jobweave.operators.skills import industry_sizes, job_skills, skill_counts
+from jobweave.operators.skills import industry_sizes, job_skills
+from jobweave.session import stage
 
 KEY = "industry_group"
+BUCKETS = ("<4", ">=4")
+
+
+def _median(ordered: Column) -> Column:
+    """Median of an array that is already in order; null if it is empty."""
+    n = F.size(ordered)
+    low, high = F.get(ordered, F.floor((n - 1) / 2).cast("int")), F.get(ordered, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, (low + high) / 2)
+
+
+def _salaries(jobs: str, bucket: str | None = None) -> Column:
+    kept = F.col(jobs) if bucket is None else F.filter(jobs, lambda j: j["bucket"] == bucket)
+    return F.transform(kept, lambda j: j["y"])
 
 
-def flagged_jobs(sample: DataFrame) -> DataFrame:
-    """(skill, job) rows of every medium industry with a has-the-skill flag.
+def skill_contrasts(sample: DataFrame) -> DataFrame:
+    """Per (industry, skill) of medium industries: counts, median difference, and the same per bucket.
 
-    An industry has at most ``REGRESSION_MIN_JOBS - 1`` jobs here, so a skill
-    meets at most that many jobs and every median below is over a small set.
+    ``buckets`` holds (bucket, w, diff) for both experience buckets; ``diff`` is
+    null where one side is empty.
     """
     sizes = industry_sizes(sample, fv.ROBUST_MIN_JOBS, fv.REGRESSION_MIN_JOBS - 1)
-    medium = sample.join(sizes, KEY)
-    tokens = job_skills(medium)
-    skills = skill_counts(tokens).select(KEY, "skill")
-    jobs = medium.select(
-        KEY, "job_id", "n_jobs", "avg_salary", experience_bucket(F.col("exp_years")).alias("exp_bucket")
+    medium = sample.join(sizes.select(KEY), KEY, "left_semi")
+    job = F.struct(
+        F.col("avg_salary").alias("y"), "job_id", experience_bucket(F.col("exp_years")).alias("bucket")
     )
-    has = tokens.select(KEY, "skill", "job_id", F.lit(True).alias("_has"))
-    return (
-        jobs.join(skills, KEY)
-        .join(has, [KEY, "skill", "job_id"], "left")
-        .withColumn("has_skill", F.coalesce("_has", F.lit(False)))
-        .drop("_has")
+    jobs = medium.groupBy(KEY).agg(F.array_sort(F.collect_list(job)).alias("jobs"))
+    holders = (
+        job_skills(medium)
+        .groupBy(KEY, "skill")
+        .agg(F.sum("times").alias("_tokens"), F.collect_list("job_id").alias("holders"))
+        .where("_tokens >= 2")
+    )
+    split = holders.join(jobs, KEY).select(
+        KEY,
+        "skill",
+        F.filter("jobs", lambda j: F.array_contains("holders", j["job_id"])).alias("has"),
+        F.filter("jobs", lambda j: ~F.array_contains("holders", j["job_id"])).alias("lacks"),
     )
 
+    def diff(bucket: str | None = None) -> Column:
+        return _median(_salaries("has", bucket)) - _median(_salaries("lacks", bucket))
 
-def bucket_medians(flagged: DataFrame) -> DataFrame:
-    """Counts and median difference of every (skill, experience bucket)."""
-    y, has = F.col("avg_salary"), F.col("has_skill")
-    return flagged.groupBy(KEY, "skill", "exp_bucket").agg(
-        F.count_if(has).alias("w"),
-        (F.median(F.when(has, y)) - F.median(F.when(~has, y))).alias("diff"),
+    per_bucket = [
+        F.struct(F.lit(b).alias("bucket"), F.size(_salaries("has", b)).alias("w"), diff(b).alias("diff")) for b in BUCKETS
+    ]
+    contrasts = split.select(
+        KEY,
+        "skill",
+        (F.size("has") + F.size("lacks")).alias("n_samples"),
+        F.size("has").alias("n_with_skill"),
+        F.size("lacks").alias("n_without_skill"),
+        diff().alias("median_premium"),
+        F.array(*per_bucket).alias("buckets"),
     )
+    return stage(contrasts, "contrasts")  # later filters would repeat these expressions if pushed below them
 
 
 def robust_skill_values(sample: DataFrame, min_rows: int = fv.ROBUST_MIN_ROWS) -> DataFrame:
     """Skill value per medium industry; industries with too few usable skills are left out."""
-    flagged = flagged_jobs(sample)
-    y, has = F.col("avg_salary"), F.col("has_skill")
-    whole = (
-        flagged.groupBy(KEY, "skill")
-        .agg(
-            F.first("n_jobs").alias("n_samples"),
-            F.count_if(has).alias("n_with_skill"),
-            F.count_if(~has).alias("n_without_skill"),
-            (F.median(F.when(has, y)) - F.median(F.when(~has, y))).alias("median_premium"),
-        )
-        .where("n_with_skill >= 2 and n_without_skill >= 2")
-    )
-    matched = (
-        bucket_medians(flagged)
-        .where("diff is not null and exp_bucket is not null")
-        .groupBy(KEY, "skill")
-        .agg(
-            (F.sum(F.col("diff") * F.col("w")) / F.sum("w")).alias("coarse_match_premium"),
-            F.count(F.lit(1)).alias("matched_bucket_count"),
-        )
-    )
+    matched = F.filter("buckets", lambda b: b["diff"].isNotNull())
+    total = F.aggregate(matched, F.lit(0.0), lambda s, b: s + b["w"] * b["diff"])
+    weight = F.aggregate(matched, F.lit(0.0), lambda s, b: s + b["w"])
     match, median = F.col("coarse_match_premium"), F.col("median_premium")
     rows = (
-        whole.join(matched, [KEY, "skill"], "left")
-        .where(match.isNull() | (F.signum(match) == F.signum(median)))
+        skill_contrasts(sample)
+        .where("n_with_skill >= 2 and n_without_skill >= 2")
         .withColumns(
             {
-                "pure_skill_value": F.coalesce(match, median),
-                "matched_bucket_count": F.coalesce("matched_bucket_count", F.lit(0)),
-                "method": F.lit(fv.ROBUST_METHOD),
+                "coarse_match_premium": total / F.nullif(weight, F.lit(0.0)),
+                "matched_bucket_count": F.size(matched),
             }
         )
+        .where(match.isNull() | (F.signum(match) == F.signum(median)))
+        .select(
+            KEY, "skill", "n_samples", "n_with_skill", "n_without_skill", "median_premium", "coarse_match_premium",
+            F.coalesce(match, median).alias("pure_skill_value"), "matched_bucket_count", F.lit(fv.ROBUST_METHOD).alias("method"),
+        )
     )
-    usable = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_rows)
-    return rows.join(usable.select(KEY), KEY, "left_semi").select(
-        KEY, "skill", "n_samples", "n_with_skill", "n_without_skill", "median_premium",
-        "coarse_match_premium", "pure_skill_value", "matched_bucket_count", "method",
-    )
+    # a medium industry names few skills, so its rows fit one window
+    return rows.withColumn("_usable", F.count(F.lit(1)).over(Window.partitionBy(KEY))).where(
+        F.col("_usable") >= min_rows
+    ).drop("_usable")

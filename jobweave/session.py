@@ -43,9 +43,13 @@ def staging_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written."""
-    path = f"{staging_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

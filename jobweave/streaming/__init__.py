@@ -1,0 +1,5 @@
+"""Nothing to stream: every input is read whole.
+
+The row-wise columns in ``jobweave.functions`` hold no state, so they also work
+on a streaming DataFrame as they are.
+"""
