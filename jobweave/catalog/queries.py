@@ -25,7 +25,7 @@ from jobweave.operators import (
 )
 from jobweave.plans import flows
 from jobweave.schemas import POSTING
-from jobweave.session import stage, staging_path
+from jobweave.session import spread, stage, staging_path
 from jobweave.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,6 +221,10 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def spread_documents(spark, sf_dir):
+    return spread(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def normalized_text(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
@@ -233,18 +237,18 @@ def one_line_text(spark, sf_dir):
 
 @query
 def requirement_section(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.requirement_section(F.col("text"), LATIN).alias("section"))
+    return spread_documents(spark, sf_dir).select("doc_id", text.requirement_section(F.col("text"), LATIN).alias("section"))
 
 
 @query
 def cleaned_lines(spark, sf_dir):
     lines = F.posexplode(text.split_lines(F.col("text"), LATIN)).alias("pos", "line")
-    return documents(spark, sf_dir).select("doc_id", lines)
+    return spread_documents(spark, sf_dir).select("doc_id", lines)
 
 
 def _segments(spark, sf_dir):
     parts = F.posexplode(text.line_segments(text.split_lines(F.col("text"), LATIN))).alias("pos", "segment")
-    return documents(spark, sf_dir).select("doc_id", parts)
+    return spread_documents(spark, sf_dir).select("doc_id", parts)
 
 
 @query
@@ -264,14 +268,14 @@ def classified_segments(spark, sf_dir):
 
 @query
 def other_requirement(spark, sf_dir):
-    return documents(spark, sf_dir).select(
+    return spread_documents(spark, sf_dir).select(
         "doc_id", text.other_requirement(F.col("text"), LATIN).alias("other_requirement")
     )
 
 
 @query
 def frequent_phrases(spark, sf_dir):
-    return profiles.frequent_phrases(documents(spark, sf_dir), ["lang"], "text").withColumnRenamed("value", "phrase")
+    return profiles.frequent_phrases(spread(documents(spark, sf_dir).select("lang", "text")), ["lang"], "text").withColumnRenamed("value", "phrase")
 
 
 # --- cluster profiles -----------------------------------------------------------

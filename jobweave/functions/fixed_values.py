@@ -64,12 +64,12 @@ SKILL = (
 # --- fixed values: characters
 BULLETS = "-–—·•【】[]"
 LEADING_COLONS = "：:"
-SENTENCE_ENDS = r"([。；;])"
-COLONS = r"(?<!\d)([：:])"
+SENTENCE_ENDS = r"(?<=[。；;])"
+COLONS = r"(?<=(?<!\d)[：:])"
 SEGMENT_BREAK = r"[；;，,]+"
 SKILL_BREAK = r"[,;；]+"
 TAG_BREAK = r"[,;；\s]+"
-PHRASE_BREAKS = "；;。.!?,，、\n"
+PHRASE_BREAKS = r"[；;。.!?,，、\n\r]"
 OTHER_JOINER = "；"
 PHRASE_MIN_CHARS = 10
 PHRASE_TOP = 5

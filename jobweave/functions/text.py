@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,14 +55,37 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
+def _replace(text: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Whether ``pattern`` occurs in ``text``.
+
+    Plain alternatives are looked for as substrings, which is far cheaper than
+    trying every one of a long alternation at every character; the others stay
+    one regular expression.
+    """
+    options = [pattern] if re.search(r"[(\[]", pattern) else pattern.split("|")
+    special = re.compile(r"[.^$*+?{}\[\]\\()|]")
+    plain = [o for o in options if not special.search(o) and not (ignore_case and o.lower() != o.upper())]
+    rest = "|".join(wide(o) for o in options if o not in plain)
+    tests = [text.contains(o) for o in plain]
+    if rest:
+        tests.append(text.rlike(("(?i)" if ignore_case else "") + rest))
+    return reduce(or_, tests)
+
+
 def normalize_text(text: Column) -> Column:
     """CR to LF, wide blank to blank, ends stripped; null becomes empty."""
-    return strip(F.translate(F.coalesce(text, F.lit("")), "\r\u3000", "\n "))
+    return strip(_replace(F.coalesce(text, F.lit("")), {"\r": "\n", "\u3000": " "}))
 
 
 def one_line(text: Column) -> Column:
     """Line breaks to the segment joiner, ends stripped; null becomes empty."""
-    return strip(F.translate(F.coalesce(text, F.lit("")), "\n\r", fv.OTHER_JOINER * 2))
+    return strip(_replace(F.coalesce(text, F.lit("")), {"\n": fv.OTHER_JOINER, "\r": fv.OTHER_JOINER}))
 
 
 def clean_line(line: Column) -> Column:
@@ -70,9 +96,7 @@ def clean_line(line: Column) -> Column:
 
 def split_lines(text: Column, rules: TextRules = DEFAULT_RULES) -> Column:
     """Cleaned, non-empty lines that are not bare headings."""
-    broken = F.regexp_replace(normalize_text(text), fv.SENTENCE_ENDS, "$1\n")
-    broken = F.regexp_replace(broken, wide(fv.COLONS), "$1\n")
-    lines = F.transform(F.split(broken, LINE_BREAK), clean_line)
+    lines = F.transform(F.split(normalize_text(text), wide(f"{fv.SENTENCE_ENDS}|{fv.COLONS}|{LINE_BREAK}")), clean_line)
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(wide(rules.heading)))
 
 
@@ -93,21 +117,24 @@ def line_segments(lines: Column) -> Column:
 
 
 def is_ignored(line: Column, rules: TextRules = DEFAULT_RULES) -> Column:
-    pattern = "(?i)" + "|".join(wide(p) for p in rules.ignore)
-    return (line == "") | line.rlike(pattern)
+    return reduce(or_, [_matches(line, p, ignore_case=True) for p in rules.ignore], line == "")
 
 
 def classify_line(line: Column, rules: TextRules = DEFAULT_RULES, unmatched: str | None = "other") -> Column:
     """Label of a line by the first rule that fires; ``unmatched`` when none does."""
-    text = clean_line(line)
-    return (
-        F.when(is_ignored(text, rules), "ignore")
-        .when(text.rlike(wide(rules.education)), "other")
-        .when(text.rlike(wide(rules.age)) & ~text.rlike(wide(rules.age_blocked_by)), "other")
-        .when(text.rlike(wide(rules.experience)), "experience")
-        .when(text.rlike(wide(rules.skill)), "skill")
-        .otherwise(F.lit(unmatched))
-    )
+
+    def label(text: Column) -> Column:
+        return (
+            F.when(is_ignored(text, rules), "ignore")
+            .when(_matches(text, rules.education), "other")
+            .when(_matches(text, rules.age) & ~_matches(text, rules.age_blocked_by), "other")
+            .when(_matches(text, rules.experience), "experience")
+            .when(_matches(text, rules.skill), "skill")
+            .otherwise(F.lit(unmatched))
+        )
+
+    # bound once: written inline, the cleaned text would be computed again for every rule
+    return F.transform(F.array(clean_line(line)), label)[0]
 
 
 def requirement_segments(text: Column, rules: TextRules = DEFAULT_RULES) -> Column:
@@ -122,9 +149,7 @@ def other_requirement(text: Column, rules: TextRules = DEFAULT_RULES) -> Column:
 
 def phrases(text: Column, min_chars: int = fv.PHRASE_MIN_CHARS) -> Column:
     """Pieces of a text between punctuation marks, at least ``min_chars`` long."""
-    marks = fv.PHRASE_BREAKS
-    flat = F.translate(one_line(text), marks, fv.OTHER_JOINER * len(marks))
-    pieces = F.transform(F.split(flat, fv.OTHER_JOINER), strip)
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), fv.PHRASE_BREAKS), strip)
     return F.filter(pieces, lambda x: F.length(x) >= min_chars)
 
 

@@ -55,8 +55,7 @@ def _with_gaps(ranked: DataFrame, keys: list[str], rank: str) -> DataFrame:
 def ranked_salaries(sample: DataFrame) -> DataFrame:
     """(industry_group, job_id, ticks, at, base_m): rank in the industry and m with labels ignored."""
     rows = sample.select(KEY, "job_id", salary_ticks(F.col("avg_salary"), F.col("job_id")).alias("ticks"))
-    ranked = stage(rank_rows(rows, [KEY], ["ticks", "job_id"], "at"), "salary-ranks")
-    near = _with_gaps(ranked, [KEY], "at")
+    near = _with_gaps(rank_rows(rows, [KEY], ["ticks", "job_id"], "at"), [KEY], "at")
     radius = F.col("gaps")[F.least(F.lit(fv.NEIGHBOURS), F.size("gaps") - 1)]
     base = F.greatest(F.lit(1), F.size(F.filter("gaps", lambda g: g < radius)))
     return stage(near.select(KEY, "job_id", "ticks", "at", base.alias("base_m")), "salaries")
@@ -103,9 +102,12 @@ def _rows_within(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def mutual_information(sample: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(industry_group, skill, first_at, mi) for every valid skill of the sized industries."""
+    """(industry_group, skill, first_at, mi) for every valid skill.
+
+    ``sample`` holds the jobs of the industries in ``sizes`` and no others; it
+    is read several times, so it should be a stored table.
+    """
     k = fv.NEIGHBOURS
-    sample = stage(sample.join(sizes.select(KEY), KEY, "left_semi"), "mi-sample")
     rows = ranked_salaries(sample)
     tokens = job_skills(sample)
     counts = skill_counts(tokens).join(sizes, KEY).select(
@@ -117,7 +119,7 @@ def mutual_information(sample: DataFrame, sizes: DataFrame) -> DataFrame:
         .join(counts.select(KEY, "skill"), [KEY, "skill"], "left_semi")
         .join(rows.select(KEY, "job_id", "at"), [KEY, "job_id"])
     )
-    felt = rank_rows(stage(_rows_felt(ones, rows), "mi-felt"), [KEY, "skill", "has_skill"], ["at"], "nth")
+    felt = rank_rows(_rows_felt(ones, rows), [KEY, "skill", "has_skill"], ["at"], "nth")
     near = _with_gaps(felt, [KEY, "skill", "has_skill"], "nth")
     near = near.where(F.col("reach") <= k).join(counts.select(KEY, "skill", "n1", "n0"), [KEY, "skill"])
     c = F.when(F.col("has_skill"), F.col("n1")).otherwise(F.col("n0"))

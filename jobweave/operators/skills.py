@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions import fixed_values as fv
@@ -33,7 +35,7 @@ def job_skills(df: DataFrame) -> DataFrame:
     )
 
 
-def skill_counts(tokens: DataFrame, min_tokens: int = 2) -> DataFrame:
+def skill_counts(tokens: DataFrame, min_tokens: int = 2, extra: Sequence[Column] = ()) -> DataFrame:
     """Token and job counts per (industry, skill), and where the skill first appears.
 
     A skill is kept from ``min_tokens`` tokens on, counted as tokens: one job
@@ -45,6 +47,7 @@ def skill_counts(tokens: DataFrame, min_tokens: int = 2) -> DataFrame:
             F.sum("times").alias("token_cnt"),
             F.count(F.lit(1)).alias("job_cnt"),
             F.min(F.struct("job_id", "pos")).alias("first_at"),
+            *extra,
         )
         .where(F.col("token_cnt") >= min_tokens)
     )

@@ -56,3 +56,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than cores, dealt out evenly.
+
+    A file with one row group is one task, however many cores are idle; for work
+    that is heavy per row the small shuffle pays. With more files it is a no-op.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if len(df.inputFiles()) < width else df

@@ -84,7 +84,8 @@ def test_copied_postings_fold_before_pairing(spark):
     tokens = skills.job_skills(df)
     found = bundles.bundle_members(df).collect()
     assert len(found) == 60 and len({r["bundle"] for r in found}) == 1
-    assert bundles._twins(tokens, skills.skill_counts(tokens)).select("twin_of").distinct().count() == 2
+    counts = skills.skill_counts(tokens, extra=bundles.fingerprints())
+    assert bundles.twins(counts).select("twin_of").distinct().count() == 2
 
 
 def test_feature_names_stay_unique(spark):
