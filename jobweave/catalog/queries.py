@@ -574,7 +574,8 @@ def nearest_centroids(spark, sf_dir):
     fixed = points.where("job_id < 10").orderBy("job_id").collect()  # ten fixed rows
     centroids = [list(r["features"]) for r in fixed]
     best = {name: {len(centroids): kmeans.np.array(centroids)} for name in ("low", "high")}
-    return kmeans.assign(points.drop("labels"), best, [len(centroids)]).select(KEY, "job_id", F.col("labels")[0].alias("nearest"))
+    shared = spark.sparkContext.broadcast(best)
+    return kmeans.assign(points.drop("labels"), shared, [len(centroids)]).select(KEY, "job_id", F.col("labels")[0].alias("nearest"))
 
 
 @query

@@ -106,10 +106,15 @@ def salary_sample(df: DataFrame) -> DataFrame:
     else:
         raise ValueError("need avg_salary, or lower and upper salary columns")
     source = "merged_job_skills" if "merged_job_skills" in cols else "job_skills"
-    return df.select(
+    # plain comparisons, so that they reach the file scan; NaN counts as missing
+    kept = df.where(
+        F.col("industry_group").isNotNull() & (salary > 0) & ~F.isnan(salary)
+        & F.col("exp_numeric").isNotNull() & ~F.isnan("exp_numeric")
+    )
+    return kept.select(
         "job_id",
         "industry_group",
-        nan_to_null(salary).alias("avg_salary"),
-        (nan_to_null(F.col("exp_numeric")) * 10.0).alias("exp_years"),
+        salary.alias("avg_salary"),
+        (F.col("exp_numeric") * 10.0).alias("exp_years"),
         skill_tokens(F.col(source)).alias("skills_list"),
-    ).where("industry_group is not null and exp_years is not null and avg_salary > 0")
+    )

@@ -85,7 +85,7 @@ def skill_budgets(
     ranked = rank_rows(
         eligible.withColumns({"_all": F.lit(1), "_neg": -F.col("n_jobs")}), ["_all"], ["_neg", "industry_group"], "size_rank"
     )
-    total = eligible.agg(F.count(F.lit(1)).alias("_groups"), F.lit(1).alias("_all"))
+    total = F.broadcast(eligible.agg(F.count(F.lit(1)).alias("_groups"), F.lit(1).alias("_all")))  # one row
     step = F.lit(float(fewest - most)) / (F.col("_groups") - 1)
     budget = F.when(F.col("_groups") == 1, float(most)).otherwise((F.col("size_rank") - 1) * step + float(most))
     clipped = F.greatest(F.lit(fewest), F.least(F.lit(most), F.rint(budget).cast("int")))

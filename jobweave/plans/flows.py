@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobweave.functions import fixed_values as fv
 from jobweave.functions.scalars import prepare_postings, salary_sample
 from jobweave.functions.text import DEFAULT_RULES, TextRules, other_requirement
-from jobweave.functions.vectors import weighted_features
+from jobweave.functions.vectors import half_split, weighted_features
 from jobweave.operators import bundles, embedding, profiles, prompts, regression, robust, silhouette
 from jobweave.operators.kmeans import Settings
 from jobweave.session import stage
@@ -58,9 +58,14 @@ class Clusters:
     prompts: DataFrame
 
 
-def cluster_jobs(jobs: DataFrame, settings: Settings | None = None) -> Clusters:
-    """Cluster every industry with enough jobs and describe the clusters."""
-    features = weighted_features(F.col("exp_numeric"), F.col("skill_vec"), F.col("other_vec"))
+def cluster_jobs(jobs: DataFrame, settings: Settings | None = None, compat_half_split: bool = False) -> Clusters:
+    """Cluster every industry with enough jobs and describe the clusters.
+
+    ``compat_half_split`` cuts the flat vector into halves instead of using its
+    skill and text segments; the two agree when both segments have one length.
+    """
+    segments = F.col("exp_numeric"), F.col("skill_vec"), F.col("other_vec")
+    features = weighted_features(*(half_split(F.col("job_vec")) if compat_half_split else segments))
     points = jobs.where("industry_group is not null").select("industry_group", "job_id", features.alias("features"))
     assigned = silhouette.cluster_industries(stage(points, "features"), settings)
     slim = jobs.drop("skill_vec", "other_vec", "job_vec", "skills_list")

@@ -59,10 +59,10 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer files than cores, dealt out evenly.
+    """Rows of a table with fewer input splits than cores, dealt out evenly.
 
-    A file with one row group is one task, however many cores are idle; for work
-    that is heavy per row the small shuffle pays. With more files it is a no-op.
+    A small file is one or two tasks, however many cores are idle; for work that
+    is heavy per row the small shuffle pays. A large table is left as it is.
     """
     width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width) if len(df.inputFiles()) < width else df
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
