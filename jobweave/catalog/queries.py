@@ -121,7 +121,7 @@ def experience_buckets(spark, sf_dir):
 def skill_counts(spark, sf_dir):
     counts = skills.skill_counts(skills.job_skills(prepared(spark, sf_dir)))
     return counts.select(
-        KEY, "skill", "token_cnt", "job_cnt", F.col("first_at.job_id").alias("first_job"), F.col("first_at.pos").alias("first_pos")
+        KEY, "skill", "token_cnt", "job_cnt", "first_job", "first_pos"
     )
 
 
@@ -145,10 +145,10 @@ def feature_names(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir, threshold):
-    tokens = stage(skills.job_skills(prepared(spark, sf_dir)), "tokens")
-    sizes = skills.industry_sizes(prepared(spark, sf_dir))
+    jobs = stage(prepared(spark, sf_dir).select("job_id", KEY, "skills_list"), "jobs")
+    tokens, sizes = skills.job_skills(jobs), skills.industry_sizes(jobs)
     valid = stage(bundles.varying_skills(skills.skill_counts(tokens), sizes), "skills")
-    return bundles.skill_correlations(tokens, valid, threshold).select(
+    return bundles.skill_correlations(skills.distinct_skills(jobs), valid, threshold).select(
         KEY, "skill_a", "skill_b", "n_a", "n_b", "n_both", F.round("phi", 8).alias("phi")
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import fixed_values as fv
 from jobweave.operators.ordering import rank_rows, running_total, top_rows, with_neighbours
-from jobweave.operators.skills import job_skills, skill_counts
+from jobweave.operators.skills import distinct_skills, job_skills, skill_counts
 from jobweave.session import stage
 
 KEY = "industry_group"
@@ -102,20 +102,19 @@ def _rows_within(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def mutual_information(sample: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(industry_group, skill, first_at, mi) for every valid skill.
+    """(industry_group, skill, first_job, first_pos, mi) for every valid skill.
 
     ``sample`` holds the jobs of the industries in ``sizes`` and no others; it
     is read several times, so it should be a stored table.
     """
     k = fv.NEIGHBOURS
     rows = ranked_salaries(sample)
-    tokens = job_skills(sample)
-    counts = skill_counts(tokens).join(sizes, KEY).select(
-        KEY, "skill", "first_at", F.col("job_cnt").alias("n1"), (F.col("n_jobs") - F.col("job_cnt")).alias("n0")
+    counts = skill_counts(job_skills(sample)).join(sizes, KEY).select(
+        KEY, "skill", "first_job", "first_pos", F.col("job_cnt").alias("n1"), (F.col("n_jobs") - F.col("job_cnt")).alias("n0")
     )
     counts = stage(counts, "mi-counts")
     ones = (
-        tokens.select(KEY, "skill", "job_id")
+        distinct_skills(sample)
         .join(counts.select(KEY, "skill"), [KEY, "skill"], "left_semi")
         .join(rows.select(KEY, "job_id", "at"), [KEY, "job_id"])
     )
@@ -146,13 +145,12 @@ def mutual_information(sample: DataFrame, sizes: DataFrame) -> DataFrame:
         counts.join(replaced, [KEY, "skill"])
         .join(own, [KEY, "skill"], "left")
         .join(total, KEY)
-        .select(KEY, "skill", "first_at", F.greatest(F.lit(0.0), F.round(mi, 10)).alias("mi"))
+        .select(KEY, "skill", "first_job", "first_pos", F.greatest(F.lit(0.0), F.round(mi, 10)).alias("mi"))
     )
 
 
 def select_skills(scores: DataFrame, budgets: DataFrame) -> DataFrame:
     """Best-scored skills of each industry, as many as its budget allows; ties by first appearance."""
-    ranked = top_rows(
-        scores.join(budgets.select(KEY, "skill_budget"), KEY), [KEY], [F.desc("mi"), F.asc("first_at")], fv.SKILL_BUDGET_MAX
-    )
+    order = [F.desc("mi"), F.asc("first_job"), F.asc("first_pos")]
+    ranked = top_rows(scores.join(budgets.select(KEY, "skill_budget"), KEY), [KEY], order, fv.SKILL_BUDGET_MAX)
     return ranked.where(F.col("rank") <= F.col("skill_budget")).select(KEY, "skill", "mi", "rank")

@@ -35,18 +35,28 @@ def job_skills(df: DataFrame) -> DataFrame:
     )
 
 
+def distinct_skills(df: DataFrame) -> DataFrame:
+    """``job_skills`` without counts and positions."""
+    return df.where("industry_group is not null").select(
+        "industry_group", "job_id", F.explode(F.array_distinct("skills_list")).alias("skill")
+    )
+
+
 def skill_counts(tokens: DataFrame, min_tokens: int = 2, extra: Sequence[Column] = ()) -> DataFrame:
     """Token and job counts per (industry, skill), and where the skill first appears.
 
     A skill is kept from ``min_tokens`` tokens on, counted as tokens: one job
-    naming a skill twice is enough.
+    naming a skill twice is enough. A skill is at most once per job in
+    ``tokens``, so plain minima find its first appearance and the aggregate
+    stays a hash aggregate when job ids are numbers.
     """
     return (
         tokens.groupBy("industry_group", "skill")
         .agg(
             F.sum("times").alias("token_cnt"),
             F.count(F.lit(1)).alias("job_cnt"),
-            F.min(F.struct("job_id", "pos")).alias("first_at"),
+            F.min("job_id").alias("first_job"),
+            F.min_by("pos", "job_id").alias("first_pos"),
             *extra,
         )
         .where(F.col("token_cnt") >= min_tokens)
@@ -97,8 +107,8 @@ def feature_names(counts: DataFrame) -> DataFrame:
     named = counts.select(
         "industry_group",
         "skill",
-        F.col("first_at.job_id").alias("_job"),
-        F.col("first_at.pos").alias("_pos"),
+        F.col("first_job").alias("_job"),
+        F.col("first_pos").alias("_pos"),
         safe_base_name(F.col("skill")).alias("feature"),
     )
     while True:
