@@ -565,6 +565,7 @@ FROM sample JOIN sz USING (industry_group) WHERE n_jobs >= 70 GROUP BY industry_
 ORACLES["csv_text_round_trip"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents"
 ORACLES["csv_typed_round_trip"] = f"""WITH {POSTINGS_SQL}
 SELECT job_id, industry_group, job_skills, experience_required, round(salary_min, 4) AS salary_min, round(salary_max, 4) AS salary_max FROM postings"""
+ORACLES["saved_table_round_trip"] = ORACLES["interaction_table"]
 ORACLES["clustered_files"] = CLUSTERED + """
 SELECT translate(industry_group, '/ ', '__') AS industry_key, cluster, job_count AS n_jobs FROM clu_size"""
 ORACLES["prompt_files"] = PROMPTS + "SELECT industry_group, cluster, naming_prompt, requirements_prompt, cache_key FROM asked"

@@ -26,7 +26,7 @@ from jobweave.operators import (
 from jobweave.plans import flows
 from jobweave.schemas import POSTING
 from jobweave.session import spread, stage, staging_path
-from jobweave.sources import files
+from jobweave.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEY = "industry_group"
@@ -697,6 +697,14 @@ def csv_typed_round_trip(spark, sf_dir):
     )
 
 
+@query
+def saved_table_round_trip(spark, sf_dir):
+    """The interaction table saved in the catalog and read by name."""
+    rows = warehouse.interactions(_warehouse_events(spark, sf_dir))
+    tables.save_table(rows, "interaction_table", path=staging_path(spark, "interaction-table"))
+    return tables.load_table(spark, "interaction_table")
+
+
 @query
 def clustered_files(spark, sf_dir):
     """Clustered postings written one folder per industry, counted from the folders."""

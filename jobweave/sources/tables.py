@@ -32,8 +32,9 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
     df.write.jdbc(url, table, mode=mode, properties=properties)
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).saveAsTable(name)
+def save_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> None:
+    """A catalog table; with a path it is an external one."""
+    df.write.mode(mode).saveAsTable(name, path=path)
 
 
 def load_table(spark: SparkSession, name: str) -> DataFrame:

@@ -194,6 +194,7 @@ def brute_silhouette(x, labels):
 
 def test_silhouette_over_many_blocks_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(silhouette, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(silhouette, "CHUNK_ROWS", 5)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(90, 4))
     labels = rng.integers(0, 4, (90, 2))
