@@ -34,7 +34,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
 
 def save_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> None:
     """A catalog table; with a path it is an external one."""
-    df.write.mode(mode).saveAsTable(name, path=path)
+    writer = df.write.mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def load_table(spark: SparkSession, name: str) -> DataFrame:
