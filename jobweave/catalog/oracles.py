@@ -149,7 +149,7 @@ ORACLES["skill_edges"] = PAIRS + """
 SELECT industry_group, skill_a, skill_b, n_a, n_b, n_both, round(phi, 8) AS phi FROM cor WHERE phi > 0.75"""
 ORACLES["skill_components"] = BUNDLES + "SELECT industry_group, skill, component FROM comp"
 ORACLES["skill_merge_preview"] = BUNDLES + "SELECT industry_group, suggested_label, original_skills FROM named"
-ORACLES["merged_job_skills"] = BUNDLES + """,
+MERGED = BUNDLES + """,
 relabelled AS (
   SELECT t.job_id, coalesce(n.suggested_label, t.skill) AS skill, min(t.pos) AS pos
   FROM (SELECT job_id, industry_group, unnest(skills_list) AS skill, generate_subscripts(skills_list, 1) AS pos FROM prep) t
@@ -157,8 +157,11 @@ relabelled AS (
   LEFT JOIN named n ON n.industry_group = c.industry_group AND n.component = c.component
   GROUP BY ALL
 ),
-joined AS (SELECT job_id, string_agg(skill, ',' ORDER BY pos) AS merged_job_skills FROM relabelled GROUP BY job_id)
-SELECT p.job_id, industry_group, coalesce(merged_job_skills, '') AS merged_job_skills FROM prep p LEFT JOIN joined j ON j.job_id = p.job_id"""
+joined AS (SELECT job_id, string_agg(skill, ',' ORDER BY pos) AS merged_job_skills FROM relabelled GROUP BY job_id),
+merged AS (
+  SELECT p.*, coalesce(merged_job_skills, '') AS merged_job_skills FROM prep p LEFT JOIN joined j ON j.job_id = p.job_id
+)"""
+ORACLES["merged_job_skills"] = MERGED + "SELECT job_id, industry_group, merged_job_skills FROM merged"
 ORACLES["industry_routes"] = SAMPLE + """
 SELECT industry_group, n_jobs, CASE WHEN n_jobs >= 70 THEN 'regression' WHEN n_jobs >= 10 THEN 'robust' ELSE 'none' END AS route FROM sz"""
 ORACLES["skill_budgets"] = SAMPLE + """,
@@ -571,3 +574,42 @@ SELECT translate(industry_group, '/ ', '__') AS industry_key, cluster, job_count
 ORACLES["prompt_files"] = PROMPTS + "SELECT industry_group, cluster, naming_prompt, requirements_prompt, cache_key FROM asked"
 ORACLES["reply_cache_round_trip"] = PROMPTS + "SELECT cache_key, name AS profile_name, items AS other_requirements FROM answered"
 ORACLES["experience_from_wide_vectors"] = VECS + "SELECT job_id, label, round(v[1], 8) AS exp_numeric FROM vecs"
+ORACLES["posting_features"] = MERGED + """,
+tag AS (SELECT job_id, unnest([x FOR x IN regexp_split_to_array(merged_job_skills, '[,;；\\s]+') IF x <> '']) AS tag FROM merged),
+lookup AS (SELECT 'Brand#' || vec_id AS tag, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+dims AS (SELECT job_id, dim, avg(v) AS v FROM tag JOIN lookup USING (tag) GROUP BY job_id, dim),
+found AS (SELECT job_id, list(v ORDER BY dim) AS v FROM dims GROUP BY job_id),
+coded AS (SELECT m.*, coalesce(f.v, [0e0 FOR x IN range(64)]) AS v FROM merged m LEFT JOIN found f ON f.job_id = m.job_id)
+SELECT job_id, round(exp_numeric, 6) AS exp_numeric, round(avg_salary, 4) AS avg_salary, merged_job_skills,
+       CAST(len(v) AS INTEGER) AS dims, round(sqrt(list_sum([x * x FOR x IN v])), 5) AS norm,
+       round(list_sum([x * i FOR x, i IN v]), 5) AS weighted_sum FROM coded"""
+
+ORACLES["plain_exp_curve"] = SAMPLE + """,
+x AS (SELECT industry_group, avg_salary AS y, exp_years AS a, exp_years ** 1.5e0 AS b FROM sample JOIN sz USING (industry_group) WHERE n_jobs >= 70),
+m AS (
+  SELECT industry_group, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+         covar_pop(a, y) AS ya, covar_pop(b, y) AS yb FROM x GROUP BY industry_group
+),
+c AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS ca, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS cb FROM m)
+SELECT industry_group, CAST(e AS DOUBLE) AS years_experience, round(my - ca * ma - cb * mb + ca * e + cb * e ** 1.5e0, 2) AS predicted_salary
+FROM c CROSS JOIN range(11) t(e)"""
+
+ORACLES["chosen_k"] = VECS + """,
+pts AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS industry_group, job_id, v, k, label % k AS own FROM vecs, range(2, 6) t(k)),
+d AS (
+  SELECT a.industry_group, a.k, a.job_id, a.own, b.own AS cluster, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
+  FROM pts a JOIN pts b ON a.industry_group = b.industry_group AND a.k = b.k GROUP BY ALL
+),
+ab AS (
+  SELECT industry_group, k, job_id, max(CASE WHEN own = cluster AND n > 1 THEN total / (n - 1) END) AS a,
+         min(CASE WHEN own <> cluster THEN total / n END) AS b FROM d GROUP BY ALL
+),
+sc AS (SELECT industry_group, k, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY ALL)
+SELECT industry_group, CAST(arg_min(k, (-s, k)) AS INTEGER) AS k, round(max(s), 7) AS silhouette FROM sc GROUP BY 1"""
+ORACLES["numbered_clusters"] = VECS + """,
+pts AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS industry_group, label, job_id FROM vecs),
+nums AS (
+  SELECT industry_group, label, CAST(row_number() OVER (PARTITION BY industry_group ORDER BY count(*) DESC, min(job_id)) AS INTEGER) AS cluster
+  FROM pts GROUP BY 1, 2
+)
+SELECT industry_group, job_id, cluster FROM pts JOIN nums USING (industry_group, label)"""

@@ -567,6 +567,21 @@ def silhouette_scores(spark, sf_dir):
     )
 
 
+@query
+def chosen_k(spark, sf_dir):
+    """k by silhouette among four given groupings of the labels, two to five clusters."""
+    settings = kmeans.Settings(max_k=5)
+    models = F.array(*[F.col("labels")[0] % k for k in settings.counts])
+    points = stage(_labelled_points(spark, sf_dir).withColumn("labels", models), "points")
+    return silhouette.choose_k(points, settings).select(KEY, "k", F.round("silhouette", 7).alias("silhouette"))
+
+
+@query
+def numbered_clusters(spark, sf_dir):
+    points = stage(_labelled_points(spark, sf_dir).select(KEY, "job_id", F.col("labels")[0].alias("label")), "labelled")
+    return silhouette.number_clusters(points, fv.MAX_CLUSTERS)
+
+
 @query
 def nearest_centroids(spark, sf_dir):
     """One assignment step to given centroids: the first ten vectors, in two industries."""
@@ -666,6 +681,16 @@ def experience_slopes(spark, sf_dir):
     )
 
 
+@query
+def plain_exp_curve(spark, sf_dir):
+    """The experience curve of the two experience terms alone, which SQL can solve in closed form."""
+    sample, sizes = _large(spark, sf_dir)
+    none = _selected(sample, sizes).where("rank < 1")
+    rows = regression.design_rows(sample, skills.job_skills(sample), none, None)
+    curve = regression.exp_curve(regression.solve(regression.moments(rows)))
+    return curve.withColumn("predicted_salary", F.round("predicted_salary", 2))
+
+
 @query
 def skill_impact(spark, sf_dir):
     return regression.skill_impact(*regression.fit_industries(staged_sample(spark, sf_dir)))
@@ -745,6 +770,19 @@ def _job_vectors(spark, sf_dir):
     return flows.build_job_vectors(postings(spark, sf_dir), embedding.hashed_ngrams(32), 32, lookup, 64).jobs
 
 
+@query
+def posting_features(spark, sf_dir):
+    """Experience, salary, merged skills and the mean vector of the merged skills of every posting."""
+    lookup = embeddings(spark, sf_dir).select(F.concat(F.lit("Brand#"), F.col("job_id")).alias("tag"), "vec")
+    jobs = stage(prepared(spark, sf_dir).select("job_id", KEY, "exp_numeric", "avg_salary", "skills_list"), "prepared")
+    merged = bundles.apply_merges(jobs, bundles.bundle_members(jobs))
+    coded = embedding.tag_vectors(merged, text.tag_list(F.col("merged_job_skills")), lookup, 64)
+    return coded.select(
+        "job_id", money("exp_numeric", 6).alias("exp_numeric"), money("avg_salary").alias("avg_salary"),
+        "merged_job_skills", *_fingerprint(F.col("skill_vec")),
+    )
+
+
 @query
 def job_vector_table(spark, sf_dir):
     """Experience, salary, merged skills and vectors of every posting."""
