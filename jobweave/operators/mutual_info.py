@@ -17,11 +17,11 @@ skill is ever gathered into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions import fixed_values as fv
-from jobweave.operators.ordering import rank_rows, running_total, top_rows, with_neighbours
+from jobweave.operators.ordering import own_block, rank_block, rank_rows, running_total, top_rows, with_blocks, with_neighbours
 from jobweave.operators.skills import distinct_skills, job_skills, skill_counts
 from jobweave.session import stage
 
@@ -68,10 +68,26 @@ def _rows_felt(ones: DataFrame, rows: DataFrame) -> DataFrame:
     among the same-label neighbours of those.
     """
     far = 2 * fv.NEIGHBOURS
+    window = Window.partitionBy(KEY, "skill", "_block").orderBy("at")
+    p, before, after = F.col("at"), F.col("_before"), F.col("_after")
+
+    def reached(x, reach):
+        return F.struct(x.alias("at"), reach.cast("long").alias("reach"))
+
+    # each row is listed once: by the carrier before it if that is near, else by the one after it
+    to_right = F.filter(F.sequence(p + 1, p + far), lambda x: after.isNull() | (x < after))
+    to_left = F.filter(F.sequence(p - far, p - 1), lambda x: before.isNull() | (x > before + far))
+    listed = F.concat(
+        F.array(reached(p, F.lit(0))),
+        F.transform(to_right, lambda x: reached(x, F.least(x - p, F.coalesce(after - x, x - p)))),
+        F.transform(to_left, lambda x: reached(x, p - x)),
+    )
     return (
-        ones.withColumn("_shift", F.explode(F.sequence(F.lit(-far), F.lit(far))))
-        .groupBy(KEY, "skill", (F.col("at") + F.col("_shift")).alias("at"))
-        .agg(F.min(F.abs("_shift")).alias("reach"))
+        with_blocks(ones, "at", 2 * far)
+        .withColumns({"_before": F.lag("at").over(window), "_after": F.lead("at").over(window)})
+        .where(own_block("at"))
+        .select(KEY, "skill", F.explode(listed).alias("x"))
+        .select(KEY, "skill", "x.at", "x.reach")
         .join(rows.select(KEY, "at", "ticks", "base_m"), [KEY, "at"])
         .withColumn("has_skill", F.col("reach") == 0)
     )
@@ -118,7 +134,7 @@ def mutual_information(sample: DataFrame, sizes: DataFrame) -> DataFrame:
         .join(counts.select(KEY, "skill"), [KEY, "skill"], "left_semi")
         .join(rows.select(KEY, "job_id", "at"), [KEY, "job_id"])
     )
-    felt = rank_rows(_rows_felt(ones, rows), [KEY, "skill", "has_skill"], ["at"], "nth")
+    felt = rank_rows(_rows_felt(ones, rows), [KEY, "skill", "has_skill"], ["at"], "nth", rank_block("at"))
     near = _with_gaps(felt, [KEY, "skill", "has_skill"], "nth")
     near = near.where(F.col("reach") <= k).join(counts.select(KEY, "skill", "n1", "n0"), [KEY, "skill"])
     c = F.when(F.col("has_skill"), F.col("n1")).otherwise(F.col("n0"))

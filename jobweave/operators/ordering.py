@@ -16,17 +16,21 @@ from jobweave.session import shuffle_width, stage
 RANK_BLOCK = 8192
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], weight: Column, name: str) -> DataFrame:
+def running_total(
+    df: DataFrame, keys: list[str], order: list[str], weight: Column, name: str, ranges: Column | None = None
+) -> DataFrame:
     """Add ``name``: the sum of ``weight`` over the rows of the group up to this one.
 
-    ``order`` must be a total order within a group.
+    ``order`` must be a total order within a group. ``ranges`` may give a number
+    that never falls along the order and has few rows per value; without it the
+    rows are sampled and range-partitioned.
     """
-    width = shuffle_width(df.sparkSession)
-    spread = (
-        df.withColumn("_weight", weight.cast("long"))
-        .repartitionByRange(width, *keys, *order)
-        .withColumn("_range", F.spark_partition_id())
-    )
+    spread = df.withColumn("_weight", weight.cast("long"))
+    if ranges is None:
+        width = shuffle_width(df.sparkSession)
+        spread = spread.repartitionByRange(width, *keys, *order).withColumn("_range", F.spark_partition_id())
+    else:
+        spread = spread.withColumn("_range", ranges)
     spread = stage(spread, "ranges")  # range bounds are sampled: fix them before using them twice
     inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,29 +47,43 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], weight: Colu
     )
 
 
-def rank_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+def rank_rows(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "rank", ranges: Column | None = None
+) -> DataFrame:
     """1-based position of each row in its group."""
-    return running_total(df, keys, order, F.lit(1), name)
+    return running_total(df, keys, order, F.lit(1), name, ranges)
 
 
-def with_neighbours(ranked: DataFrame, keys: list[str], rank: str, value: str, reach: int, name: str) -> DataFrame:
-    """Add ``name``: the values of the rows at most ``reach`` ranks away, the row's own included.
+def rank_block(rank: str) -> Column:
+    """Block of consecutive ranks a row lies in."""
+    return F.floor(F.col(rank) / RANK_BLOCK)
 
-    Groups are cut into blocks of consecutive ranks and the rows next to a cut
-    are copied to both sides, so that a window over one block is enough.
-    """
-    def block(r):
-        return F.floor(r / RANK_BLOCK)
 
+def with_blocks(ranked: DataFrame, rank: str, reach: int) -> DataFrame:
+    """Add ``_block``, a block of consecutive ranks; rows within ``reach`` of a cut are copied to both sides.
+
+    A window over one block then sees all rows at most ``reach`` ranks away.
+    ``own_block`` keeps one copy of each row afterwards.
+    """
     at = F.col(rank)
-    blocks = F.array_distinct(F.array(block(at - reach), block(at), block(at + reach)))
+    return ranked.withColumn(
+        "_block", F.explode(F.array_distinct(F.array(*[F.floor(r / RANK_BLOCK) for r in (at - reach, at, at + reach)])))
+    )
+
+
+def own_block(rank: str) -> Column:
+    return F.col("_block") == rank_block(rank)
+
+
+def with_neighbours(ranked: DataFrame, keys: list[str], rank: str, value: str, reach: int, name: str) -> DataFrame:
+    """Add ``name``: the values of the rows at most ``reach`` ranks away, the row's own included."""
     window = Window.partitionBy(*keys, "_block").orderBy(rank)
     near = [F.lag(value, i).over(window) for i in range(reach, 0, -1)] + [F.col(value)]
     near += [F.lead(value, i).over(window) for i in range(1, reach + 1)]
     return (
-        ranked.withColumn("_block", F.explode(blocks))
+        with_blocks(ranked, rank, reach)
         .withColumn(name, F.array_compact(F.array(*near)))
-        .where(F.col("_block") == block(at))
+        .where(own_block(rank))
         .drop("_block")
     )
 
