@@ -104,7 +104,8 @@ def forest_of_buckets(
     met = join_by_key(rows, counts, ["bucket", "key"], "size", total)
     dealt = deal_blocks(met, ["bucket", "key"], "size").join(payload, "node")
     keys = ["bucket", "key", "lo", "hi"]
-    sorted_rows = dealt.select(*keys, "side", "node", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    # In order of the nodes too: every bucket then names its trees by their smallest node, and buckets agree on edges.
+    sorted_rows = dealt.select(*keys, "side", "node", "sketch").repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in whole_groups(batches, keys):
