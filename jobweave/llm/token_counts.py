@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm.arrow import slices, text_bytes
 from jobweave.llm.pieces import default_model, load, reachable
-from jobweave.session import stage
+from jobweave.session import stage, staging_path
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
@@ -146,7 +146,10 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2") ->
 
 def document_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """(id, n_tokens) of every document, counted from token files written of them; ids are matched by order in the file."""
-    blocks = stage(write_token_blocks(docs, id_column, text, model), "token-blocks")
+    blocks = write_token_blocks(docs, id_column, text, model)
+    files = staging_path(docs.sparkSession, "token-blocks")
+    blocks.write.option("compression", "zstd").parquet(files)
+    blocks = docs.sparkSession.read.schema(blocks.schema).parquet(files)
     counts = count_tokens(blocks)
     begun = stage(before_blocks(blocks.select("file", "block", "doc_ids", F.size("doc_ids").alias("begun")), "begun", "before"), "begun")
     names = begun.select("file", "before", F.posexplode("doc_ids").alias("k", "id")).select("file", (F.col("before") + F.col("k")).alias("doc_no"), "id")
