@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row with the smallest id stays."""
     _, nodes = classes(docs, id_column, text, threshold)
-    node, rid = free_name(docs, "node"), free_name(docs, "rid")
+    node, kept_id, copies = (free_name(docs, n) for n in ("node", "kept_id", "copies"))
     # Which row of which set stays: one light row per class.
     stays = nodes.where("first_id <=> class_id").groupBy("cls").agg(F.min("node").alias("kept_node"))
     stays = stage(
@@ -204,13 +204,12 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thr
     )
     named = add_columns(docs, text, [(node, "binary")], lambda c: [[set_key(s) for s in shingle_sets(*text_bytes(c), SHINGLE)]])
     alone = named.where(F.col(node).isNull()).drop(node)
-    # The kept row has its set's name and its smallest id, so the join is on both: no hot key on either side.
-    named = named.where(F.col(node).isNotNull()).withColumn(rid, F.col(id_column))
-    kept = named.join(
-        stays.select(F.col("kept_node").alias(node), F.col("kept_id").alias("_kept"), F.col("copies").alias("_copies")),
-        node,
-    ).where(F.col(rid).eqNullSafe(F.col("_kept")))
-    once = kept.where("_copies = 1").drop(node, rid, "_kept", "_copies")
+    # The kept row has its set's name and its smallest id. Only one set of a class is named, so no copies but its own meet.
+    named = named.where(F.col(node).isNotNull())
+    side = stays.select(F.col("kept_node").alias(node), F.col("kept_id").alias(kept_id), F.col("copies").alias(copies))
+    total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    kept = join_by_key(named, side, [node], copies, total).where(F.col(id_column).eqNullSafe(F.col(kept_id)))
+    once = kept.where(F.col(copies) == 1).drop(node, kept_id, copies)
     # Rows repeated with the same id: one of them stays.
-    repeated = kept.where("_copies > 1").dropDuplicates([node]).drop(node, rid, "_kept", "_copies")
+    repeated = kept.where(F.col(copies) > 1).dropDuplicates([node]).drop(node, kept_id, copies)
     return once.unionByName(repeated).unionByName(alone).select(*docs.columns)
