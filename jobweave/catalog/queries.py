@@ -579,7 +579,7 @@ def chosen_k(spark, sf_dir):
 @query
 def numbered_clusters(spark, sf_dir):
     points = stage(_labelled_points(spark, sf_dir).select(KEY, "job_id", F.col("labels")[0].alias("label")), "labelled")
-    return silhouette.number_clusters(points, fv.MAX_CLUSTERS)
+    return silhouette.number_clusters(points)
 
 
 @query

@@ -41,9 +41,10 @@ def digamma(n: Column) -> Column:
 
 
 def salary_ticks(salary: Column, job_id: Column) -> Column:
-    """Salary in whole cents, with ties broken by a hash of the job below one cent."""
+    """Salary in whole cents, with ties broken by a hash of the job below one cent; wide enough for any wrong salary."""
     tie = F.conv(F.substring(F.md5(job_id.cast("string")), 1, TIE_BITS // 4), 16, 10).cast("long")
-    return F.round(salary * 100).cast("long") * F.lit(1 << TIE_BITS) + tie
+    cents = F.round(salary * 100).cast("decimal(27,0)")
+    return (cents * F.lit(1 << TIE_BITS).cast("decimal(7,0)") + tie).cast("decimal(38,0)")
 
 
 def _with_gaps(ranked: DataFrame, keys: list[str], rank: str) -> DataFrame:
@@ -168,5 +169,6 @@ def mutual_information(sample: DataFrame, sizes: DataFrame) -> DataFrame:
 def select_skills(scores: DataFrame, budgets: DataFrame) -> DataFrame:
     """Best-scored skills of each industry, as many as its budget allows; ties by first appearance."""
     order = [F.desc("mi"), F.asc("first_job"), F.asc("first_pos")]
-    ranked = top_rows(scores.join(budgets.select(KEY, "skill_budget"), KEY), [KEY], order, fv.SKILL_BUDGET_MAX)
+    most = budgets.agg(F.max("skill_budget")).first()[0] or 0
+    ranked = top_rows(scores.join(budgets.select(KEY, "skill_budget"), KEY), [KEY], order, most)
     return ranked.where(F.col("rank") <= F.col("skill_budget")).select(KEY, "skill", "mi", "rank")

@@ -103,7 +103,11 @@ def skill_budgets(
 
 
 def feature_names(counts: DataFrame) -> DataFrame:
-    """Unique formula-safe names: collisions get _1, _2, ... in order of appearance."""
+    """Unique formula-safe names: in order of appearance, a taken name is its base with the first free of _1, _2, ...
+
+    Names can only meet where their bases are equal without trailing numbers, so each such family of an industry's
+    skills is named by itself.
+    """
     named = counts.select(
         "industry_group",
         "skill",
@@ -111,11 +115,20 @@ def feature_names(counts: DataFrame) -> DataFrame:
         F.col("first_pos").alias("_pos"),
         safe_base_name(F.col("skill")).alias("feature"),
     )
-    while True:
-        ranked = rank_rows(named, ["industry_group", "feature"], ["_job", "_pos"], "_nth")
-        suffix = F.when(F.col("_nth") > 1, F.concat(F.lit("_"), (F.col("_nth") - 1).cast("string"))).otherwise("")
-        named = stage(ranked.withColumn("feature", F.concat("feature", suffix)).drop("_nth"), "names")
-        # a numbered name can meet another skill's own name: number those again
-        clash = named.groupBy("industry_group", "feature").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if clash.isEmpty():
-            return named.select("industry_group", "skill", "feature")
+    member = F.struct("_job", "_pos", "skill", "feature")
+    families = named.groupBy("industry_group", F.regexp_replace("feature", r"(_[0-9]+)+$", "").alias("_root")).agg(
+        F.array_sort(F.collect_list(member)).alias("_members")
+    )
+
+    def free(base: Column, used: Column) -> Column:
+        offers = F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda i: F.concat(base, F.lit("_"), i.cast("string")))
+        return F.when(~F.array_contains(used, base), base).otherwise(F.filter(offers, lambda n: ~F.array_contains(used, n))[0])
+
+    named_so_far = F.aggregate(
+        "_members",
+        F.array().cast("array<struct<skill:string,feature:string>>"),
+        lambda done, m: F.concat(
+            done, F.array(F.struct(m["skill"].alias("skill"), free(m["feature"], F.transform(done, lambda d: d["feature"])).alias("feature")))
+        ),
+    )
+    return families.select("industry_group", F.explode(named_so_far).alias("_n")).select("industry_group", "_n.skill", "_n.feature")

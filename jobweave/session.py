@@ -11,6 +11,7 @@ hint of ours.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def staging_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, one sub-folder per application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="jobweave-")
         spark.conf.set("spark.checkpoint.dir", root)

@@ -115,7 +115,7 @@ def test_flows_end_to_end(spark, tmp_path):
     clean = flows.extract_requirements(postings(spark))
     built = flows.build_job_vectors(clean, hashed_ngrams(16), 16)
     labels = {r["suggested_label"] for r in built.merge_preview.collect()}
-    assert {"Spring技能包", "谈判技能包"} <= labels or len(labels) >= 1
+    assert labels and all(label.endswith("技能包") for label in labels)
     jobs = stage(built.jobs, "jobs")
     assert jobs.count() == 160 and jobs.select(F.size("job_vec")).distinct().collect()[0][0] == 33
 
