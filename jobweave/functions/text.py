@@ -158,6 +158,12 @@ def tag_list(tags: Column) -> Column:
     return F.filter(F.split(F.coalesce(tags, F.lit("")), wide(fv.TAG_BREAK)), lambda x: strip(x) != "")
 
 
+def tag_items(tags: Column) -> Column:
+    """Tags that are a list already: stripped, empty and missing ones left out, not cut any further."""
+    bare = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: strip(x.cast("string")))
+    return F.filter(bare, lambda x: F.coalesce(x, F.lit("")) != "")
+
+
 def sentence_list(text: Column) -> Column:
     """A text as a list of zero or one non-empty sentences."""
     bare = strip(F.coalesce(text, F.lit("")))

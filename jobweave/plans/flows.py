@@ -46,7 +46,7 @@ def build_job_vectors(
     """Postings to comparable numbers, merged skills and vectors, and the preview of the merges."""
     prepared = stage(prepare_postings(postings), "prepared")
     members = bundles.bundle_members(prepared.select("job_id", "industry_group", "skills_list"), threshold)
-    merged = bundles.apply_merges(prepared, members)
+    merged = stage(bundles.apply_merges(prepared, members), "merged")  # the vectors read it several times
     jobs = embedding.vectorize(merged, encode, dims, lookup, lookup_dims)
     return JobVectors(jobs, bundles.merge_preview(members))
 

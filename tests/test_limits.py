@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from jobweave.functions import vectors
+from jobweave.functions import text, vectors
 from jobweave.operators import mutual_info, silhouette, skills
 from jobweave.sources import files
 
@@ -62,6 +62,11 @@ def test_reply_cache_starts_empty_and_grows(spark, tmp_path):
     assert sorted((r.cache_key, r.profile_name) for r in files.read_reply_cache(spark, path).collect()) == [("a", "four"), ("b", "three")]
 
 
+def test_listed_tags_are_not_cut(spark):
+    df = spark.createDataFrame([([" a b ", "", None, "c,d"],), (None,)], "v array<string>")
+    assert [r.t for r in df.select(text.tag_items(F.col("v")).alias("t")).collect()] == [["a b", "c,d"], []]
+
+
 def test_result_sink(spark, tmp_path):
     df = spark.createDataFrame([("g", 1.5)], "industry_group string, v double")
     files.write_result(df.limit(0), str(tmp_path / "empty"))
