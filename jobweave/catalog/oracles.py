@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from jobweave.catalog.views import LATIN, POSTINGS_SQL
+from jobweave.functions import fixed_values as fv
 from jobweave.functions.text import WHITE
 from jobweave.operators import prompts
 
@@ -430,6 +431,61 @@ skill_vec AS (SELECT p.job_id, exp_numeric, coalesce(f.v, [0e0 FOR x IN range(64
 ORACLES["tag_vectors"] = TAGGED + ", vectors AS (SELECT job_id, v FROM skill_vec)" + FINGERPRINT
 ORACLES["job_vectors"] = TAGGED + ", vectors AS (SELECT job_id, list_concat([exp_numeric], v, list_reverse(v)) AS v FROM skill_vec)" + FINGERPRINT
 
+
+
+def _encoded(source: str, key: str, column: str, dims: int, name: str) -> str:
+    """CTEs ending in ``name`` (key, v): unit vectors of md5-bucketed character trigrams; empty texts are left out."""
+    return f""",
+{name}_chars AS (SELECT {key}, {column} AS t, regexp_extract_all({column}, '(?s).') AS c FROM {source} WHERE {column} <> ''),
+{name}_grams AS (
+  SELECT {key}, unnest(CASE WHEN len(c) < 3 THEN [t] ELSE [c[i] || ' ' || c[i + 1] || ' ' || c[i + 2] FOR i IN range(1, len(c) - 1)] END) AS g
+  FROM {name}_chars
+),
+{name}_buckets AS (
+  SELECT {key}, CAST('0x' || substr(md5(g), 1, 6) AS INTEGER) % {dims} AS d, count(*) AS n FROM {name}_grams GROUP BY ALL
+),
+{name}_maps AS (SELECT {key}, map_from_entries(list((d, n))) AS m, sqrt(sum(n * n)) AS size FROM {name}_buckets GROUP BY ALL),
+{name} AS (SELECT {key}, [coalesce(m[CAST(d AS INTEGER)], 0) / size FOR d IN range({dims})] AS v FROM {name}_maps)"""
+
+
+ORACLES["document_vectors"] = f"WITH sentences AS (SELECT doc_id AS job_id, {_strip("coalesce(text, '')")} AS s FROM documents)" + _encoded(
+    "sentences", "job_id", "s", 64, "coded"
+) + ", vectors AS (SELECT s.job_id, coalesce(v, [0e0 FOR x IN range(64)]) AS v FROM sentences s LEFT JOIN coded c ON c.job_id = s.job_id)" + FINGERPRINT
+ORACLES["tag_sentence_vectors"] = f"""WITH {POSTINGS_SQL},
+sentences AS (
+  SELECT job_id, array_to_string([x FOR x IN regexp_split_to_array(coalesce(job_skills, ''), '[,;；\\s]+') IF x <> ''], ' ') AS s FROM postings
+)""" + _encoded("sentences", "job_id", "s", 64, "coded") + """,
+vectors AS (SELECT s.job_id, coalesce(v, [0e0 FOR x IN range(64)]) AS v FROM sentences s LEFT JOIN coded c ON c.job_id = s.job_id)""" + FINGERPRINT
+
+
+def _seed_rows() -> str:
+    kinds = (("experience", fv.EXPERIENCE_SEEDS), ("skill", fv.SKILL_SEEDS), ("other", fv.OTHER_SEEDS))
+    return ", ".join(f"('{kind}', '{phrase}')" for kind, phrases in kinds for phrase in phrases)
+
+
+ORACLES["seeded_other_requirement"] = TEXTS + SECTION + _cut("section", _strip("section")).replace("ELSE 'other' END AS label", "END AS label") + f""",
+open_segments AS (SELECT DISTINCT segment FROM labelled WHERE label IS NULL),
+seeds(class, phrase) AS (VALUES {_seed_rows()})""" + _encoded("open_segments", "segment", "segment", 64, "coded") + _encoded(
+    "(SELECT DISTINCT phrase FROM seeds)", "phrase", "phrase", 64, "seed"
+) + """,
+close AS (
+  SELECT c.segment, class, round(max(list_dot_product(c.v, s.v)), 12) AS sim
+  FROM coded c CROSS JOIN seed s JOIN seeds ON seeds.phrase = s.phrase GROUP BY ALL
+),
+sims AS (
+  SELECT segment, max(sim) FILTER (class = 'experience') AS e, max(sim) FILTER (class = 'skill') AS s, max(sim) FILTER (class = 'other') AS o
+  FROM close GROUP BY ALL
+),
+decided AS (
+  SELECT segment, CASE WHEN e >= s AND e >= o AND e > 0.45 THEN 'experience' WHEN s >= o AND s > 0.45 THEN 'skill' WHEN o > 0.40 THEN 'other'
+    WHEN s > e THEN 'skill' WHEN e > s THEN 'experience' ELSE 'other' END AS seed_label FROM sims
+),
+kept AS (
+  SELECT doc_id, string_agg(l.segment, '；' ORDER BY pos) AS o FROM labelled l LEFT JOIN decided d ON d.segment = l.segment
+  WHERE coalesce(label, seed_label) = 'other' GROUP BY doc_id
+)
+SELECT n.doc_id AS job_id, coalesce(o, '') AS other_requirement FROM norm n LEFT JOIN kept k ON k.doc_id = n.doc_id"""
+
 VECS = """WITH vecs AS (SELECT vec_id AS job_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 ORACLES["unit_vectors"] = VECS + """,
 lengths AS (SELECT *, sqrt(list_sum([x * x FOR x IN v])) AS n FROM vecs)
@@ -574,15 +630,23 @@ SELECT translate(industry_group, '/ ', '__') AS industry_key, cluster, job_count
 ORACLES["prompt_files"] = PROMPTS + "SELECT industry_group, cluster, naming_prompt, requirements_prompt, cache_key FROM asked"
 ORACLES["reply_cache_round_trip"] = PROMPTS + "SELECT cache_key, name AS profile_name, items AS other_requirements FROM answered"
 ORACLES["experience_from_wide_vectors"] = VECS + "SELECT job_id, label, round(v[1], 8) AS exp_numeric FROM vecs"
-ORACLES["posting_features"] = MERGED + """,
+FEATURED = MERGED + """,
 tag AS (SELECT job_id, unnest([x FOR x IN regexp_split_to_array(merged_job_skills, '[,;；\\s]+') IF x <> '']) AS tag FROM merged),
 lookup AS (SELECT 'Brand#' || vec_id AS tag, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
 dims AS (SELECT job_id, dim, avg(v) AS v FROM tag JOIN lookup USING (tag) GROUP BY job_id, dim),
 found AS (SELECT job_id, list(v ORDER BY dim) AS v FROM dims GROUP BY job_id),
-coded AS (SELECT m.*, coalesce(f.v, [0e0 FOR x IN range(64)]) AS v FROM merged m LEFT JOIN found f ON f.job_id = m.job_id)
+coded AS (SELECT m.*, coalesce(f.v, [0e0 FOR x IN range(64)]) AS v FROM merged m LEFT JOIN found f ON f.job_id = m.job_id)"""
+SHOWN = """
 SELECT job_id, round(exp_numeric, 6) AS exp_numeric, round(avg_salary, 4) AS avg_salary, merged_job_skills,
        CAST(len(v) AS INTEGER) AS dims, round(sqrt(list_sum([x * x FOR x IN v])), 5) AS norm,
-       round(list_sum([x * i FOR x, i IN v]), 5) AS weighted_sum FROM coded"""
+       round(list_sum([x * i FOR x, i IN v]), 5) AS weighted_sum"""
+ORACLES["posting_features"] = FEATURED + SHOWN + " FROM coded"
+ORACLES["job_vector_table"] = FEATURED + f""",
+sentences AS (SELECT job_id, {_strip("coalesce(other_requirement, '')")} AS s FROM merged)""" + _encoded("sentences", "job_id", "s", 32, "text_coded") + """,
+whole AS (
+  SELECT c.* EXCLUDE (v), list_concat([exp_numeric], c.v, coalesce(t.v, [0e0 FOR x IN range(32)])) AS v
+  FROM coded c LEFT JOIN text_coded t ON t.job_id = c.job_id
+)""" + SHOWN + " FROM whole"
 
 ORACLES["plain_exp_curve"] = SAMPLE + """,
 x AS (SELECT industry_group, avg_salary AS y, exp_years AS a, exp_years ** 1.5e0 AS b FROM sample JOIN sz USING (industry_group) WHERE n_jobs >= 70),

@@ -50,8 +50,23 @@ def running_total(
 def rank_rows(
     df: DataFrame, keys: list[str], order: list[str], name: str = "rank", ranges: Column | None = None
 ) -> DataFrame:
-    """1-based position of each row in its group."""
-    return running_total(df, keys, order, F.lit(1), name, ranges)
+    """1-based position of each row in its group.
+
+    Rows are sorted where the range shuffle puts them and numbered as they are
+    written; the smallest number of a group in each range and the rows of the
+    ranges before it turn that into the position, without another shuffle of the rows.
+    """
+    if ranges is not None:
+        return running_total(df, keys, order, F.lit(1), name, ranges)
+    sorted_rows = df.repartitionByRange(shuffle_width(df.sparkSession), *keys, *order).sortWithinPartitions(*keys, *order)
+    rows = stage(sorted_rows.withColumns({"_range": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (
+        rows.groupBy("_range", *keys)
+        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_total"))
+        .select("_range", *keys, (F.coalesce(F.sum("_total").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    )
+    return rows.join(shift, ["_range", *keys]).withColumn(name, F.col("_id") + F.col("_shift")).drop("_id", "_shift", "_range")
 
 
 def rank_block(rank: str) -> Column:

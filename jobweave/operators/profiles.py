@@ -16,7 +16,10 @@ KEYS = ["industry_group", "cluster"]
 
 def cluster_sizes(df: DataFrame) -> DataFrame:
     """Jobs per cluster and their share of the industry in percent."""
-    sizes = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("job_count"))
+    return with_shares(df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("job_count")))
+
+
+def with_shares(sizes: DataFrame) -> DataFrame:
     totals = sizes.groupBy("industry_group").agg(F.sum("job_count").alias("_n"))
     share = F.bround(100 * F.col("job_count") / F.col("_n"), 2)
     return sizes.join(totals, "industry_group").withColumn("cluster_percentage_in_industry", share).drop("_n")
@@ -46,9 +49,12 @@ def top_titles(df: DataFrame) -> DataFrame:
     return top_values(df, KEYS, F.col("job_title"), fv.TOP_TITLES)
 
 
+def skills_column(df: DataFrame) -> Column:
+    return skill_tokens(F.col("merged_job_skills" if "merged_job_skills" in df.columns else "job_skills"))
+
+
 def core_skills(df: DataFrame) -> DataFrame:
-    source = "merged_job_skills" if "merged_job_skills" in df.columns else "job_skills"
-    tokens = df.select(*KEYS, F.explode(skill_tokens(F.col(source))).alias("skill"))
+    tokens = df.select(*KEYS, F.explode(skills_column(df)).alias("skill"))
     return top_values(tokens, KEYS, F.col("skill"), fv.TOP_SKILLS)
 
 
@@ -63,11 +69,12 @@ def frequent_phrases(
     return top_values(pieces, keys, F.col("phrase"), limit)
 
 
+def mean_salaries() -> list[Column]:
+    return [F.bround(F.avg(f"salary_{x}_norm"), 2).alias(f"salary_{x}_avg") for x in ("min", "max")]
+
+
 def salary_means(df: DataFrame) -> DataFrame:
-    return df.groupBy(*KEYS).agg(
-        F.bround(F.avg("salary_min_norm"), 2).alias("salary_min_avg"),
-        F.bround(F.avg("salary_max_norm"), 2).alias("salary_max_avg"),
-    )
+    return df.groupBy(*KEYS).agg(*mean_salaries())
 
 
 def sample_texts(
@@ -84,19 +91,35 @@ def file_key(industry: Column) -> Column:
     return F.translate(industry, "/ ", "__")
 
 
+def profile_values(df: DataFrame) -> DataFrame:
+    """The most frequent values of every kind per cluster, counted together in one shuffle."""
+    kinds = {
+        "top_titles": (F.array("job_title"), fv.TOP_TITLES, "; "),
+        "core_skills": (skills_column(df), fv.TOP_SKILLS, "; "),
+        "other_requirements": (phrases(F.col("other_requirement")), fv.PHRASE_TOP, fv.OTHER_JOINER),
+        "experience": (F.array(F.coalesce("experience_required", F.lit(fv.UNKNOWN))), 1, ""),
+        "education": (F.array(F.coalesce("education_required", F.lit(fv.UNKNOWN))), 1, ""),
+    }
+
+    def of_kind(name: str, listed: Column) -> Column:
+        return F.transform(listed, lambda x: F.struct(F.lit(name).alias("kind"), x.alias("value")))
+
+    listed = F.concat(*[of_kind(name, values) for name, (values, _, _) in kinds.items()])
+    values = df.select(*KEYS, F.explode(listed).alias("x")).select(*KEYS, "x.kind", "x.value")
+    top = top_values(values, [*KEYS, "kind"], F.col("value"), max(n for _, n, _ in kinds.values()))
+    texts = []
+    for name, (_, most, separator) in kinds.items():
+        mine = F.collect_list(F.when((F.col("kind") == name) & (F.col("rank") <= most), F.struct("rank", "value")))
+        text = F.array_join(F.transform(F.array_sort(mine), lambda x: x["value"]), separator)
+        texts.append(text.alias(name))
+    return top.groupBy(*KEYS).agg(*texts)
+
+
 def cluster_profiles(df: DataFrame) -> DataFrame:
-    """One profile row per (industry, cluster) of clustered, prepared postings."""
+    """One profile row per (industry, cluster) of clustered, prepared postings: two scans, one of values and one of rows."""
     industry, cluster = F.col("industry_group"), F.col("cluster").cast("string")
-    out = cluster_sizes(df)
-    for part in (
-        joined(top_titles(df), KEYS, "top_titles", "; "),
-        joined(core_skills(df), KEYS, "core_skills", "; "),
-        most_common(df, "experience_required").withColumnRenamed("experience_required", "experience"),
-        joined(frequent_phrases(df, KEYS, "other_requirement"), KEYS, "other_requirements", fv.OTHER_JOINER),
-        most_common(df, "education_required").withColumnRenamed("education_required", "education"),
-        salary_means(df),
-    ):
-        out = out.join(part, KEYS, "left")
+    sizes = stage(df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("job_count"), *mean_salaries()), "cluster-sizes")
+    out = with_shares(sizes).join(profile_values(df), KEYS, "left")
     return out.select(
         "industry_group",
         F.col("cluster").alias("cluster_id"),
