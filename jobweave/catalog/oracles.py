@@ -6,6 +6,7 @@ from jobweave.catalog.views import LATIN, POSTINGS_SQL
 from jobweave.functions import fixed_values as fv
 from jobweave.functions.text import WHITE
 from jobweave.operators import prompts
+from jobweave.operators.regression import ERFC_TERMS
 
 ORACLES: dict[str, str] = {}
 
@@ -535,6 +536,15 @@ def _psi(n: str) -> str:
     return f"(ln({x}) - 1e0 / (2 * {x}) - 1e0 / (12 * {x} ** 2) + 1e0 / (120 * {x} ** 4) - 1e0 / (252 * {x} ** 6) - ({below}))"
 
 
+def _erfc(x: str) -> str:
+    """The same Chebyshev fit as ``regression.erfc``, in the order of its terms."""
+    t = f"(1e0 / (1e0 + 0.5e0 * {x}))"
+    inner = "0e0"
+    for c in reversed(ERFC_TERMS):
+        inner = f"({c!r}::DOUBLE + {t} * {inner})"
+    return f"{t} * exp(-{x} * {x} + {inner})"
+
+
 _NEAR = ", ".join(f"ticks - lag(ticks, {i}) OVER o, lead(ticks, {i}) OVER o - ticks" for i in (1, 2, 3))
 
 MUTUAL = SAMPLE + f""",
@@ -605,6 +615,128 @@ ORACLES["leftover_tfidf"] = TFIDF + "SELECT industry_group, job_id, term, round(
 ORACLES["leftover_gram"] = TFIDF + """
 SELECT a.industry_group, a.term AS f, b.term AS g, round(sum(a.weight * b.weight), 6) AS s
 FROM tfidf a JOIN tfidf b ON a.industry_group = b.industry_group AND a.job_id = b.job_id AND a.term <= b.term GROUP BY ALL"""
+
+
+def _direction(k: int, squares: int = 4, rounds: int = 600) -> str:
+    """CTE ``dir{k}`` (industry_group, v): the leading direction of ``mat{k}`` by power iteration on its 16th power; ``mat{k+1}`` lacks it."""
+    out, at = "", f"mat{k}"
+    for q in range(squares):
+        out += f""",
+sq{k}_{q} AS (
+  SELECT industry_group, [[x / t FOR x IN r] FOR r IN mm] AS m
+  FROM (SELECT industry_group, mm, list_sum([mm[i][i] FOR i IN range(1, len(mm) + 1)]) AS t
+        FROM (SELECT industry_group, [[list_dot_product(r, s) FOR s IN m] FOR r IN m] AS mm FROM {at}))
+)"""
+        at = f"sq{k}_{q}"
+    return out + f""",
+it{k}(industry_group, v, k) AS (
+  SELECT industry_group, [1e0 / sqrt(len(m)) + 1e-3 * j FOR j IN range(1, len(m) + 1)], 0 FROM {at}
+  UNION ALL
+  SELECT industry_group, [x / size FOR x IN w], k + 1
+  FROM (SELECT *, sqrt(list_dot_product(w, w)) AS size
+        FROM (SELECT i.industry_group, k, [list_dot_product(r, i.v) FOR r IN m] AS w FROM it{k} i JOIN {at} USING (industry_group) WHERE k < {rounds}))
+),
+dir{k} AS (
+  SELECT industry_group, [x * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END FOR x IN v] AS v FROM it{k} WHERE k = {rounds}
+),
+mat{k + 1} AS (
+  SELECT industry_group, [[x - size * v[i] * v[j] FOR x, j IN r] FOR r, i IN m] AS m
+  FROM (SELECT industry_group, m, v, list_dot_product(v, [list_dot_product(r, v) FOR r IN m]) AS size FROM mat{k} JOIN dir{k} USING (industry_group))
+)"""
+
+
+CONTEXT = TFIDF + """,
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY industry_group ORDER BY term) AS i FROM (SELECT DISTINCT industry_group, term FROM tfidf)
+),
+products AS (
+  SELECT a.industry_group, m.i, n.i AS j, sum(a.weight * b.weight) AS s
+  FROM tfidf a JOIN tfidf b ON a.industry_group = b.industry_group AND a.job_id = b.job_id
+  JOIN numbered m ON m.industry_group = a.industry_group AND m.term = a.term
+  JOIN numbered n ON n.industry_group = b.industry_group AND n.term = b.term GROUP BY ALL
+),
+grid AS (
+  SELECT a.industry_group, a.i, list(coalesce(s, 0) ORDER BY b.i) AS r
+  FROM numbered a JOIN numbered b ON b.industry_group = a.industry_group
+  LEFT JOIN products p ON p.industry_group = a.industry_group AND p.i = a.i AND p.j = b.i GROUP BY ALL
+),
+mat1 AS (SELECT industry_group, list(r ORDER BY i) AS m FROM grid GROUP BY ALL)""" + "".join(_direction(k) for k in (1, 2, 3)) + """,
+context AS (
+  SELECT t.industry_group, t.job_id, sum(weight * d1.v[i]) AS c1, sum(weight * d2.v[i]) AS c2, sum(weight * d3.v[i]) AS c3
+  FROM tfidf t JOIN numbered USING (industry_group, term)
+  JOIN dir1 d1 USING (industry_group) JOIN dir2 d2 USING (industry_group) JOIN dir3 d3 USING (industry_group) GROUP BY ALL
+)"""
+ORACLES["residual_context"] = CONTEXT + """
+SELECT industry_group, job_id, round(c1, 6) AS residual_context_1, round(c2, 6) AS residual_context_2, round(c3, 6) AS residual_context_3 FROM context"""
+FIT = CONTEXT + """,
+feats AS (
+  SELECT l.industry_group, job_id, unnest(['0', '1', '2', '3', '4', '5', '~']) AS f,
+         unnest([1e0, exp_years, exp_years ** 1.5e0, coalesce(c1, 0), coalesce(c2, 0), coalesce(c3, 0), avg_salary]) AS v
+  FROM large l LEFT JOIN context c USING (industry_group, job_id) SEMI JOIN chosen s ON s.industry_group = l.industry_group
+  UNION ALL
+  SELECT DISTINCT t.industry_group, t.job_id, 's' || t.skill, 1e0
+  FROM tok t JOIN chosen c ON c.industry_group = t.industry_group AND c.skill = t.skill
+),
+fnames AS (SELECT *, row_number() OVER (PARTITION BY industry_group ORDER BY f) AS i FROM (SELECT DISTINCT industry_group, f FROM feats)),
+fprod AS (
+  SELECT a.industry_group, a.f, b.f AS g, sum(a.v * b.v) AS s
+  FROM feats a JOIN feats b ON a.industry_group = b.industry_group AND a.job_id = b.job_id GROUP BY ALL
+),
+flat AS (
+  SELECT a.industry_group, list(coalesce(s, 0) ORDER BY a.i, b.i) AS a, max(a.i) AS n
+  FROM fnames a JOIN fnames b ON b.industry_group = a.industry_group
+  LEFT JOIN fprod p ON p.industry_group = a.industry_group AND p.f = a.f AND p.g = b.f GROUP BY ALL
+),
+scaled AS (
+  SELECT industry_group, n, sc, [a[x] / sc[(x - 1) // n + 1] / sc[(x - 1) % n + 1] FOR x IN range(1, n * n + 1)] AS s
+  FROM (SELECT *, [CASE WHEN a[(i - 1) * n + i] = 0 THEN 1e0 ELSE sqrt(a[(i - 1) * n + i]) END FOR i IN range(1, n + 1)] AS sc FROM flat)
+),
+-- one generalised inverse by sweeping, dependent features left out ...
+swept(industry_group, a, n, p, done) AS (
+  SELECT industry_group, s, n, 1, CAST([] AS BOOLEAN[]) FROM scaled
+  UNION ALL
+  SELECT industry_group,
+    CASE WHEN d < 1e-9 THEN a ELSE
+    [CASE WHEN (x - 1) // n + 1 = p AND (x - 1) % n + 1 = p THEN -1e0 / d
+          WHEN (x - 1) // n + 1 = p OR (x - 1) % n + 1 = p THEN a[x] / d
+          ELSE a[x] - a[(x - 1) // n * n + p] * a[(p - 1) * n + (x - 1) % n + 1] / d END FOR x IN range(1, n * n + 1)] END,
+    n, p + 1, list_append(done, d >= 1e-9)
+  FROM (SELECT *, a[(p - 1) * n + p] AS d FROM swept WHERE p < n)
+),
+-- ... and the projector on the null space, by squaring and two steps of purification, make it the pseudo-inverse
+nullspace(industry_group, q, k) AS (
+  SELECT industry_group, [[CASE WHEN i = j THEN 1e0 ELSE 0e0 END - s[(i - 1) * n + j] / n FOR j IN range(1, n)] FOR i IN range(1, n)], 0 FROM scaled
+  UNION ALL
+  SELECT industry_group, CASE WHEN k < 28 THEN qq ELSE [[3 * x - 2 * list_dot_product(r, q[j]) FOR x, j IN r] FOR r IN qq] END, k + 1
+  FROM (SELECT *, [[list_dot_product(r, c) FOR c IN q] FOR r IN q] AS qq FROM nullspace WHERE k < 31)
+),
+inverse AS (
+  SELECT industry_group, n, sc, s, rss, rank, pr, [[list_dot_product(r, c) FOR c IN pr] FOR r IN [[list_dot_product(r, c) FOR c IN g] FOR r IN pr]] AS inv
+  FROM (
+    SELECT industry_group, w.n, sc, s, w.a[w.n * w.n] AS rss, len([x FOR x IN done IF x]) AS rank,
+      [[CASE WHEN done[i] AND done[j] THEN -w.a[(i - 1) * w.n + j] ELSE 0e0 END FOR j IN range(1, w.n)] FOR i IN range(1, w.n)] AS g,
+      [[CASE WHEN i = j THEN 1e0 ELSE 0e0 END - x FOR x, j IN r] FOR r, i IN q] AS pr
+    FROM swept w JOIN scaled USING (industry_group) JOIN nullspace USING (industry_group) WHERE p = w.n AND k = 31
+  )
+),
+coefs AS (
+  SELECT industry_group, f, rank, rss * sc[n] * sc[n] AS rss, inv[i][i] / sc[i] / sc[i] AS spread,
+         list_dot_product(inv[i], [s[(j - 1) * n + n] FOR j IN range(1, n)]) * sc[n] / sc[i] AS coef
+  FROM inverse JOIN fnames USING (industry_group) WHERE f <> '~'
+)"""
+ORACLES["exp_curve"] = FIT + """,
+base AS (
+  SELECT industry_group, max(coef) FILTER (f = '0') AS b0, max(coef) FILTER (f = '1') AS b1, max(coef) FILTER (f = '2') AS b2 FROM coefs GROUP BY 1
+)
+SELECT industry_group, CAST(e AS DOUBLE) AS years_experience, round(b0 + b1 * e + b2 * e ** 1.5e0, 2) AS predicted_salary FROM base, range(11) t(e)"""
+ORACLES["skill_impact"] = FIT + f""",
+found AS (
+  SELECT industry_group, substr(f, 2) AS skill, coef, sqrt(rss / (n_jobs - rank) * spread) AS se, n_jobs
+  FROM coefs JOIN sz USING (industry_group) WHERE f LIKE 's%'
+)
+SELECT industry_group, skill, '{fv.SELECTION_METHOD}' AS selection_method, round(coef, 2) AS coefficient, round(se, 2) AS std_err,
+       round({_erfc("abs(coef / se) / sqrt(2e0)")}, 6) AS p_value, round(coef - 1.96e0 * se, 2) AS ci_lower, round(coef + 1.96e0 * se, 2) AS ci_upper,
+       n_jobs AS n_samples FROM found"""
 ORACLES["regression_moments"] = SELECTED + """,
 feats AS (
   SELECT industry_group, job_id, unnest(['intercept', 'exp', 'exp_smooth', 'y']) AS f,

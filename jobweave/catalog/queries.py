@@ -693,12 +693,15 @@ def plain_exp_curve(spark, sf_dir):
 
 @query
 def skill_impact(spark, sf_dir):
-    return regression.skill_impact(*regression.fit_industries(staged_sample(spark, sf_dir)))
+    impact = regression.skill_impact(*regression.fit_industries(staged_sample(spark, sf_dir)))
+    rounded = {c: F.round(c, 2) for c in ("coefficient", "std_err", "ci_lower", "ci_upper")}
+    return impact.withColumns({**rounded, "p_value": F.round("p_value", 6)})
 
 
 @query
 def exp_curve(spark, sf_dir):
-    return regression.exp_curve(regression.fit_industries(staged_sample(spark, sf_dir))[1])
+    curve = regression.exp_curve(regression.fit_industries(staged_sample(spark, sf_dir))[1])
+    return curve.withColumn("predicted_salary", F.round("predicted_salary", 2))
 
 
 # --- files ----------------------------------------------------------------------
