@@ -6,7 +6,6 @@ from jobweave.catalog.views import LATIN, POSTINGS_SQL
 from jobweave.functions import fixed_values as fv
 from jobweave.functions.text import WHITE
 from jobweave.operators import prompts
-from jobweave.operators.regression import ERFC_TERMS
 
 ORACLES: dict[str, str] = {}
 
@@ -537,12 +536,15 @@ def _psi(n: str) -> str:
 
 
 def _erfc(x: str) -> str:
-    """The same Chebyshev fit as ``regression.erfc``, in the order of its terms."""
-    t = f"(1e0 / (1e0 + 0.5e0 * {x}))"
-    inner = "0e0"
-    for c in reversed(ERFC_TERMS):
-        inner = f"({c!r}::DOUBLE + {t} * {inner})"
-    return f"{t} * exp(-{x} * {x} + {inner})"
+    """Power series below 2, continued fraction above."""
+    scale = f"(exp(-({x}) * ({x})) / sqrt(pi()))"
+    fraction = "0e0"
+    for n in range(60, 0, -1):
+        fraction = f"({n / 2}e0 / ({x} + {fraction}))"
+    series = "0e0"
+    for n in range(60, 0, -1):
+        series = f"(2e0 * {x} * {x} / {2 * n + 1} * (1e0 + {series}))"
+    return f"CASE WHEN {x} < 2 THEN 1 - 2 * {scale} * {x} * (1 + {series}) ELSE {scale} / ({x} + {fraction}) END"
 
 
 _NEAR = ", ".join(f"ticks - lag(ticks, {i}) OVER o, lead(ticks, {i}) OVER o - ticks" for i in (1, 2, 3))
@@ -731,11 +733,12 @@ base AS (
 SELECT industry_group, CAST(e AS DOUBLE) AS years_experience, round(b0 + b1 * e + b2 * e ** 1.5e0, 2) AS predicted_salary FROM base, range(11) t(e)"""
 ORACLES["skill_impact"] = FIT + f""",
 found AS (
-  SELECT industry_group, substr(f, 2) AS skill, coef, sqrt(rss / (n_jobs - rank) * spread) AS se, n_jobs
-  FROM coefs JOIN sz USING (industry_group) WHERE f LIKE 's%'
+  SELECT *, abs(coef / se) / sqrt(2e0) AS z
+  FROM (SELECT industry_group, substr(f, 2) AS skill, coef, sqrt(rss / (n_jobs - rank) * spread) AS se, n_jobs
+        FROM coefs JOIN sz USING (industry_group) WHERE f LIKE 's%')
 )
 SELECT industry_group, skill, '{fv.SELECTION_METHOD}' AS selection_method, round(coef, 2) AS coefficient, round(se, 2) AS std_err,
-       round({_erfc("abs(coef / se) / sqrt(2e0)")}, 6) AS p_value, round(coef - 1.96e0 * se, 2) AS ci_lower, round(coef + 1.96e0 * se, 2) AS ci_upper,
+       round({_erfc("z")}, 6) AS p_value, round(coef - 1.96e0 * se, 2) AS ci_lower, round(coef + 1.96e0 * se, 2) AS ci_upper,
        n_jobs AS n_samples FROM found"""
 ORACLES["regression_moments"] = SELECTED + """,
 feats AS (

@@ -181,19 +181,22 @@ def residual_variance(rows: DataFrame, coefs: DataFrame) -> DataFrame:
     )
 
 
-# Chebyshev fit of ln(erfc) in t = 1 / (1 + x / 2), fractional error below 1.2e-7 (Press et al., Numerical Recipes).
-ERFC_TERMS = (
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-)
+def erfc(x: Column) -> Column:
+    """Complementary error function for x >= 0, to about 13 digits: its power series below 2, its continued fraction above."""
 
+    def of(v: Column) -> Column:
+        scale = F.exp(-v * v) / F.sqrt(F.pi())
+        start = F.struct(v.alias("term"), v.alias("total"))
 
-def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0."""
-    t = 1.0 / (1.0 + 0.5 * x)
-    inner = F.lit(0.0)
-    for c in reversed(ERFC_TERMS):
-        inner = F.lit(c) + t * inner
-    return t * F.exp(-x * x + inner)
+        def add(s: Column, n: Column) -> Column:
+            term = s["term"] * 2.0 * v * v / (2 * n + 1)
+            return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, add)["total"]
+        fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(0.0), lambda t, n: n / 2.0 / (v + t))
+        return F.when(v < 2.0, 1.0 - 2.0 * scale * series).otherwise(scale / (v + fraction))
+
+    return F.transform(F.array(x), of)[0]
 
 
 def skill_impact(rows: DataFrame, coefs: DataFrame) -> DataFrame:
