@@ -1,7 +1,8 @@
 """Time the headline queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query runs once to warm up and then ``BENCH_RUNS`` times; the median is
-reported. Results go to a sink that keeps nothing, so every column is computed.
+Each query runs once at a tenth of the scale (which warms up, and shows the growth) and then up to
+``BENCH_RUNS`` times, all queries in turn; no new turn begins after ``BENCH_SECONDS``. Medians are reported,
+with the number of turns. Results go to a sink that keeps nothing, so every column is computed.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    limit = float(os.environ.get("BENCH_SECONDS", "360"))
     names = sys.argv[1:] or HEADLINE
     spark = get_session(
         "bench",
@@ -53,20 +55,30 @@ def main() -> None:
         spark__ui__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    times: dict[str, float] = {}
-    for name in names:
-        took = []
-        for _ in range(runs + 1):
-            start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            took.append(time.perf_counter() - start)
-        times[name] = round(statistics.median(took[1:]), 3)
-        print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
+    begun = time.perf_counter()
+
+    def once(name: str, folder: str) -> float:
+        start = time.perf_counter()
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        took = round(time.perf_counter() - start, 3)
+        print(f"{name} {folder}: {took}", file=sys.stderr, flush=True)
+        return took
+
+    small = Path(sf_dir).parent / f"sf{float(Path(sf_dir).name.removeprefix('sf')) / 10:g}"
+    warm = str(small) if small.exists() else sf_dir
+    small_times = {name: once(name, warm) for name in names}
+    turns: list[dict[str, float]] = []
+    while len(turns) < runs and (not turns or time.perf_counter() - begun < limit):
+        turns.append({name: once(name, sf_dir) for name in names})
+    times = {name: round(statistics.median(t[name] for t in turns), 3) for name in names}
     spark.stop()
     sf = Path(sf_dir).name.removeprefix("sf")
     print(
         json.dumps(
-            {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}
+            {
+                "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf,
+                "runs": len(turns), "warm_up": {"sf": Path(warm).name.removeprefix("sf"), "queries": small_times},
+            }
         )
     )
 

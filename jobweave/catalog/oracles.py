@@ -521,10 +521,26 @@ ab AS (
 sc AS (SELECT industry_group, job_id, own AS cluster, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS score FROM ab)"""
 ORACLES["silhouette_rows"] = SILHOUETTE + "SELECT industry_group, job_id, cluster, round(score, 7) AS score FROM sc"
 ORACLES["silhouette_scores"] = SILHOUETTE + "SELECT industry_group, round(avg(score), 7) AS silhouette FROM sc GROUP BY 1"
-ORACLES["nearest_centroids"] = VECS + """
-SELECT CASE WHEN a.label < 5 THEN 'low' ELSE 'high' END AS industry_group, a.job_id,
-       CAST(arg_min(b.job_id, (list_distance(a.v, b.v), b.job_id)) AS INTEGER) AS nearest
-FROM vecs a JOIN vecs b ON b.job_id < 10 GROUP BY ALL"""
+NEAREST = VECS + """,
+parts AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vecs WHERE label IS NOT NULL),
+means AS (SELECT label, list(m ORDER BY d) AS c FROM (SELECT label, d, avg(x) AS m FROM parts GROUP BY ALL) GROUP BY label),
+centers AS (SELECT c, row_number() OVER (ORDER BY label) - 1 AS i FROM means),
+near AS (
+  SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS industry_group, job_id, any_value(v) AS v,
+         CAST(arg_min(i, (list_distance(v, c), i)) AS INTEGER) AS nearest, min(list_distance(v, c)) AS far
+  FROM vecs CROSS JOIN centers GROUP BY 1, 2
+)"""
+ORACLES["nearest_centroids"] = NEAREST + "SELECT industry_group, job_id, nearest FROM near"
+ORACLES["lloyd_round"] = NEAREST + """,
+moved AS (
+  SELECT industry_group, nearest AS cluster, d, avg(x) AS m
+  FROM (SELECT industry_group, nearest, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM near) GROUP BY ALL
+),
+whole AS (SELECT industry_group, cluster, list(m ORDER BY d) AS v FROM moved GROUP BY ALL),
+cost AS (SELECT industry_group, nearest AS cluster, sum(far * far) AS inertia FROM near GROUP BY ALL)
+SELECT industry_group, cluster, CAST(len(v) AS INTEGER) AS dims, round(sqrt(list_sum([x * x FOR x IN v])), 5) AS norm,
+       round(list_sum([x * i FOR x, i IN v]), 5) AS weighted_sum, round(inertia, 5) AS inertia
+FROM whole JOIN cost USING (industry_group, cluster)"""
 
 # --- salary analysis, large industries ------------------------------------------
 
@@ -760,6 +776,7 @@ ORACLES["csv_text_round_trip"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang
 ORACLES["csv_typed_round_trip"] = f"""WITH {POSTINGS_SQL}
 SELECT job_id, industry_group, job_skills, experience_required, round(salary_min, 4) AS salary_min, round(salary_max, 4) AS salary_max FROM postings"""
 ORACLES["saved_table_round_trip"] = ORACLES["interaction_table"]
+ORACLES["warehouse_flow"] = ORACLES["key_figures"]
 ORACLES["clustered_files"] = CLUSTERED + """
 SELECT translate(industry_group, '/ ', '__') AS industry_key, cluster, job_count AS n_jobs FROM clu_size"""
 ORACLES["prompt_files"] = PROMPTS + "SELECT industry_group, cluster, naming_prompt, requirements_prompt, cache_key FROM asked"

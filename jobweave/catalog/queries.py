@@ -584,15 +584,30 @@ def numbered_clusters(spark, sf_dir):
 
 @query
 def nearest_centroids(spark, sf_dir):
-    """One assignment step to given centroids: the first ten vectors, in two industries."""
-    points = _labelled_points(spark, sf_dir)
-    fixed = points.where("job_id < 10").orderBy("job_id").collect()  # ten fixed rows
-    centroids = [list(r["features"]) for r in fixed]
-    best = {name: {len(centroids): kmeans.np.array(centroids)} for name in ("low", "high")}
-    shared = spark.sparkContext.broadcast(best)
+    """One assignment step to given centroids, the mean vector of every label, in two industries."""
+    points, centroids = _labelled_points(spark, sf_dir), _label_means(spark, sf_dir)
+    shared = spark.sparkContext.broadcast({name: {len(centroids): centroids} for name in ("low", "high")})
     return kmeans.assign(points.drop("labels"), shared, [len(centroids)]).select(KEY, "job_id", F.col("labels")[0].alias("nearest"))
 
 
+def _label_means(spark, sf_dir):
+    """Mean vectors of the labels in their order: as many rows as there are labels."""
+    mean = kmeans.vector_to_array(kmeans.Summarizer.mean(kmeans.array_to_vector(F.col("vec")))).alias("mean")
+    rows = embeddings(spark, sf_dir).where("label is not null").groupBy("label").agg(mean).orderBy("label").collect()
+    return kmeans.np.array([r["mean"] for r in rows])
+
+
+@query
+def lloyd_round(spark, sf_dir):
+    """One round of k-means from the label means: the new centroids and the inertia before the move."""
+    centroids = _label_means(spark, sf_dir)
+    shared = spark.sparkContext.broadcast({"low": [(0, centroids)], "high": [(1, centroids)]})
+    moved = kmeans.assigned_means(_labelled_points(spark, sf_dir), shared)
+    return moved.select(
+        F.when(F.col("model") == 0, "low").otherwise("high").alias(KEY), "cluster", *_fingerprint(F.col("mean")), F.round("inertia", 5).alias("inertia")
+    )
+
+
 @query
 def clustered_embeddings(spark, sf_dir):
     points = stage(_labelled_points(spark, sf_dir), "points")
@@ -729,8 +744,30 @@ def csv_typed_round_trip(spark, sf_dir):
 def saved_table_round_trip(spark, sf_dir):
     """The interaction table saved in the catalog and read by name."""
     rows = warehouse.interactions(_warehouse_events(spark, sf_dir))
-    tables.save_table(rows, "interaction_table", path=staging_path(spark, "interaction-table"))
-    return tables.load_table(spark, "interaction_table")
+    tables.save_table(rows, "interaction_round_trip", path=staging_path(spark, "interaction-table"))
+    return _forget(spark, "interaction_round_trip")
+
+
+def _forget(spark, name):
+    """A saved external table whose name is given up; its files stay."""
+    rows = spark.read.schema(tables.load_table(spark, name).schema).parquet(tables.table_path(spark, name))
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@query
+def warehouse_flow(spark, sf_dir):
+    """Source tables to saved feature tables to key figures, as one flow."""
+    built = flows.build_warehouse(
+        _warehouse_jobs(spark, sf_dir), _warehouse_users(spark, sf_dir), _warehouse_events(spark, sf_dir), table(spark, sf_dir, "nation")
+    )
+    root = staging_path(spark, "warehouse")
+    flows.save_warehouse(built, prefix="flow_", root=root)
+    saved = {name: _forget(spark, f"flow_{name}") for name in built}
+    figures = warehouse.key_figures(
+        saved["job_feature_table"], saved["user_feature_table"], saved["interaction_table"], saved["report_static_source"]
+    )
+    return figures.drop("metric_time", "created_at", "updated_at").withColumn("metric_value", money("metric_value"))
 
 
 @query

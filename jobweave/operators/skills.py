@@ -69,6 +69,20 @@ def wide_matrix(tokens: DataFrame, skills: list[str]) -> DataFrame:
     return tokens.groupBy("industry_group", "job_id").agg(*flags)
 
 
+def industry_matrix(df: DataFrame, industry: str) -> DataFrame:
+    """0/1 columns for every valid skill of one industry under its feature name, a row for every job of it.
+
+    The skills are the columns of the result, so their names come to the driver.
+    """
+    mine = df.where(F.col("industry_group") == industry)
+    tokens = job_skills(mine)
+    counts = stage(skill_counts(tokens), "matrix-counts")
+    named = stage(feature_names(counts), "matrix-names")
+    listed = [r.feature for r in named.join(counts, ["industry_group", "skill"]).orderBy("first_job", "first_pos").select("feature").collect()]
+    found = tokens.join(named, ["industry_group", "skill"]).groupBy("job_id").pivot("feature", listed).agg(F.lit(1))
+    return mine.select("industry_group", "job_id").join(found, "job_id", "left").fillna(0, listed)
+
+
 def industry_sizes(df: DataFrame, min_jobs: int = 1, max_jobs: int | None = None) -> DataFrame:
     """Jobs per industry within the bounds; staged, so Spark knows how small it is."""
     sizes = df.where("industry_group is not null").groupBy("industry_group").agg(F.count(F.lit(1)).alias("n_jobs"))

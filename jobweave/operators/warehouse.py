@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions import fixed_values as fv
-from jobweave.operators.profiles import top_values
 
 
 def job_features(jobs: DataFrame) -> DataFrame:
@@ -64,20 +63,32 @@ def _figure(key: str, name: str, category: str, dimension: str, source: str, val
 
 
 def key_figures(jobs: DataFrame, users: DataFrame, events: DataFrame, static_source: DataFrame) -> DataFrame:
-    """One row per figure. Every table is read once; only one-row aggregates meet."""
+    """One row per figure. Every table is read once: the jobs are counted whole, by location and by industry in one pass."""
     none = F.lit(None)
+    counts = jobs.groupingSets([["location"], ["industry"], []], "location", "industry").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("salary_max").alias("hi"), F.avg("salary_min").alias("lo"), F.grouping_id().alias("_set")
+    )
+    whole = F.col("_set") == 3
 
-    def top(column: str) -> DataFrame:
-        found = top_values(jobs.withColumn("_all", F.lit(1)), ["_all"], F.col(column), 1)
-        return found.agg(F.coalesce(F.max("value"), F.lit(fv.NO_VALUE)).alias("v"))
+    def top(column: str, number: int) -> Column:
+        order = F.when((F.col("_set") == number) & F.col(column).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(column).alias("v")))
+        return F.coalesce(F.min_by(column, order), F.lit(fv.NO_VALUE))
 
-    job_stats = jobs.agg(F.count(F.lit(1)).alias("n"), F.avg("salary_max").alias("hi"), F.avg("salary_min").alias("lo"))
+    job_stats = counts.agg(
+        F.coalesce(F.max(F.when(whole, F.col("n"))), F.lit(0)).alias("n"),
+        F.max(F.when(whole, F.col("hi"))).alias("hi"),
+        F.max(F.when(whole, F.col("lo"))).alias("lo"),
+        top("location", 1).alias("location"),
+        top("industry", 2).alias("industry"),
+    )
     job_rows = job_stats.select(
         F.explode(
             F.array(
                 _figure("totalJobs", "Total Jobs", "job", "all", "job_feature_table", F.col("n"), none),
                 _figure("avgSalaryMax", "Average Max Salary", "job", "all", "job_feature_table", F.coalesce("hi", F.lit(0.0)), none),
                 _figure("avgSalaryMin", "Average Min Salary", "job", "all", "job_feature_table", F.coalesce("lo", F.lit(0.0)), none),
+                _figure("topLocation", "Top Job Location", "job", "location", "job_feature_table", none, F.col("location")),
+                _figure("topIndustry", "Top Job Industry", "job", "industry", "job_feature_table", none, F.col("industry")),
             )
         ).alias("f")
     )
@@ -93,12 +104,6 @@ def key_figures(jobs: DataFrame, users: DataFrame, events: DataFrame, static_sou
         static_source.agg(count.alias("n")).select(
             _figure("staticSourceRecords", "Static Report Source Records", "static", "all", "report_static_source", F.col("n"), none).alias("f")
         ),
-        top("location").select(
-            _figure("topLocation", "Top Job Location", "job", "location", "job_feature_table", none, F.col("v")).alias("f")
-        ),
-        top("industry").select(
-            _figure("topIndustry", "Top Job Industry", "job", "industry", "job_feature_table", none, F.col("v")).alias("f")
-        ),
     ]
     out = parts[0]
     for part in parts[1:]:

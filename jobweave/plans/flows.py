@@ -11,9 +11,10 @@ from jobweave.functions import fixed_values as fv
 from jobweave.functions.scalars import prepare_postings, salary_sample
 from jobweave.functions.text import DEFAULT_RULES, TextRules, other_requirement
 from jobweave.functions.vectors import half_split, weighted_features
-from jobweave.operators import bundles, embedding, profiles, prompts, regression, robust, silhouette
+from jobweave.operators import bundles, embedding, profiles, prompts, regression, robust, silhouette, warehouse
 from jobweave.operators.kmeans import Settings
 from jobweave.session import stage
+from jobweave.sources.tables import save_table
 
 
 def extract_requirements(
@@ -88,3 +89,19 @@ def analyse_salaries(jobs: DataFrame) -> Salaries:
     return Salaries(
         regression.skill_impact(rows, coefs), regression.exp_curve(coefs), robust.robust_skill_values(sample)
     )
+
+
+def build_warehouse(jobs: DataFrame, users: DataFrame, events: DataFrame, static_source: DataFrame) -> dict[str, DataFrame]:
+    """Source tables to the tables of the warehouse, by name; ``warehouse.key_figures`` reads them."""
+    return {
+        "job_feature_table": warehouse.job_features(jobs),
+        "user_feature_table": warehouse.user_features(users),
+        "interaction_table": warehouse.interactions(events),
+        "report_static_source": static_source,
+    }
+
+
+def save_warehouse(built: dict[str, DataFrame], prefix: str = "", root: str | None = None) -> None:
+    """Every table into the catalog (``prefix`` may name a database); below ``root`` they are external tables."""
+    for name, rows in built.items():
+        save_table(rows, f"{prefix}{name}", path=f"{root}/{name}" if root else None)

@@ -23,9 +23,15 @@ def read_jdbc(
     )
 
 
-def read_source_tables(spark: SparkSession, url: str, properties: dict[str, str]) -> dict[str, DataFrame]:
-    """The four tables the warehouse path starts from."""
-    return {t: read_jdbc(spark, url, t, properties) for t in ("jobs", "users", "interactions", "report_static_source")}
+def read_source_tables(
+    spark: SparkSession, url: str, properties: dict[str, str], split: dict[str, dict] | None = None
+) -> dict[str, DataFrame]:
+    """The four tables the warehouse path starts from.
+
+    ``split`` gives for a table how it is read in parallel: ``column``, ``lower``, ``upper``, ``partitions``.
+    """
+    names = ("jobs", "users", "interactions", "report_static_source")
+    return {t: read_jdbc(spark, url, t, properties, **(split or {}).get(t, {})) for t in names}
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], mode: str = "overwrite") -> None:
@@ -38,5 +44,11 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | No
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """Folder of a saved table."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'")
+    return rows.first()["data_type"]
+
+
 def load_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)

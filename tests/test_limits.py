@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobweave.functions import text, vectors
-from jobweave.operators import mutual_info, silhouette, skills
+from jobweave.operators import embedding, mutual_info, silhouette, skills
 from jobweave.sources import files
 
 
@@ -73,3 +73,20 @@ def test_result_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
     files.write_result(df, str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).first().v == "1.5"
+
+
+def test_matrix_of_one_industry(spark):
+    rows = [(1, "g", ["a b", "a-b", "c"]), (2, "g", ["a b", "a-b", "a b"]), (3, "g", []), (4, "h", ["a b", "a b"])]
+    df = spark.createDataFrame(rows, "job_id long, industry_group string, skills_list array<string>")
+    got = skills.industry_matrix(df, "g")
+    assert got.columns[2:] == ["skill_a_b", "skill_a_b_1"]
+    assert sorted(tuple(r[c] for c in ("job_id", *got.columns[2:])) for r in got.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 0)]
+
+
+def test_any_number_of_seeds(spark, monkeypatch):
+    points = spark.createDataFrame([(k, [float(k), 1.0, 2.0]) for k in range(6)], "job_id long, vec array<double>")
+    seeds = spark.createDataFrame([(c, [float(k), 3.0, n]) for k in range(9) for c, n in (("skill", 1.0), ("other", 2.0))], "class string, vec array<double>")
+    look = lambda: sorted(map(tuple, embedding.seed_similarity(points, "vec", seeds).drop("vec").collect()), key=lambda r: r[0])
+    whole = look()
+    monkeypatch.setattr(embedding, "SEED_PORTION", 4)
+    assert look() == whole and all(r[1] is None and r[2] is not None for r in whole)
