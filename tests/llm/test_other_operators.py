@@ -103,6 +103,13 @@ def test_articles_keep_lines_that_pages_share(spark):
     assert {r.text for r in html_text.extract(df).collect()} == {"same"}
 
 
+def test_alignment_decides_free_lines_beside_an_article(spark):
+    body = "<div>Shared line</div><p>Own lead {0}</p><article><p>Article {0}</p></article><p>Own end {0}</p><div>Cookie line</div>"
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", page(body.format(k))) for k in range(3)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got == {k: f"Own lead {k}\nArticle {k}\nOwn end {k}" for k in range(3)}
+
+
 def test_common_lines_are_a_longest_run():
     mine, other = [(b"a", 1), (b"b", 1), (b"c", 1), (b"d", 1)], [(b"b", 1), (b"a", 1), (b"c", 1), (b"d", 1)]
     assert len(html_text.common_lines(mine, other)) == 3 and html_text.common_lines([], other) == set()
