@@ -5,12 +5,14 @@ number) and always stay. Generators then propose many overlapping spans: every r
 up to five neighbouring digit groups with the signs between them, and every word with
 an ``@`` or a written-out one. Each candidate is described by its format and its
 surroundings; one set of boosted trees per kind says how likely it is personal data.
-They learn from a bounded sample of texts, without labels: candidates equal to a base
-span are positive, all others negative, except those inside a base match that failed
-its check, since these are what the trees are for (a phone number next to a card
-number fails as one match). The threshold of a kind is the least one whose precision
-on the part of the sample kept for calibration reaches ``PRECISION``. Chosen
-candidates that do not overlap base spans, best first, are added.
+They learn from all texts, without labels: candidates equal to a base span are
+positive, all others negative, except those inside a base match that failed its
+check, since these are what the trees are for (a phone number next to a card number
+fails as one match). Equal candidates are counted first; the trees are fitted on the
+distinct ones with their counts as weights, of a kind with very many on a weighted
+sample. The threshold of a kind is the least one whose precision on all candidates of
+a third of the texts, held out from the fit, reaches ``PRECISION``. Chosen candidates
+that do not overlap base spans, best first, are added.
 
 Defined results: null and empty texts have no spans. Without enough positive
 candidates of a kind nothing is added to it. Repeated rows and extra columns pass
@@ -21,19 +23,25 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.arrow import add_columns, free_name
+from jobweave.llm.arrow import add_columns, free_name, slices
 from jobweave.llm.trees import Boosted, boost
+from jobweave.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_TEXTS = 20_000
-FIT_CANDIDATES = 60_000
+#: Formats of one kind that the driver fits on.
+FIT_FORMATS = 20_000
+#: One in so many texts is held out.
+HELD_OUT = 3
+STEPS = 4096
 LEAST_POSITIVE = 30
 PRECISION = 0.995
 
@@ -187,24 +195,6 @@ class Detector:
     def __init__(self, models: dict[str, tuple[Boosted, float]]):
         self.models = models
 
-    @classmethod
-    def fit(cls, kinds: np.ndarray, x: np.ndarray) -> Detector:
-        models = {}
-        calibrating = np.arange(len(x)) % 3 == 0
-        for kind in KINDS:
-            y = (kinds == kind).astype(float)
-            if y[~calibrating].sum() < LEAST_POSITIVE or y[calibrating].sum() < LEAST_POSITIVE / 3:
-                continue
-            model = boost(x[~calibrating], y[~calibrating], trees=30, depth=4, rate=0.3, least=5)
-            p, own = model.probability(x[calibrating]), y[calibrating]
-            order = np.argsort(-p, kind="stable")
-            right = np.cumsum(own[order]) / np.arange(1, len(order) + 1)
-            last = np.concatenate([p[order][1:] != p[order][:-1], [True]])  # equal scores stand or fall together
-            good = np.flatnonzero((right >= PRECISION) & last & (p[order] >= 0.5))
-            if len(good):
-                models[kind] = (model, float(p[order][good[-1]]))
-        return cls(models)
-
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
         """(base, added), both by kind as listed and then start."""
         if not text or not SOME.search(text):
@@ -244,21 +234,85 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def learn(docs: DataFrame, text: str = "text", fit_texts: int = FIT_TEXTS) -> Detector:
-    """Trees from the candidates of about ``fit_texts`` texts, chosen by a hash; at most FIT_CANDIDATES are collected."""
+def count_formats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, x, fit, held): how many candidates of all texts are equal, in texts to fit and in texts held out; copies of a text are on one side."""
     texts = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
-    parts = max(1, -(-texts.count() // fit_texts))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0)
-    kind = "array<struct<kind:string,x:array<double>>>"
+    schema = "kind string, x array<double>, fit bigint, held bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                counts: dict[tuple, list[int]] = {}
+                for t in batch.column(0).slice(a, b - a).to_pylist():
+                    if not SOME.search(t):
+                        continue
+                    held = zlib.crc32(t.encode()) % HELD_OUT == 0
+                    for k, x in examples(t):
+                        counts.setdefault((k, tuple(map(float, x))), [0, 0])[held] += 1
+                columns = [[k for k, _ in counts], [x for _, x in counts], [n for n, _ in counts.values()], [n for _, n in counts.values()]]
+                kinds = [pa.string(), pa.list_(pa.float64()), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "x", "fit", "held"])
+
+    return texts.mapInArrow(run, schema).groupBy("kind", "x").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"))
+
+
+def fit_sample(formats: DataFrame, totals: dict[str, tuple[int, int]], most: int) -> DataFrame:
+    """(kind, x, weight): every format, or about ``most`` of a kind with more.
+
+    ``totals`` is (formats, candidates) to fit by kind. A format of n candidates is taken with probability n / step, or always
+    from ``step`` on, and stands for at least ``step``, so that the weights of a kind keep its shares.
+    """
+    step = F.lit(0.0)
+    for kind, (rows, n) in sorted(totals.items()):
+        step = F.when(F.col("kind") == kind, F.lit(n / most if rows > most else 0.0)).otherwise(step)
+    draw = (F.pmod(F.xxhash64("kind", "x"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    return formats.where((F.col("fit") > 0) & (F.col("fit") >= draw * step)).select("kind", "x", F.greatest(F.col("fit").cast("double"), step).alias("weight"))
+
+
+def limits(formats: DataFrame, models: dict[str, Boosted]) -> dict[str, float]:
+    """By kind the least score from which PRECISION of all held-out candidates are of it, where there is one; scores count in steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, n = batch.column("kind").to_pylist(), batch.column("held").to_numpy(zero_copy_only=False).astype(float)
+            x = np.array(batch.column("x").to_pylist(), float).reshape(len(n), len(FEATURES))
+            for kind, model in models.items():
+                at = np.floor(model.probability(x) * STEPS).astype(int)
+                right = np.bincount(at, n * np.array([k == kind for k in kinds], float))
+                every = np.bincount(at, n)
+                own = np.flatnonzero(every)
+                columns = [pa.array([kind] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(right[own]), pa.array(every[own])]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "at", "right", "every"])
+
+    scored = formats.where(F.col("held") > 0).mapInArrow(run, "kind string, at bigint, right double, every double")
+    counts: dict[str, list[tuple]] = {}
+    for r in scored.where(F.col("at") * 2 >= STEPS).groupBy("kind", "at").agg(F.sum("right").alias("right"), F.sum("every").alias("every")).collect():
+        counts.setdefault(r["kind"], []).append((r["at"], r["right"], r["every"]))
+    out = {}
+    for kind, rows in counts.items():
+        at, right, every = np.array(sorted(rows, reverse=True), float).T
+        good = np.flatnonzero(np.cumsum(right) >= PRECISION * np.cumsum(every))
+        if len(good):
+            out[kind] = float(at[good[-1]] / STEPS)
+    return out
 
-    def fn(column: pa.Array) -> list:
-        return [[[{"kind": k, "x": [float(v) for v in f]} for k, f in examples(t)] if SOME.search(t) else [] for t in column.to_pylist()]]
 
-    found = add_columns(sample, "text", [("found", kind)], fn).select(F.explode("found").alias("c")).select("c.kind", "c.x")
-    rows = found.orderBy(F.xxhash64("kind", "x"), "kind").limit(FIT_CANDIDATES).toPandas()
-    if not len(rows):
+def learn(docs: DataFrame, text: str = "text", fit_formats: int = FIT_FORMATS) -> Detector:
+    """Trees from the counted candidates of all texts; about ``fit_formats`` formats of a kind are collected, all that are held out are scored in tasks."""
+    formats = stage(count_formats(docs, text), "pii-formats")
+    fits = (F.col("fit") > 0).cast("bigint")
+    rows = formats.groupBy("kind").agg(F.sum(fits).alias("rows"), F.sum("fit").alias("fit"), F.sum("held").alias("held")).collect()
+    enough = [k for k in KINDS if any(r["kind"] == k and r["fit"] >= LEAST_POSITIVE and r["held"] >= LEAST_POSITIVE / 3 for r in rows)]
+    if not enough:
         return Detector({})
-    return Detector.fit(rows["kind"].to_numpy(str), np.stack(rows["x"].to_list()).astype(float))
+    sample = fit_sample(formats, {r["kind"]: (r["rows"], r["fit"]) for r in rows}, fit_formats).toPandas()
+    # The order of rows in a table is not fixed; sums of floats depend on it.
+    x, kinds = np.stack(sample["x"].to_list()).astype(float), sample["kind"].to_numpy(str)
+    order = np.lexsort([*x.T, kinds])
+    x, kinds, weight = x[order], kinds[order], sample["weight"].to_numpy(float)[order]
+    models = {k: boost(x, (kinds == k).astype(float), trees=30, depth=4, rate=0.3, least=5, part=1.0, weight=weight) for k in enough}
+    least = limits(formats, models)
+    return Detector({k: (m, least[k]) for k, m in models.items() if k in least})
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", detector: Detector | None = None) -> DataFrame:

@@ -32,10 +32,13 @@ def binned(x: np.ndarray, borders: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(b, x[:, k], "left") for k, b in enumerate(borders)], 1) if len(borders) else x.astype(int)
 
 
-def grow(bins: np.ndarray, borders: list[np.ndarray], slope: np.ndarray, curve: np.ndarray, depth: int, least: int, damp: float = 1.0) -> Node:
-    """A regression tree by second-order gains; rows with a value at most the border go low."""
+def grow(
+    bins: np.ndarray, borders: list[np.ndarray], slope: np.ndarray, curve: np.ndarray, depth: int, least: int, damp: float = 1.0, weight: np.ndarray | None = None
+) -> Node:
+    """A regression tree by second-order gains; rows with a value at most the border go low. ``weight`` is how many rows each one stands for."""
     node = Node(-slope.sum() / (curve.sum() + damp))
-    if depth == 0 or len(bins) < 2 * least:
+    whole = len(bins) if weight is None else weight.sum()
+    if depth == 0 or whole < 2 * least:
         return node
     base = slope.sum() ** 2 / (curve.sum() + damp)
     best = (1e-6, -1, 0)
@@ -45,9 +48,9 @@ def grow(bins: np.ndarray, borders: list[np.ndarray], slope: np.ndarray, curve:
             continue
         g = np.cumsum(np.bincount(bins[:, k], slope, n))[:-1]
         h = np.cumsum(np.bincount(bins[:, k], curve, n))[:-1]
-        c = np.cumsum(np.bincount(bins[:, k], minlength=n))[:-1]
+        c = np.cumsum(np.bincount(bins[:, k], weight, n))[:-1]
         gain = g**2 / (h + damp) + (slope.sum() - g) ** 2 / (curve.sum() - h + damp) - base
-        gain[(c < least) | (len(bins) - c < least)] = -1
+        gain[(c < least) | (whole - c < least)] = -1
         at = int(gain.argmax())
         if gain[at] > best[0]:
             best = (float(gain[at]), k, at)
@@ -56,8 +59,9 @@ def grow(bins: np.ndarray, borders: list[np.ndarray], slope: np.ndarray, curve:
     _, node.feature, at = best
     node.border = float(borders[node.feature][at])
     low = bins[:, node.feature] <= at
-    node.low = grow(bins[low], borders, slope[low], curve[low], depth - 1, least, damp)
-    node.high = grow(bins[~low], borders, slope[~low], curve[~low], depth - 1, least, damp)
+    node.low, node.high = (
+        grow(bins[own], borders, slope[own], curve[own], depth - 1, least, damp, None if weight is None else weight[own]) for own in (low, ~low)
+    )
     return node
 
 
@@ -90,17 +94,22 @@ class Boosted:
         return squash(self.margin(x))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, least: int = 5, part: float = 0.7, seed: int = 1) -> Boosted:
-    """Gradient boosting of the logistic loss; every tree sees its own share ``part`` of the rows."""
+def boost(
+    x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, least: int = 5, part: float = 0.7, seed: int = 1, weight: np.ndarray | None = None
+) -> Boosted:
+    """Gradient boosting of the logistic loss; every tree sees its own share ``part`` of the rows, each as often as ``weight`` says."""
     rng = np.random.default_rng(seed)
-    mean = min(max(float(y.mean()), 1e-4), 1 - 1e-4)
+    mean = min(max(float(np.average(y, weights=weight)), 1e-4), 1 - 1e-4)
     model = Boosted(float(np.log(mean / (1 - mean))), rate)
     borders = borders_of(x)
     bins, z = binned(x, borders), np.full(len(x), model.start)
     for _ in range(trees):
         p = squash(z)
         own = rng.random(len(x)) < part
-        tree = grow(bins[own], borders, (p - y)[own], np.maximum(p * (1 - p), 1e-6)[own], depth, least)
+        slope, curve = p - y, np.maximum(p * (1 - p), 1e-6)
+        if weight is not None:
+            slope, curve = slope * weight, curve * weight
+        tree = grow(bins[own], borders, slope[own], curve[own], depth, least, weight=None if weight is None else weight[own])
         model.trees.append(tree)
         z += rate * leaf_values(tree, x)
     return model

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from jobweave.llm import decontaminate, ngram_join, pieces, pii, quality, token_counts, toxicity
 from jobweave.llm.fm_index import FmIndex
@@ -155,6 +156,21 @@ def test_trees_add_what_a_failed_match_hid(spark):
     assert set(base.split(",")) <= set(got[0].spans.split(","))
 
 
+def test_formats_are_counted_and_drawn_by_their_counts(spark):
+    texts = [f"4929 1234 5678 {k:04d} or 12 of {10**6 + k}" for k in range(400)] + ["+1 (415) 555-2671"] * 300
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    formats = pii.count_formats(df)
+    rows = formats.collect()
+    want = sum(len(pii.examples(t)) for t in texts)
+    assert sum(r.fit + r.held for r in rows) == want and len({(r.kind, tuple(r.x)) for r in rows}) == len(rows) < 30
+    # A kind with many distinct formats is not lost to another one, and the weights keep its size.
+    many = spark.range(5000).selectExpr("if(id < 60, 'ip', '') kind", "array(double(id)) x", "bigint(1 + id % 3) fit", "0L held")
+    totals = {r.kind: (r.n, r.fit) for r in many.groupBy("kind").agg(F.count("*").alias("n"), F.sum("fit").alias("fit")).collect()}
+    drawn = pii.fit_sample(many, totals, 500).toPandas()
+    assert (drawn.kind == "ip").sum() == 60 and 350 < (drawn.kind == "").sum() < 650
+    assert abs(drawn[drawn.kind == ""].weight.sum() / totals[""][1] - 1) < 0.2
+
+
 def test_redaction_keeps_columns(docs):
     out = pii.redact_documents(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
