@@ -14,8 +14,9 @@ sample. The threshold of a kind is the least one whose precision on all candidat
 a third of the texts, held out from the fit, reaches ``PRECISION``. Chosen candidates
 that do not overlap base spans, best first, are added.
 
-Defined results: null and empty texts have no spans. Without enough positive
-candidates of a kind nothing is added to it. Repeated rows and extra columns pass
+Defined results: null and empty texts have no spans. A kind without enough positive
+candidates, or without such a threshold, has fixed formats (``FALLBACK``) instead of
+trees. Repeated rows and extra columns pass
 through; an empty table gives an empty table. Borders are code points, end exclusive.
 """
 
@@ -189,19 +190,57 @@ def examples(text: str) -> list[tuple[str, list[float]]]:
     return out
 
 
+class Fixed:
+    """A kind known by bounds on its features, for tables with too few examples to learn it; of two that fit, the one with more digits is likelier."""
+
+    def __init__(self, *formats: dict[str, tuple[int, int]]):
+        self.formats = [[(FEATURES.index(name), *bounds) for name, bounds in f.items()] for f in formats]
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        fits = np.zeros(len(x), bool)
+        for bounds in self.formats:
+            fits |= np.all([(x[:, k] >= low) & (x[:, k] <= high) for k, low, high in bounds], axis=0)
+        return fits * (0.9 + x[:, FEATURES.index("digits")] / 1000)
+
+
+_APART = {"letter_before": (0, 0), "letter_after": (0, 0)}
+_NUMBER = _APART | {"plus": (0, 0), "bracket": (0, 0), "dots": (0, 0), "luhn": (1, 1)}
+_PHONE = _APART | {"plus": (1, 1), "dots": (0, 0)}
+FALLBACK: dict[str, tuple[Fixed, float]] = {
+    "email": (Fixed({"at_sign": (1, 1), "dots": (1, 64)}), 0.5),
+    "ip": (
+        Fixed(_APART | {"dots": (3, 3), "groups": (4, 4), "longest_group": (1, 3), "largest_part": (0, 255), "plus": (0, 0), "bracket": (0, 0),
+                        "spaces": (0, 0), "dashes": (0, 0), "digit_before": (0, 0), "digit_after": (0, 0)}), 0.5
+    ),
+    # In one group, four times four, or 4-6-5.
+    "card": (
+        Fixed(
+            _NUMBER | {"groups": (1, 1)},
+            _NUMBER | {"groups": (4, 4), "longest_group": (4, 4), "digits": (16, 16), "length": (19, 19)},
+            _NUMBER | {"groups": (3, 3), "first_group": (4, 4), "longest_group": (6, 6), "last_group": (5, 5), "length": (17, 17)},
+        ), 0.5
+    ),
+    # One digit of country code and ten others, or two or three digits of country code.
+    "phone": (
+        Fixed(
+            _PHONE | {"first_group": (1, 1), "digits": (11, 11), "groups": (4, 5)},
+            _PHONE | {"first_group": (2, 3), "digits": (10, 13), "groups": (3, 8), "longest_group": (2, 8)},
+        ), 0.5
+    ),
+}
+
+
 class Detector:
-    """Trees and thresholds by kind."""
+    """Trees and thresholds by kind; the fixed formats for kinds without them."""
 
     def __init__(self, models: dict[str, tuple[Boosted, float]]):
-        self.models = models
+        self.models = FALLBACK | models
 
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
         """(base, added), both by kind as listed and then start."""
         if not text or not SOME.search(text):
             return [], []
         base, _ = base_spans(text)
-        if not self.models:
-            return base, []
         taken = Busy([(a, b) for _, a, b in base])
         free = [c for c in candidates(text) if not taken.meets(*c)]
         if not free:

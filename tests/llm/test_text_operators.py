@@ -171,6 +171,16 @@ def test_formats_are_counted_and_drawn_by_their_counts(spark):
     assert abs(drawn[drawn.kind == ""].weight.sum() / totals[""][1] - 1) < 0.2
 
 
+def test_a_hidden_span_is_found_in_a_table_of_any_size(spark):
+    hidden = "+1 (826) 555-4081 190.137.223.204"
+    for others in (0, 400):
+        texts = [hidden, *[f"+1 (415) 555-{1000 + k} word {k}" for k in range(others)], "+1 (415) 555 12, 10 of 1234567 and v1.2.3.4.5"]
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+        got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+        assert got[0] == "ip:18:33,phone:0:17"
+        assert got[len(texts) - 1] == pii.joined(pii.base_spans(texts[-1])[0])
+
+
 def test_redaction_keeps_columns(docs):
     out = pii.redact_documents(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
