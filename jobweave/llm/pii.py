@@ -2,7 +2,7 @@
 
 Base spans follow fixed rules (e-mail, IP address, card number with Luhn digit, phone
 number) and always stay. Generators then propose many overlapping spans: every run of
-up to five neighbouring digit groups with the signs between them, and every word with
+neighbouring digit groups of up to 19 digits with the signs between them, and every word with
 an ``@`` or a written-out one. Each candidate is described by its format and its
 surroundings; one set of boosted trees per kind says how likely it is personal data.
 They learn from all texts, without labels: candidates equal to a base span are
@@ -43,6 +43,8 @@ FIT_FORMATS = 20_000
 #: One in so many texts is held out.
 HELD_OUT = 3
 STEPS = 4096
+#: Digits of the longest kind, a card number.
+MOST_DIGITS = 19
 LEAST_POSITIVE = 30
 PRECISION = 0.995
 
@@ -116,8 +118,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
         # A sign before the first group belongs to it: "+", "(", "+(".
         while start > 0 and a - start < 2 and text[start - 1] in "+(":
             start -= 1
-        last = b
-        for j in range(i, min(i + 5, len(groups))):
+        last, digits = b, 0
+        for j in range(i, len(groups)):
+            digits += groups[j][1] - groups[j][0]
+            if digits > MOST_DIGITS:
+                break
             if j > i:
                 if not BETWEEN.match(text[last : groups[j][0]]):
                     break

@@ -171,6 +171,14 @@ def test_formats_are_counted_and_drawn_by_their_counts(spark):
     assert abs(drawn[drawn.kind == ""].weight.sum() / totals[""][1] - 1) < 0.2
 
 
+def test_candidates_have_any_number_of_groups():
+    assert (0, 17) in pii.candidates("+33 6 12 34 56 78 4111 1111 1111 1111")
+    assert (0, 23) in pii.candidates("41 11 11 11 11 11 11 11") and (3, 40) in pii.candidates("no " + " ".join("1" * 19))
+    assert max(b - a for a, b in pii.candidates("7 " * 50)) == 37
+    text = "+33 6 12 34 56 78 4111 1111 1111 1111"
+    assert pii.joined(pii.Detector({}).spans(text)[1]) == "card:18:37,phone:0:17"
+
+
 def test_a_hidden_span_is_found_in_a_table_of_any_size(spark):
     hidden = "+1 (826) 555-4081 190.137.223.204"
     for others in (0, 400):
