@@ -5,8 +5,8 @@ are grown on a sample of labelled rows; every path from the root to a node becom
 conjunctive rule; a lasso logistic regression weighs the rules and drops most; the
 remaining rules are compiled into one Spark column expression that scores all rows.
 
-Learning takes at most ``fit_rows`` labelled rows (chosen by a hash of the id, so the
-same rows at every size of the cluster). Labels, language, source and id are no inputs.
+Learning takes at most ``fit_rows`` labelled rows (chosen by hashes of id and text, so
+the same rows at every size of the cluster; equal texts of one id are one row). Labels, language, source and id are no inputs.
 
 Defined results: a null or empty text has zero statistics and gets a score from them
 like any other; rows with null ids are scored; labels that are null, or of ids without
@@ -20,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm.arrow import add_columns, text_bytes
@@ -28,6 +28,8 @@ from jobweave.llm.trees import boost, lasso_logistic, paths, rule_matrix
 from jobweave.llm.words import find_words
 
 FIT_ROWS = 20_000
+#: Different texts of one id that are learned from; ranks up to here are cut before the shuffle.
+TEXTS_OF_ID = 1000
 PENALTY = 1e-3
 STATS = [
     "chars", "words", "mean_word", "upper", "digits", "marks", "symbols", "beyond_ascii", "blanks",
@@ -102,9 +104,10 @@ def held_out(id_column: str, parts: int, part: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int, id_column: str = "doc_id") -> DataFrame:
-    """(id, label, text) of at most ``rows`` labelled rows for learning, chosen by a hash of the id.
+    """(id, label, text) of at most ``rows`` labelled rows for learning, chosen by hashes; equal texts of one id are one row.
 
-    The chosen ids are at most ``rows`` numbers, a proven bound, so they are broadcast and the texts stay in place.
+    Ids may repeat: first texts of ids come before second ones, and so on, so that no id crowds out others. At most ``rows``
+    ids, and at most ``rows`` pairs of id and text hash, are broadcast; the texts stay in place until they are chosen.
     """
     chosen = (
         labels.where(train & F.col(label).isNotNull())
@@ -113,7 +116,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .orderBy(F.xxhash64("id"), "id")
         .limit(rows)
     )
-    return docs.join(F.broadcast(chosen), F.col(id_column) == F.col("id")).select("id", "label", F.col("text"))
+    labelled = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("id")).select("id", "label", "text", F.xxhash64("text").alias("name"))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("name"))
+    pairs = (
+        labelled.select("id", "name").distinct().withColumn("turn", turn).where(F.col("turn") <= TEXTS_OF_ID)
+        .orderBy("turn", F.xxhash64("id"), "id").limit(rows)
+        .select(F.col("id").alias("own_id"), F.col("name").alias("own_name"))
+    )
+    bounded = labelled.join(F.broadcast(pairs), (F.col("id") == F.col("own_id")) & (F.col("name") == F.col("own_name")))
+    return bounded.groupBy("id", "label", "name").agg(F.min("text").alias("text")).drop("name")
 
 
 class Rules:

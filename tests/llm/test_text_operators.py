@@ -306,6 +306,15 @@ def test_rules_as_column_equal_rules_as_matrix(spark):
     assert np.allclose([r.p for r in df.collect()], want) and ((want > 0.5) == y[:50]).mean() > 0.95
 
 
+def test_repeated_ids_do_not_pass_the_bound_of_labelled_rows(spark):
+    rows = [(1, f"text {k % 300}") for k in range(900)] + [(k, f"own {k}") for k in range(2, 30)] + [(30, None), (None, "x"), (31, "unlabelled")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 31)], "doc_id bigint, quality int")
+    got = [tuple(r) for r in quality.labelled_sample(docs, labels, "quality", F.lit(True), 100).collect()]
+    assert len(got) == len(set(got)) == 100 and {r[0] for r in got} == set(range(1, 31))
+    assert all(r[1] == r[0] % 2 and (r[0], r[2]) in set(rows) for r in got)
+
+
 @pytest.mark.parametrize("score,label", [(toxicity.score_toxicity, "toxic"), (quality.score_quality, "quality")])
 def test_scores_of_odd_rows(spark, docs, no_docs, score, label):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (77777, 0)], f"doc_id bigint, {label} int")
