@@ -75,9 +75,39 @@ t AS (
 SELECT page_id, url, array_to_string(lines, chr(10)) AS text, length(array_to_string(lines, chr(10)))::BIGINT AS n_chars FROM t
 """
 
+OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT doc, lang, term FROM u) GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT d.lang, source, coalesce(v, 0) AS v FROM d LEFT JOIN v USING (lang)),
+counts AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, g.v, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+p AS (
+  SELECT *, (1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::HUGEINT AS p FROM grid),
+q AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::HUGEINT AS q
+  FROM (SELECT lang, term, v, sum(n) AS n FROM grid GROUP BY ALL)),
+pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(s.value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+  ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2,
     "op5_ngram_jaccard_join": OP5,
     "op7_embedding_near_dedup": OP7,
     "op9_html_extraction": OP9,
+    "op13_source_divergence": OP13,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm import (
     decontaminate,
+    divergence,
     embedding_links,
     html_text,
     ngram_join,
@@ -87,6 +88,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of a language, and the terms that a source overuses."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_html_extraction,
         op10_url_filter,
+        op13_source_divergence,
     )
 }

@@ -14,6 +14,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[97:123] = IS_LETTER[128:] = True
+IS_SOLID = np.ones(256, bool)
+IS_SOLID[32] = IS_SOLID[9:14] = False
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -38,10 +42,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def find_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, start byte, end byte) of every word in texts laid end to end; ``ends`` are n + 1 offsets."""
+def find_words(
+    data: np.ndarray, ends: np.ndarray, members: np.ndarray = IS_WORD
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, start byte, end byte) of every word in texts laid end to end; ``ends`` are n + 1 offsets.
+
+    ``members`` says of each lower-cased byte whether it belongs to a word.
+    """
     low = LOWER[data]
-    inside = IS_WORD[low]
+    inside = members[low]
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
