@@ -31,6 +31,7 @@ terms are read whole; further columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +50,16 @@ HELD = 1 << 20
 #: Kept terms and sources that meet in one block.
 TERMS, SOURCES = 1024, 512
 SCALE = 1_000_000_000
+#: For a language and term: documents in which the term differs from the one before it within each level's bytes; occurrences by source.
+TERM_ROWS = "lang string, term binary, docs array<bigint>, sources array<string>, counts array<bigint>"
 _SHOWN = 24
 
 
 def level_sizes(longest: int) -> list[int]:
-    """Prefix sizes in bytes: 3, 6, 9, 12, then doubling, until one is longer than the longest term."""
-    sizes = [3]
+    """Prefix sizes in bytes: 4, then doubling, until one is longer than the longest term."""
+    sizes = [4]
     while sizes[-1] <= longest:
-        sizes.append(sizes[-1] + 3 if sizes[-1] < 12 else sizes[-1] * 2)
+        sizes.append(sizes[-1] * 2)
     return sizes
 
 
@@ -107,32 +110,43 @@ class Counts:
         return keys, sums
 
 
+def lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
+
+
 def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: (lang, null, term, level, documents) and (lang, source, term, null, occurrences)."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("level", pa.int32()), ("n", pa.int64())])
-    names: dict[bytes, int] = {}
-    langs: dict[str, int] = {}
-    groups: dict[tuple[str, str], int] = {}
+    """Counts of a task, a row for each language and term, as ``TERM_ROWS`` says."""
+    words: dict[tuple[str, bytes], int] = {}
+    sources: dict[str, int] = {}
     fresh, found = Counts(), Counts()
 
     def rows() -> Iterator[pa.RecordBatch]:
-        terms, own, of = pa.array(list(names), pa.binary()), pa.array(list(langs), pa.string()), list(groups)
-        for counts, first in ((fresh, True), (found, False)):
-            keys, sums = counts.merge()
-            for a in range(0, len(keys), 1 << 16):
-                key, n = keys[a : a + (1 << 16)], sums[a : a + (1 << 16)]
-                term = terms.take(pa.array((key >> 8) & 0xFFFFFFFF))
-                group = pa.array(key >> 40)
-                if first:
-                    columns = [own.take(group), pa.nulls(len(n), pa.string()), term, pa.array((key & 255).astype(np.int32)), pa.array(n)]
-                else:
-                    lang, source = (pa.array([g[k] for g in of], pa.string()).take(group) for k in (0, 1))
-                    columns = [lang, source, term, pa.nulls(len(n), pa.int32()), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        # every word is in both: it begins to differ somewhere, and it occurs
+        (level_keys, docs), (source_keys, n) = fresh.merge(), found.merge()
+        names, labels = list(words), pa.array(list(sources), pa.string())
+        depth = int((level_keys & 255).max(initial=0)) + 1
+        for a in range(0, len(names), 1 << 14):
+            b = min(a + (1 << 14), len(names))
+            i, j = np.searchsorted(level_keys, [a << 8, b << 8])
+            by_level = np.zeros((b - a, depth), np.int64)
+            by_level[(level_keys[i:j] >> 8) - a, level_keys[i:j] & 255] = docs[i:j]
+            by_level = by_level.cumsum(1)
+            i, j = np.searchsorted(source_keys, [a << 32, b << 32])
+            each = np.bincount((source_keys[i:j] >> 32) - a, minlength=b - a)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([w[0] for w in names[a:b]], pa.string()),
+                    pa.array([w[1] for w in names[a:b]], pa.binary()),
+                    lists(np.full(b - a, depth), pa.array(by_level.ravel())),
+                    lists(each, labels.take(pa.array(source_keys[i:j] & 0xFFFFFFFF))),
+                    lists(each, pa.array(n[i:j])),
+                ],
+                names=["lang", "term", "docs", "sources", "counts"],
+            )
 
     for batch in batches:
         texts = batch.column(0)
-        labels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        langs, origins = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for a, b in slices(texts):
             data, ends = text_bytes(texts.slice(a, b - a))
             name, owner, start, stop = find_words(data, ends, IS_LETTER)
@@ -140,7 +154,6 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             _, first, place = np.unique(name, return_index=True, return_inverse=True)
             terms, rank, shared = sorted_terms(LOWER[data], start[first], stop[first])
-            number = np.array([names.setdefault(t, len(names)) for t in terms], np.int64)
             pair, n = np.unique(owner * len(terms) + rank[place], return_counts=True)
             doc, term = pair // len(terms), pair % len(terms)
             level = np.zeros(len(pair), np.int64)
@@ -148,34 +161,35 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for size in level_sizes(int(shared.max(initial=0))):
                 code = np.concatenate([[0], np.cumsum(shared < size)])
                 level[1:] += same & (code[term[1:]] == code[term[:-1]])
-            lang = np.array([langs.setdefault(x, len(langs)) for x in labels[0][a:b]], np.int64)
-            group = np.array([groups.setdefault(x, len(groups)) for x in zip(labels[0][a:b], labels[1][a:b])], np.int64)
-            fresh.add(lang[doc] << 40 | number[term] << 8 | level, np.ones(len(pair), np.int64))
-            found.add(group[doc] << 40 | number[term] << 8, n)
-            if fresh.merged + found.merged > HELD or len(names) > HELD // 4:
+            own, lang = np.unique(np.array(langs[a:b], object).astype(str), return_inverse=True)
+            found_words, place = np.unique(lang[doc] * len(terms) + term, return_inverse=True)
+            spoken = [str(x) for x in own]
+            number = np.array([words.setdefault((spoken[k // len(terms)], terms[k % len(terms)]), len(words)) for k in found_words.tolist()])[place]
+            origin = np.array([sources.setdefault(x, len(sources)) for x in origins[a:b]], np.int64)
+            fresh.add(number << 8 | level, np.ones(len(pair), np.int64))
+            found.add(number << 32 | origin[doc], n)
+            if fresh.merged + found.merged > 2 * HELD or len(words) > HELD // 4:
                 yield from rows()
-                names, langs, groups, fresh, found = {}, {}, {}, Counts(), Counts()
+                words, sources, fresh, found = {}, {}, Counts(), Counts()
     yield from rows()
 
 
-def kept_terms(prefixes: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, term) of the terms in at least ``least`` documents, out of (lang, term, level, n) counts.
+def kept_terms(words: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, term) of the terms in at least ``least`` documents, out of ``TERM_ROWS``.
 
     Level by level, what continues a prefix of too few documents is dropped. A term shorter than the prefixes
     of a level is complete there: its prefix is the whole term, and no other term has it.
     """
-    longest = prefixes.agg(F.max(F.octet_length("term"))).first()[0] or 0
-    live, complete = prefixes, []
-    for number, size in enumerate(level_sizes(longest)):
+    longest = words.agg(F.max(F.octet_length("term"))).first()[0] or 0
+    live, complete = words.select("lang", "term", "docs"), []
+    for number, size in enumerate(level_sizes(longest), 1):
         keyed = live.withColumn("prefix", F.substring("term", 1, size))
-        kept = keyed.where(F.col("level") <= number).groupBy("lang", "prefix").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least)
+        here = F.element_at("docs", F.least(F.lit(number), F.size("docs")))
+        kept = keyed.groupBy("lang", "prefix").agg(F.sum(here).alias("here")).where(F.col("here") >= least)
         rest = stage(keyed.join(kept, ["lang", "prefix"], "left_semi").drop("prefix"), "iceberg")
         complete.append(rest.where(F.octet_length("term") < size).select("lang", "term"))
         live = rest.where(F.octet_length("term") >= size)
-    terms = complete[0]
-    for more in complete[1:]:
-        terms = terms.unionAll(more)
-    return terms.distinct()
+    return reduce(DataFrame.unionAll, complete).distinct()
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -258,10 +272,11 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """(lang, source, part, item, value, rank): distances between sources, and the terms that each overuses most."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     plain = docs.select(blank(text).alias("text"), blank(lang).alias("lang"), blank(source).alias("source"))
-    rows = stage(plain.mapInArrow(term_rows, "lang string, source string, term binary, level int, n bigint"), "terms")
-    kept = stage(kept_terms(rows.where(F.col("source").isNull()).drop("source"), least), "kept-terms")
-    found = rows.where(F.col("source").isNotNull()).join(kept, ["lang", "term"], "left_semi")
-    found = stage(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "term-counts")
+    words = stage(plain.mapInArrow(term_rows, TERM_ROWS), "terms")
+    kept = stage(kept_terms(words, least), "kept-terms")
+    found = words.select("lang", "term", "sources", "counts").join(kept, ["lang", "term"], "left_semi")
+    found = found.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("c"))
+    found = stage(found.groupBy("lang", F.col("c.sources").alias("source"), "term").agg(F.sum("c.counts").alias("n")), "term-counts")
 
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))

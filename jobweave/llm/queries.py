@@ -19,6 +19,7 @@ from jobweave.llm import (
     token_counts,
     toxicity,
     url_filter,
+    whitening,
 )
 
 
@@ -88,6 +89,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector in the components of largest variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of a language, and the terms that a source overuses."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_html_extraction,
         op10_url_filter,
+        op11_embedding_whitening,
         op13_source_divergence,
     )
 }
