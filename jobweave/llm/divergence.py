@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.arrow import slices, text_bytes, whole_groups
+from jobweave.llm.tally import Tally
 from jobweave.llm.words import IS_LETTER, LOWER, find_words
 from jobweave.operators.ordering import rank_rows, top_rows
 from jobweave.session import stage
@@ -88,28 +89,6 @@ def sorted_terms(low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[
     return terms, rank, shared
 
 
-class Counts:
-    """Sums by number key, merged when they have grown."""
-
-    def __init__(self):
-        self.keys, self.sums, self.n, self.merged = [], [], 0, 0
-
-    def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.sums.append(sums)
-        self.n += len(keys)
-        if self.n > 2 * max(self.merged, HELD // 4):
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-        sums = np.bincount(place, np.concatenate(self.sums), len(keys)).astype(np.int64)
-        self.keys, self.sums, self.n, self.merged = [keys], [sums], len(keys), len(keys)
-        return keys, sums
-
-
 def lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
 
@@ -118,7 +97,7 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task, a row for each language and term, as ``TERM_ROWS`` says."""
     words: dict[tuple[str, bytes], int] = {}
     sources: dict[str, int] = {}
-    fresh, found = Counts(), Counts()
+    fresh, found = Tally(), Tally()
 
     def rows() -> Iterator[pa.RecordBatch]:
         # every word is in both: it begins to differ somewhere, and it occurs
@@ -170,7 +149,7 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.add(number << 32 | origin[doc], n)
             if fresh.merged + found.merged > 2 * HELD or len(words) > HELD // 4:
                 yield from rows()
-                words, sources, fresh, found = {}, {}, Counts(), Counts()
+                words, sources, fresh, found = {}, {}, Tally(), Tally()
     yield from rows()
 
 

@@ -12,6 +12,7 @@ from jobweave.llm import (
     divergence,
     embedding_links,
     html_text,
+    maxent,
     ngram_join,
     pieces,
     pii,
@@ -94,6 +95,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from rows that are not held out."""
+    return maxent.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of a language, and the terms that a source overuses."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_html_extraction,
         op10_url_filter,
         op11_embedding_whitening,
+        op12_lm_scoring,
         op13_source_divergence,
     )
 }
