@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import fixed_values as fv
 from jobweave.functions.scalars import safe_base_name
-from jobweave.operators.ordering import rank_rows
+from jobweave.operators.ordering import rank_rows, running_total
 from jobweave.session import stage
 
+KEY = "industry_group"
+
 
 def job_skills(df: DataFrame) -> DataFrame:
     """One row per (job, distinct skill): times named and first position.
@@ -119,30 +121,52 @@ def skill_budgets(
 def feature_names(counts: DataFrame) -> DataFrame:
     """Unique formula-safe names: in order of appearance, a taken name is its base with the first free of _1, _2, ...
 
-    Names can only meet where their bases are equal without trailing numbers, so each such family of an industry's
-    skills is named by itself.
+    Skills of one base take rising places in "base, base_1, base_2, ...": the rank among them plus the places that
+    are passed over. Only one other skill can want the name of a place, the first one whose own base reads like it
+    (``x_1`` beside ``x``), and of the two the one that appears first has it. Who reaches a contested place depends
+    on the contested places before it, so all are decided at once, by joins, and decided again until nothing changes.
+    Ranks are taken over range partitions, so all skills of an industry may share one base.
     """
-    named = counts.select(
-        "industry_group",
-        "skill",
-        F.col("first_job").alias("_job"),
-        F.col("first_pos").alias("_pos"),
-        safe_base_name(F.col("skill")).alias("feature"),
-    )
-    member = F.struct("_job", "_pos", "skill", "feature")
-    families = named.groupBy("industry_group", F.regexp_replace("feature", r"(_[0-9]+)+$", "").alias("_root")).agg(
-        F.array_sort(F.collect_list(member)).alias("_members")
-    )
-
-    def free(base: Column, used: Column) -> Column:
-        offers = F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda i: F.concat(base, F.lit("_"), i.cast("string")))
-        return F.when(~F.array_contains(used, base), base).otherwise(F.filter(offers, lambda n: ~F.array_contains(used, n))[0])
-
-    named_so_far = F.aggregate(
-        "_members",
-        F.array().cast("array<struct<skill:string,feature:string>>"),
-        lambda done, m: F.concat(
-            done, F.array(F.struct(m["skill"].alias("skill"), free(m["feature"], F.transform(done, lambda d: d["feature"])).alias("feature")))
-        ),
-    )
-    return families.select("industry_group", F.explode(named_so_far).alias("_n")).select("industry_group", "_n.skill", "_n.feature")
+    order = F.struct("first_job", "first_pos", "skill")
+    based = counts.select(KEY, "first_job", "first_pos", "skill", safe_base_name(F.col("skill")).alias("base"))
+    ranked = rank_rows(based, [KEY, "base"], ["first_job", "first_pos", "skill"])
+    items = stage(ranked.select(KEY, "skill", order.alias("order"), "base", (F.col("rank") - 1).alias("place")), "bases")
+    first = items.where("place = 0").select(KEY, "base", "order")
+    number = F.regexp_extract("base", r"_([1-9][0-9]*)$", 1)
+    contested = (
+        first.select(KEY, F.col("base").alias("rival"), F.col("order").alias("first"), number.alias("digits"))
+        .withColumns({"place": F.col("digits").try_cast("long"), "base": F.expr("substring(rival, 1, length(rival) - length(digits) - 1)")})
+        .where("place is not null").drop("digits").join(first.select(KEY, "base"), [KEY, "base"], "left_semi")
+    )
+    contested = stage(contested, "contested")
+    passed = contested.select(KEY, "base", "place").limit(0)
+    while True:
+        before = _passed_before(contested, passed).withColumn("rank", F.col("place") - F.col("passed"))
+        reached = before.join(items.select(KEY, "base", F.col("place").alias("rank"), "order"), [KEY, "base", "rank"])
+        rival_first = F.col("first") < F.col("order")
+        decided = reached.select(
+            KEY, F.when(rival_first, F.col("base")).otherwise(F.col("rival")).alias("base"), F.when(rival_first, F.col("place")).otherwise(0).alias("place")
+        )
+        decided = stage(decided, "passed")
+        keys = [KEY, "base", "place"]
+        changed = decided.join(passed, keys, "left_anti").unionByName(passed.join(decided, keys, "left_anti"))
+        passed = decided
+        if changed.isEmpty():
+            break
+    if not passed.isEmpty():
+        # the i-th passed place k moves all skills from rank k - i + 1 on
+        moves = rank_rows(passed, [KEY, "base"], ["place"], "i").select(KEY, "base", (F.col("place") - F.col("i")).alias("place"), "i")
+        items = _passed_before(items, moves).withColumn("place", F.col("place") + F.col("passed"))
+    name = F.when(F.col("place") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("place").cast("string")))
+    return items.select(KEY, "skill", name.alias("feature"))
+
+
+def _passed_before(rows: DataFrame, passed: DataFrame) -> DataFrame:
+    """Add ``passed``: how many of the ``passed`` places of the row's base lie before its ``place``."""
+    touched = passed.select(KEY, "base").distinct()
+    mine = rows.join(touched, [KEY, "base"], "left_semi").withColumns({"kind": F.lit(0), "i": F.lit(0).cast("long")})
+    events = passed.withColumn("kind", F.lit(1))
+    both = mine.unionByName(events, allowMissingColumns=True)
+    both = both.withColumn("i", F.coalesce("i", F.lit(0).cast("long")))
+    counted = running_total(both, [KEY, "base"], ["place", "kind", "i"], F.col("kind"), "passed").where("kind = 0").drop("kind", "i")
+    return counted.unionByName(rows.join(touched, [KEY, "base"], "left_anti").withColumn("passed", F.lit(0).cast("long")))
