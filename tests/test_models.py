@@ -207,6 +207,37 @@ def test_silhouette_over_many_blocks_matches_brute_force(spark, monkeypatch):
         assert np.allclose([got[model, i] for i in range(90)], want, atol=1e-9)
 
 
+@pytest.mark.parametrize("apart", [0.0, 12.0])
+def test_bounds_choose_the_same_k_with_fewer_pairs(spark, monkeypatch, apart):
+    monkeypatch.setattr(silhouette, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(silhouette, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(8)
+    rows, want, n = [], {}, 240
+    for industry in ("g", "h"):
+        groups = rng.integers(0, 5 if industry == "g" else 3, n)
+        x = rng.normal(size=(n, 3)) + apart * rng.normal(size=(5, 3))[groups]
+        labels = np.stack([groups % k for k in (2, 3, 4, 5)], 1)
+        labels[0, 2] = 9  # a row alone in its cluster
+        rows += [(industry, f"{industry}{i}", x[i].tolist(), labels[i].tolist()) for i in range(n)]
+        scores = [brute_silhouette(x, labels[:, m]).mean() if len(set(labels[:, m])) > 1 else -2 for m in range(4)]
+        want[industry] = (int(np.argmax(scores)) + 2, max(scores))
+    rows.append(("alone", "z", [1.0, 2.0, 3.0], [0, None, None, None]))
+    points = spark.createDataFrame(rows, "industry_group string, job_id string, features array<double>, labels array<int>").repartition(3)
+    got = {r.industry_group: (r.k, r.silhouette) for r in silhouette.choose_k(points, kmeans.Settings(max_k=5)).collect()}
+    assert set(got) == {"g", "h"}
+    for industry, (k, score) in want.items():
+        assert got[industry][0] == k and got[industry][1] == pytest.approx(score, abs=1e-9)
+    bounds = silhouette.score_bounds(points)
+    low = {(r.industry_group, r.job_id, r.model): r for r in bounds.collect()}
+    exact = {(r.industry_group, r.job_id, r.model): r.score for r in silhouette.row_scores(points).collect()}
+    assert set(low) == set(exact) and all(r.low - 1e-9 <= exact[k] <= r.high + 1e-9 for k, r in low.items())
+    _, sizes = silhouette.meetings(bounds, silhouette.open_models(bounds))
+    pairs = sum(r.n * r.wanted for r in sizes.collect())
+    if apart:  # two industries of n rows under four models, all pairs of each once
+        assert pairs < 0.25 * 2 * 4 * n * n
+    assert silhouette.choose_k(points.limit(0), kmeans.Settings(max_k=5)).collect() == []
+
+
 def test_vectors(spark):
     lookup = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "tag string, vec array<double>")
     df = spark.createDataFrame([(1, "a,a,b,zz"), (2, "zz"), (3, None)], "job_id long, job_skills string")
