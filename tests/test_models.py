@@ -160,10 +160,59 @@ def test_portions_do_not_change_the_result(spark, monkeypatch):
     points = spark.createDataFrame([r[:3] for r in blobs(4)], "industry_group string, job_id long, features array<double>")
     settings = kmeans.Settings(max_k=4, restarts=3)
     whole = sorted(map(str, kmeans.fit_all(points, settings).collect()))
+    assert sorted(map(str, kmeans.fit_all(points.repartition(3), settings).collect())) == whole
+    monkeypatch.setattr(kmeans, "LOCAL_BYTES", 0)  # from here on by passes over the rows
+    assert sorted(map(str, kmeans.fit_all(points, settings).collect())) == whole
     monkeypatch.setattr(kmeans, "CENTROID_BYTES", 1)
     assert sorted(map(str, kmeans.fit_all(points.repartition(3), settings).collect())) == whole
 
 
+def plain_kmeans(ids, x, counts, restarts, seed=42):
+    """Labels of every k as lists: weighted draws, then moves until they are small, one row and centroid at a time."""
+    tolerance = x.var(0, ddof=1).mean() * kmeans.TOLERANCE
+    best = {}
+    for restart in range(restarts):
+        seeds, weight = [], np.ones(len(x))
+        for step in range(max(counts)):
+            keys = [(-np.log(u) / w, i) for i, (u, w) in enumerate(zip(kmeans._uniform(ids, seed, restart, step), weight)) if w >= 1e-12]
+            if not keys:
+                break
+            seeds.append(x[min(keys)[1]])
+            weight = np.array([min(((row - s) ** 2).sum() for s in seeds) for row in x])
+        for k in counts:
+            if k > min(len(seeds), len(x) - 1):
+                continue
+            centres = np.array(seeds[:k])
+            for _ in range(300):
+                near = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+                moved = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(k)])
+                shift, centres = ((moved - centres) ** 2).sum(), moved
+                if shift <= tolerance:
+                    break
+            square = ((x[:, None] - centres[None]) ** 2).sum(-1)
+            rank = (float(f"{square.min(1).sum():.9e}"), restart)
+            if k not in best or rank < best[k][0]:
+                best[k] = (rank, square.argmin(1).tolist())
+    return [best[k][1] if k in best else [None] * len(x) for k in counts]
+
+
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_whole_fit_equals_a_plain_one(spark, monkeypatch, local):
+    monkeypatch.setattr(kmeans, "LOCAL_BYTES", local)
+    rng = np.random.default_rng(5)
+    rows = [("a", k, rng.normal(size=3).tolist()) for k in range(60)] + [("b", 100 + k, rng.normal(size=3).tolist()) for k in range(4)]
+    rows += [("twice", 200 + k, [float(k % 2), 0.0, 0.0]) for k in range(7)]
+    points = spark.createDataFrame(rows, "industry_group string, job_id long, features array<double>")
+    settings = kmeans.Settings(max_k=5, restarts=3)
+    got = {r.job_id: r.labels for r in kmeans.fit_all(points.repartition(3), settings).collect()}
+    hashes = {r.job_id: r.h for r in points.select("job_id", F.xxhash64("job_id").alias("h")).collect()}
+    for industry in ("a", "b", "twice"):
+        own = sorted((r for r in rows if r[0] == industry), key=lambda r: hashes[r[1]])
+        labels = plain_kmeans(np.array([hashes[r[1]] for r in own]), np.array([r[2] for r in own]), settings.counts, 3, settings.seed)
+        assert [got[r[1]] for r in own] == [list(t) for t in zip(*labels)]
+    assert len(got) == len(rows) and kmeans.fit_all(points.limit(0), settings).count() == 0
+
+
 def test_inertia_never_rises(spark):
     points = spark.createDataFrame(
         [r[:3] for r in blobs(2, groups=("a",), n=80, k=6)], "industry_group string, job_id long, features array<double>"
