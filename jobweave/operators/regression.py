@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from jobweave.functions import fixed_values as fv
 from jobweave.operators.mutual_info import mutual_information, select_skills
 from jobweave.operators.ordering import top_rows
+from jobweave.operators.skew import join_one
 from jobweave.operators.skills import industry_sizes, job_skills, skill_budgets
 from jobweave.session import stage
 
@@ -41,12 +42,12 @@ def term_weights(terms: DataFrame, sizes: DataFrame, max_terms: int = fv.TFIDF_M
     totals = terms.groupBy(KEY, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     kept = top_rows(totals, [KEY], [F.desc("total"), F.asc("term")], max_terms)
     idf = F.log((1.0 + F.col("n_jobs")) / (1.0 + F.col("df"))) + 1.0
-    return stage(kept.join(sizes, KEY).select(KEY, "term", idf.alias("idf")), "terms")
+    return stage(kept.join(sizes, KEY).select(KEY, "term", idf.alias("idf"), F.col("df").alias("n_with_term")), "terms")
 
 
 def tfidf_rows(terms: DataFrame, weights: DataFrame) -> DataFrame:
     """One unit vector per job, sparse: (industry_group, job_id, vec: array of (f, v))."""
-    weighted = terms.join(weights, [KEY, "term"]).select(
+    weighted = join_one(terms, weights, [KEY, "term"], "n_with_term").select(
         *JOB, F.struct(F.col("term").alias("f"), (F.col("tf") * F.col("idf")).alias("v")).alias("x")
     )
     rows = weighted.groupBy(*JOB).agg(F.collect_list("x").alias("x"))
