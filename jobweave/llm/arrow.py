@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of texts that come to a task at once.
+BATCH_ROWS = 1000
 #: Rows of a group that one task compares with each other; larger groups are dealt out by pairs of blocks.
 BLOCK = 512
 
@@ -24,6 +26,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to ``BATCH_ROWS`` rows, so that a worker never holds thousands of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -66,6 +75,7 @@ def add_columns(
 
     ``fn`` takes a string array and gives one sequence for each of ``fields`` (name, SQL type).
     """
+    small_batches(df.sparkSession)
     names = [n for n, _ in fields]
     added = df.limit(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields]).schema
     schema = T.StructType([*df.schema.fields, *[T.StructField(f.name, f.dataType, True) for f in added]])

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.arrow import slices, text_bytes, whole_groups
+from jobweave.llm.arrow import slices, small_batches, text_bytes, whole_groups
 from jobweave.llm.tally import Tally
 from jobweave.llm.words import IS_LETTER, LOWER, find_words
 from jobweave.operators.ordering import rank_rows, top_rows
@@ -249,6 +249,7 @@ def source_distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST, places: int = PLACES) -> DataFrame:
     """(lang, source, part, item, value, rank): distances between sources, and the terms that each overuses most."""
+    small_batches(docs.sparkSession)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     plain = docs.select(blank(text).alias("text"), blank(lang).alias("lang"), blank(source).alias("source"))
     words = stage(plain.mapInArrow(term_rows, TERM_ROWS), "terms")

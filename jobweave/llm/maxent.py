@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.arrow import binary_rows, slices, text_bytes
+from jobweave.llm.arrow import binary_rows, slices, small_batches, text_bytes
 from jobweave.llm.quality import held_out
 from jobweave.llm.tally import Tally
 from jobweave.llm.words import IS_SOLID, find_words, mix
@@ -287,6 +287,7 @@ def score_texts(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", held: Column | None = None, rounds: int = ROUNDS, head: int = HEAD
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; held-out rows (remainder 2 of 7) teach nothing."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plain = plain.withColumn("held_out", held_out("doc_id", 7, 2) if held is None else held)
     texts = plain.where(~F.col("held_out")).select("text")
