@@ -186,7 +186,7 @@ def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared_terms(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(lang, a, b, value): over the terms that sources a < b of a block share, what their distance differs from one-sided terms."""
     for table, cut in whole_groups(batches, ["lang", "block", "i", "j"]):
         lang, one, two = table.column("lang"), table.column("i").to_numpy(), table.column("j").to_numpy()
@@ -197,8 +197,8 @@ def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             empty = none[a:b][first]
             shares = np.zeros((row.max() + 1, len(own)), np.int64)
             shares[row, column] = p[a:b]
-            left = np.flatnonzero((own - 1) // SOURCES == one[a])
-            right = np.flatnonzero((own - 1) // SOURCES == two[a])
+            left = np.flatnonzero((own - 1) // width == one[a])
+            right = np.flatnonzero((own - 1) // width == two[a])
             for k in left:
                 others = right[right > k]
                 has = shares[:, k] > 0
@@ -234,7 +234,9 @@ def source_distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
         "lang", F.pmod("name", F.ceil(F.col("terms") / TERMS).cast("long")).alias("block"), F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "name", "at", "p", "none"
     )
     keys = ["lang", "block", "i", "j"]
-    both = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(shared_terms, "lang string, a bigint, b bigint, value bigint")
+    width = SOURCES
+    both = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    both = both.mapInArrow(lambda batches: shared_terms(batches, width), "lang string, a bigint, b bigint, value bigint")
     both = both.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
     turned = lambda df: df.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")
