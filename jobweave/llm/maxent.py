@@ -11,8 +11,8 @@ of the class's training tokens. All unknown words together have the probability
 ``1 / (N + V + 1)``, so the probabilities of the V known words and "unknown" add up to one.
 
 Training is by gradient updates. The training texts are dealt into ``ROUNDS`` parts by a
-hash of their content; in each round every task sums gradient and curvature of its texts of
-this part, tasks' sums are added by blocks of rows, and the weights take one damped Newton
+hash of their content; in each round every task sums the expected and the actual branches of its texts of
+this part (their difference is the gradient), tasks' sums are added by blocks of rows, and the weights take one damped Newton
 step per feature. The weights (a few MB, fixed by the parameters) are what passes through
 the driver; sums over texts do not depend on how the texts are partitioned, but for rounding.
 
@@ -44,7 +44,7 @@ from jobweave.session import stage
 
 BRANCH, DEPTH, BITS, ROUNDS = 16, 3, 16, 3
 #: Words whose counts every task holds; words that a task counts before it hands them on; tokens per numpy pass.
-HEAD, HELD, CHUNK = 1 << 19, 1 << 20, 1 << 16
+HEAD, HELD, CHUNK = 1 << 19, 1 << 20, 1 << 17
 #: Strength of the prior on weights, share of a Newton step, largest step and weight.
 PRIOR, STEP, LARGEST_STEP, LARGEST = 6.0, 0.4, 2.0, 8.0
 #: Rows of weights that are added up together.
@@ -108,10 +108,10 @@ class Model:
             node = first + leaf // width
             first += BRANCH**depth
             salt = mix(node.astype(np.uint64) + np.uint64(0xFAC701))
-            rows = [(mix(f ^ salt) >> np.uint64(64 - BITS)).astype(np.uint16 if BITS <= 16 else np.uint32) for f in context]
-            score = self.bias[node]
+            rows = [(mix(f ^ salt) >> np.uint64(64 - BITS)).astype(np.intp) for f in context]
+            score = np.take(self.bias, node, axis=0)
             for r in rows:
-                score += self.weights[r]
+                score += np.take(self.weights, r, axis=0)
             yield np.exp(score, out=score), leaf // (width // BRANCH) % BRANCH, rows
 
     def log_probability(self, leaf: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
@@ -124,29 +124,24 @@ class Model:
                 out[a:b] += np.log(mass[at, branch] / mass.sum(1))
         return out
 
-    def gradient(self, leaf: np.ndarray, context: list[np.ndarray], sums: np.ndarray) -> None:
-        """Add to ``sums``, for every row: gradient and curvature of each branch, and how often the row was used."""
+    def gradient(self, leaf: np.ndarray, context: list[np.ndarray], expected: np.ndarray, taken: np.ndarray) -> None:
+        """Add for every branch and row: its probabilities over the uses of the row, and how often it was taken."""
+        size = 1 << BITS
         for a in range(0, len(leaf), CHUNK):
             b = min(a + CHUNK, len(leaf))
-            at = np.arange(b - a)
             for mass, branch, rows in self.factors(leaf[a:b], [f[a:b] for f in context]):
-                p = mass / mass.sum(1, keepdims=True)
-                each = np.empty((b - a, 2 * BRANCH + 1), np.float32)
-                each[:, :BRANCH] = -p
-                each[at, branch] += 1
-                each[:, BRANCH : 2 * BRANCH] = p * (1 - p)
-                each[:, 2 * BRANCH] = 1
+                p = np.ascontiguousarray((mass / mass.sum(1, keepdims=True)).T, float)
                 for r in rows:
-                    order = np.argsort(r, kind="stable")
-                    sorted_rows = r[order]
-                    cut = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                    sums[sorted_rows[cut]] += np.add.reduceat(each[order], cut, axis=0)
+                    np.add.at(taken.reshape(-1), branch * size + r, 1)
+                    for k in range(BRANCH):
+                        expected[k] += np.bincount(r, p[k], size)
 
-    def update(self, sums: np.ndarray) -> None:
-        """One damped Newton step per weight, towards a prior around zero."""
-        gradient, curvature = sums[:, :BRANCH] - PRIOR * self.weights, sums[:, BRANCH : 2 * BRANCH] + PRIOR
-        step = np.clip(STEP * gradient / curvature, -LARGEST_STEP, LARGEST_STEP)
-        self.weights = np.clip(self.weights + step, -LARGEST, LARGEST).astype(np.float32)
+    def update(self, expected: np.ndarray, taken: np.ndarray) -> None:
+        """One damped Newton step per weight, towards a prior around zero; the curvature is that of a row's mean probabilities."""
+        used = np.maximum(taken.sum(0), 1)
+        curvature = expected * (1 - expected / used) + PRIOR
+        step = np.clip(STEP * (taken - expected - PRIOR * self.weights.T) / curvature, -LARGEST_STEP, LARGEST_STEP)
+        self.weights = np.ascontiguousarray(np.clip(self.weights + step.T, -LARGEST, LARGEST), np.float32)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -173,43 +168,43 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word bigint, leaf int, n bigint").groupBy("word", "leaf").agg(F.sum("n").alias("n"))
 
 
-def summed_gradient(texts: DataFrame, model: Model) -> np.ndarray:
-    """Gradient, curvature and use of every row over all texts. Tasks' sums are added in Spark, by blocks of rows."""
-    width = 2 * BRANCH + 1
-    # a row travels as its number, its use, and means that need no more than 16 bits
-    packed = np.dtype([("row", "<u4"), ("used", "<f4"), ("means", "<f2", (2 * BRANCH,))])
+def summed_gradient(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Expected and actual branches of every row over all texts. Tasks' sums are added in Spark, by blocks of rows."""
+    size = 1 << BITS
+    # a row travels as its number, its uses, and the shares of its branches, which need no more than 16 bits
+    packed = np.dtype([("row", "<u4"), ("used", "<f4"), ("shares", "<f2", (2, BRANCH))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((1 << BITS, width), np.float32)
+        expected, taken = np.zeros((BRANCH, size), np.float32), np.zeros((BRANCH, size), np.float32)
         for batch in batches:
             for a, b in slices(batch.column(0), _SLICE):
                 token, of = tokens(batch.column(0).slice(a, b - a))
-                model.gradient(leaf_of(token), features(token, of), sums)
-        for first in range(0, len(sums), BLOCK):
-            part = sums[first : first + BLOCK]
-            used = np.flatnonzero(part[:, -1])
+                model.gradient(leaf_of(token), features(token, of), expected, taken)
+        for first in range(0, size, BLOCK):
+            part = np.stack([expected[:, first : first + BLOCK].T, taken[:, first : first + BLOCK].T], 1)
+            uses = part[:, 1].sum(1)
+            used = np.flatnonzero(uses)
             if len(used):
                 out = np.empty(len(used), packed)
-                out["row"], out["used"], out["means"] = used, part[used, -1], part[used, :-1] / part[used, -1:]
+                out["row"], out["used"], out["shares"] = used, uses[used], part[used] / uses[used, None, None]
                 yield pa.RecordBatch.from_pydict({"block": [first // BLOCK], "data": [out.tobytes()]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), binary_rows(batch.column(1), packed)):
-                sums = blocks.setdefault(block, np.zeros((BLOCK, width)))
-                sums[data["row"], :-1] += data["means"].astype(float) * data["used"][:, None]
-                sums[data["row"], -1] += data["used"]
+                sums = blocks.setdefault(block, np.zeros((BLOCK, 2, BRANCH)))
+                sums[data["row"]] += data["shares"].astype(float) * data["used"][:, None, None]
         for block, sums in blocks.items():
             yield pa.RecordBatch.from_pydict({"block": [block], "data": [sums.astype(np.float32).tobytes()]})
 
     kind = "block bigint, data binary"
     added = texts.mapInArrow(run, kind).repartition("block").mapInArrow(add, kind).collect()  # at most one row per block
-    out = np.zeros((1 << BITS, width))
+    out = np.zeros((2, BRANCH, size))
     for row in added:
-        part = np.frombuffer(row["data"], np.float32).reshape(-1, width)
-        out[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    return out
+        part = np.frombuffer(row["data"], np.float32).reshape(-1, 2, BRANCH)
+        out[:, :, row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part.transpose(1, 2, 0)
+    return out[0], out[1]
 
 
 def train(texts: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -218,7 +213,7 @@ def train(texts: DataFrame, vocabulary: DataFrame, rounds: int = ROUNDS) -> Mode
         leaves[row["leaf"]] = row["n"]
     model = Model(leaves)
     for k in range(rounds):
-        model.update(summed_gradient(texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), model))
+        model.update(*summed_gradient(texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), model))
     return model
 
 

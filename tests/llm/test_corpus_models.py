@@ -96,9 +96,10 @@ def test_class_probabilities_add_up_and_training_helps():
     model = maxent.Model(np.bincount(leaf, minlength=maxent.LEAVES))
     before = model.log_probability(leaf, context).mean()
     for _ in range(4):
-        sums = np.zeros((1 << maxent.BITS, 2 * maxent.BRANCH + 1), np.float32)
-        model.gradient(leaf, context, sums)
-        model.update(sums)
+        expected, taken = np.zeros((2, maxent.BRANCH, 1 << maxent.BITS))
+        model.gradient(leaf, context, expected, taken)
+        assert taken.sum() == len(token) * 3 * maxent.DEPTH and expected.sum() == pytest.approx(taken.sum(), rel=1e-4)
+        model.update(expected, taken)
     after = model.log_probability(leaf, context).mean()
     assert after > before + 0.5
     every = np.arange(maxent.LEAVES)
