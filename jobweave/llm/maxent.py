@@ -132,7 +132,7 @@ class Model:
             for mass, branch, rows in self.factors(leaf[a:b], [f[a:b] for f in context]):
                 p = np.ascontiguousarray((mass / mass.sum(1, keepdims=True)).T, float)
                 for r in rows:
-                    np.add.at(taken.reshape(-1), branch * size + r, 1)
+                    np.add.at(taken.reshape(-1), branch * size + r, np.ones(len(r), taken.dtype))
                     for k in range(BRANCH):
                         expected[k] += np.bincount(r, p[k], size)
 
