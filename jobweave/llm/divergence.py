@@ -54,11 +54,13 @@ SCALE = 1_000_000_000
 #: For a language and term: documents in which the term differs from the one before it within each level's bytes; occurrences by source.
 TERM_ROWS = "lang string, term binary, docs array<bigint>, sources array<string>, counts array<bigint>"
 _SHOWN = 24
+#: Bytes of text per numpy pass: terms that a slice repeats are handled once.
+_SLICE = 1 << 20
 
 
 def level_sizes(longest: int) -> list[int]:
-    """Prefix sizes in bytes: 4, then doubling, until one is longer than the longest term."""
-    sizes = [4]
+    """Prefix sizes in bytes: 6, then doubling, until one is longer than the longest term."""
+    sizes = [6]
     while sizes[-1] <= longest:
         sizes.append(sizes[-1] * 2)
     return sizes
@@ -126,7 +128,7 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0)
         langs, origins = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for a, b in slices(texts):
+        for a, b in slices(texts, _SLICE):
             data, ends = text_bytes(texts.slice(a, b - a))
             name, owner, start, stop = find_words(data, ends, IS_LETTER)
             if not len(name):

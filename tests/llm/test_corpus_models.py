@@ -164,9 +164,9 @@ def test_audit_equals_plain_counts(spark, monkeypatch, small):
 def test_a_prefix_counts_each_document_once():
     import pyarrow as pa
 
-    batch = pa.record_batch({"text": ["abcd abce abcdefghi ABCD", "abcx", "abcd"], "lang": ["l"] * 3, "source": ["s", "s", "t"]})
+    batch = pa.record_batch({"text": ["abcdef abcdeg abcdefghi ABCDEF", "abcdex", "abcdef"], "lang": ["l"] * 3, "source": ["s", "s", "t"]})
     rows = [r for b in divergence.term_rows(iter([batch])) for r in b.to_pylist()]
     by = {r["term"]: r for r in rows}
-    assert {t: r["docs"][-1] for t, r in by.items()} == {b"abcd": 2, b"abce": 1, b"abcdefghi": 1, b"abcx": 1}
-    assert by[b"abcd"]["docs"][0] == 2 and by[b"abcdefghi"]["docs"][0] == 0  # its first four bytes are another term's
-    assert dict(zip(by[b"abcd"]["sources"], by[b"abcd"]["counts"])) == {"s": 2, "t": 1}
+    assert {t: r["docs"][-1] for t, r in by.items()} == {b"abcdef": 2, b"abcdeg": 1, b"abcdefghi": 1, b"abcdex": 1}
+    assert by[b"abcdef"]["docs"][0] == 2 and by[b"abcdefghi"]["docs"][0] == 0  # its first six bytes are another term's
+    assert dict(zip(by[b"abcdef"]["sources"], by[b"abcdef"]["counts"])) == {"s": 2, "t": 1}
