@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -141,3 +145,80 @@ def test_templates_follow_labels(spark):
     assert got[0].share > 0.9 and got[80].share < 0.1 and 0.4 < got[160].share < 0.6
     wide = spark.createDataFrame([(k, f"http://w.example/name{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}/x") for k in range(90)], "page_id bigint, url string")
     assert url_filter.judge(wide, []).select("share").distinct().count() == 1
+
+
+def plain_verdicts(rows, rules):
+    """Verdict by url of the rows without a rule, from a tree of dictionaries."""
+    def rule_of(host, path):
+        fit = [(len(r), v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fit)[1] if fit else None
+
+    leaves = {}
+    for host, path in rows:
+        segments = tuple(re.sub("[0-9]+", "*", s) for s in path.split("/") if s)
+        leaf = leaves.setdefault((host, segments), [0, 0])
+        verdict = rule_of(host, path)
+        leaf[0] += verdict is not None
+        leaf[1] += verdict == "block"
+    total = [sum(leaf[k] for leaf in leaves.values()) for k in (0, 1)]
+    base, verdicts = (total[1] + 1) / (total[0] + 2), {}
+
+    def smooth(n, b, over):
+        share = (b + 5 * over) / (n + 5)
+        return share, share - 1.645 * math.sqrt(share * (1 - share) / (n + 5))
+
+    def apart(difference, share, weight):
+        return abs(difference) > 2 * math.sqrt(max(share * (1 - share), 1e-4) * weight)
+
+    def walk(host, members, level, over, floor):
+        names = {m[level] if level < len(m) else "" for m in members}
+        wide = len(names - {""}) > 50
+        branches = {}
+        for m in members:
+            name = m[level] if level < len(m) else ""
+            branches.setdefault("*" if wide and name else name, []).append(m)
+        counts = {name: [sum(leaves[host, m][k] for m in ms) for k in (0, 1)] for name, ms in branches.items()}
+        classes = []
+        for name in sorted((x for x in counts if counts[x][0]), key=lambda x: (counts[x][1] / counts[x][0], x)):
+            n, b = counts[name]
+            if classes:
+                m, c = counts[classes[-1][-1]]
+                if not apart(b / n - c / m, (b + c) / (n + m), 1 / n + 1 / m):
+                    classes[-1].append(name)
+                    continue
+            classes.append([name])
+        for group in classes + [[x] for x in counts if not counts[x][0]]:
+            n, b = (sum(counts[x][k] for x in group) for k in (0, 1))
+            share, bound = smooth(n, b, over) if n and apart(b / n - over, over, 1 / n) else (over, floor)
+            for x in group:
+                if x == "" or len(branches[x]) == 1:
+                    for m in branches[x]:
+                        verdicts[host, m] = "block" if counts[x][0] and bound >= 0.5 else "allow"
+                else:
+                    below = level + 1
+                    while len({m[below] if len(m) > below else None for m in branches[x]} | {None}) == 2 and all(len(m) > below for m in branches[x]):
+                        below += 1
+                    walk(host, branches[x], below, share, bound)
+
+    for host in {h for h, _ in leaves}:
+        members = [m for h, m in leaves if h == host]
+        walk(host, members, 0, *smooth(*(sum(leaves[host, m][k] for m in members) for k in (0, 1)), base))
+    return [rule_of(h, p) or verdicts[h, tuple(re.sub("[0-9]+", "*", s) for s in p.split("/") if s)] for h, p in rows]
+
+
+def test_verdicts_equal_a_plain_tree(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    bad, good = ["u" + word(6) for _ in range(60)], ["v" + word(6) for _ in range(60)]
+    rules = [("block", f"bad.example/{w}/") for w in bad[:50]] + [("allow", f"good.example/{w}/") for w in good[:50]]
+    rules += [("block", "mix.example/deep/a/b/c/d/spam1"), ("allow", "mix.example/deep/a/b/c/d/news1"), ("block", "mix.example/p1/")]
+    rows = [("bad.example", f"/{w}/x") for w in bad] + [("good.example", f"/{w}/x") for w in good] + [("un.example", "/en/1"), ("", "")]
+    rows += [("mix.example", f"/deep/a/b/c/d/{w}{k}/z") for w in ("spam", "news", "none") for k in (1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 3)]
+    rows += [("mix.example", f"/p{k}/{word(1)}") for k in (1, 1, 1, 2, 3, 4) * 5] + [("mix.example", "/" + "q/" * 60 + w) for w in "abc"]
+    df = spark.createDataFrame([(k, f"http://{h}{p}" if h else None, "x", 1) for k, (h, p) in enumerate(rows)], "page_id bigint, url string, share string, branch int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df.repartition(5), rules).collect()}
+    assert [got[k] for k in range(len(rows))] == plain_verdicts(rows, rules)
+    by_url = {row: got[k] for k, row in enumerate(rows)}
+    assert {by_url["bad.example", f"/{w}/x"] for w in bad} == {"block"} and {by_url["good.example", f"/{w}/x"] for w in good} == {"allow"}
+    assert by_url["mix.example", "/deep/a/b/c/d/spam2/z"] == "block" and by_url["mix.example", "/deep/a/b/c/d/news2/z"] == "allow"
+    assert by_url["un.example", "/en/1"] == "allow"
