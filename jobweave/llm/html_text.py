@@ -3,7 +3,7 @@
 A page is read as lines: the text of its blocks in page order, each with the zone its
 markup gives it: inside the article, free, or page furniture (menus, headers, footers,
 sidebars, notices, adverts, forms, comments by element, role, class or id). Pages are
-dealt out and sorted by host and path, so that a page meets its nearest URLs in the
+dealt out and sorted by host, path and id, so that a page meets its nearest URLs in the
 same task; of its two neighbours the one whose path agrees longer is its partner. Their
 lines, furniture too, are aligned by longest common subsequence, and what both share is
 deleted, unless it stands inside the article: a passage that two articles share is text.
@@ -11,13 +11,16 @@ Free lines are decided by this alone, whether the page has an article or not. Fu
 that the partner does not share is deleted by its markup.
 
 Every page is in one range of (host, path, id) and only adjacent pages meet, so a host
-with a third of all pages is spread over a third of the tasks. A page at the border of a
-range is compared with its one neighbour there.
+with a third of all pages is spread over a third of the tasks. A first pass over the urls
+alone finds the first and last key of every range; these two are all that the driver
+holds of a range. Pages with the last key of a range are also sent to the next one, as
+neighbours only, and those with the first key to the one before, so that the number of
+partitions does not change any result.
 
 Defined results: null and empty html, and pages without text, give the empty text and 0
 characters. Null urls have an empty host and path. Repeated pages are neighbours, and
 keep their articles. Truncated markup is read as far as it goes. Extra columns are not
-used. An empty table gives an empty table.
+used. Pages of one key are in the order of a hash of their html. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.session import shuffle_width
+
 FREE, ARTICLE, FURNITURE = 0, 1, 2
 SKIPPED = frozenset("script style noscript template iframe svg object textarea select title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,6 +235,7 @@ class Page:
     lines: list[str]
     zones: list[int]
     names: list
+    ghost: bool
 
 
 def main_text(page: Page, before: Page | None, after: Page | None) -> str:
@@ -240,23 +247,25 @@ def main_text(page: Page, before: Page | None, after: Page | None) -> str:
 
 
 def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (page_id, url, host, path, html) -> (page_id, url, text), each page beside its neighbours."""
+    """Sorted rows (page_id, url, host, path, html, ghost) -> (page_id, url, text) of those that are no ghosts, each beside its neighbours."""
     before: Page | None = None
     now: Page | None = None
     ids, urls, texts = [], [], []
 
     def put(page: Page, after: Page | None) -> None:
+        if page.ghost:
+            return
         ids.append(page.row[0])
         urls.append(page.row[1])
         texts.append(main_text(page, before, after))
 
     for batch in batches:
         kind = batch.column("page_id").type
-        columns = [batch.column(c) for c in ("page_id", "url", "host", "path", "html")]
+        columns = [batch.column(c) for c in ("page_id", "url", "host", "path", "html", "ghost")]
         for k in range(batch.num_rows):
-            page_id, url, host, path, source = (c[k].as_py() for c in columns)
+            page_id, url, host, path, source, ghost = (c[k].as_py() for c in columns)
             lines, zones = read_lines(source)
-            page = Page((page_id, url), host, path, lines, zones, line_names(lines, zones))
+            page = Page((page_id, url), host, path, lines, zones, line_names(lines, zones), ghost)
             if now is not None:
                 put(now, page)
             before, now = now, page
@@ -268,18 +277,41 @@ def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page."""
+def range_borders(keys: DataFrame, width: int) -> tuple[list[str], list[str]]:
+    """First and last key of each of at most ``width`` ranges of the column key, in order."""
+    ranges = keys.repartitionByRange(width, "key").groupBy(F.spark_partition_id().alias("range"))
+    rows = ranges.agg(F.min("key").alias("first"), F.max("key").alias("last")).orderBy("first").collect()
+    return [r["first"] for r in rows], [r["last"] for r in rows]
+
+
+def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", source: str = "html", ranges: int | None = None) -> DataFrame:
+    """(id, url, text, n_chars) of every page; ``ranges`` is the number of tasks, else the width of shuffles."""
+    # The sign between the parts comes before all others, so keys sort by host, then path, then id.
+    key = F.concat_ws("\0", host_of(F.col(url)), path_of(F.col(url)), F.col(id_column).cast("string"))
     rows = pages.select(
         F.col(id_column).alias("page_id"),
         F.col(url).alias("url"),
         host_of(F.col(url)).alias("host"),
         path_of(F.col(url)).alias("path"),
         F.col(source).alias("html"),
+        key.alias("key"),
     )
+    width = ranges or shuffle_width(pages.sparkSession)
+    firsts, lasts = range_borders(rows.select("key"), width)
+
+    @F.pandas_udf("array<int>")
+    def places(column: pd.Series) -> pd.Series:
+        """Own range of each key, then those that need it as a neighbour."""
+        out = []
+        for k in column:
+            own = bisect_right(firsts, k) - 1
+            out.append([own, *([own - 1] if own and k == firsts[own] else []), *([own + 1] if own + 1 < len(lasts) and k == lasts[own] else [])])
+        return pd.Series(out)
+
     kind = rows.schema["page_id"].dataType.simpleString()
-    keys = ["host", "path", "page_id"]
-    beside = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = rows.withColumn("places", places("key")).select("*", F.posexplode("places").alias("nth", "range")).drop("places")
+    dealt = dealt.withColumn("ghost", F.col("nth") > 0).drop("nth")
+    beside = dealt.repartitionById(width, "range").sortWithinPartitions("range", "key", F.xxhash64("html"))
     return beside.mapInArrow(difference, f"page_id {kind}, url string, text string").select(
         F.col("page_id").alias(id_column), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars")
     )

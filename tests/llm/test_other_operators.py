@@ -114,6 +114,34 @@ def test_alignment_decides_free_lines_beside_an_article(spark):
     assert got == {k: f"Own lead {k}\nArticle {k}\nOwn end {k}" for k in range(3)}
 
 
+def test_texts_do_not_depend_on_the_number_of_ranges(spark):
+    rng = random.Random(8)
+    shared = [f"<div>Menu {rng.randint(0, 4)} of {s}</div>" for s in range(6)]
+    rows = [(k, f"http://{rng.choice('ab')}.example/{rng.choice('xyz')}/{k % 70}", page("".join(rng.sample(shared, 4)) + f"<p>Own {k}</p>")) for k in range(150)]
+    rows += [(None, "http://a.example/x/1", page("".join(shared) + "<p>Own null</p>")), (None, None, page(shared[0]))] + rows[:3] * 2
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    got = [sorted((str(r.page_id), str(r.url), r.text) for r in html_text.extract(df, ranges=n).collect()) for n in (1, 8, 200)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+    def key(r):
+        host, path = (r[1] or "://").split("://")[1].partition("/")[::2]
+        return host, "/" + path if host else path, "" if r[0] is None else str(r[0])
+
+    order = sorted({r[:3] for r in rows}, key=key)
+    alone = {k: r for k, r in ((key(r), r) for r in order)}
+    pages = [html_text.Page(r[:2], *key(r)[:2], *html_text.read_lines(r[2]), None, False) for r in order]
+    for p in pages:
+        p.names = html_text.line_names(p.lines, p.zones)
+    assert len(alone) == len(order)
+    once = {r[:3] for r in rows if rows.count(r) == 1}
+    for k, p in enumerate(pages):
+        if order[k] in once:
+            want = html_text.main_text(p, pages[k - 1] if k else None, pages[k + 1] if k + 1 < len(pages) else None)
+            near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+            if all(n in once for n in near):
+                assert (str(p.row[0]), str(p.row[1]), want) in got[0]
+
+
 def test_common_lines_are_a_longest_run():
     mine, other = [(b"a", 1), (b"b", 1), (b"c", 1), (b"d", 1)], [(b"b", 1), (b"a", 1), (b"c", 1), (b"d", 1)]
     assert len(html_text.common_lines(mine, other)) == 3 and html_text.common_lines([], other) == set()
