@@ -6,26 +6,29 @@ neighbouring digit groups of up to 19 digits with the signs between them, and ev
 an ``@`` or a written-out one. Each candidate is described by its format and its
 surroundings; one set of boosted trees per kind says how likely it is personal data.
 They learn from all texts, without labels: candidates equal to a base span are
-positive, all others negative, except those inside a base match that failed its
-check, since these are what the trees are for (a phone number next to a card number
+positive, all others negative, except those that meet a match that failed its check
+and are no parts of a base span, since these are what the trees are for (a phone number next to a card number
 fails as one match). Equal candidates are counted first; the trees are fitted on the
 distinct ones with their counts as weights, of a kind with very many on a weighted
 sample. The threshold of a kind is the least one whose precision on all candidates of
 a third of the texts, held out from the fit, reaches ``PRECISION``. Chosen candidates
-that do not overlap base spans, best first, are added.
+that do not overlap base spans, best first, are added. ``PRIOR_TEXTS`` made-up texts with
+the usual writings of all kinds are always among the texts learned from, so that trees
+decide in a table of any size.
 
-Defined results: null and empty texts have no spans. A kind without enough positive
-candidates, or without such a threshold, has fixed formats (``FALLBACK``) instead of
-trees. Repeated rows and extra columns pass
+Defined results: null and empty texts have no spans. For a kind without such a threshold
+nothing is added. Candidates that are equally likely are taken in the order of their
+borders, then kinds. Texts are read whole. Repeated rows and extra columns pass
 through; an empty table gives an empty table. Borders are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +48,8 @@ HELD_OUT = 3
 STEPS = 4096
 #: Digits of the longest kind, a card number.
 MOST_DIGITS = 19
-LEAST_POSITIVE = 30
+#: Made-up texts that the trees learn from beside the given ones.
+PRIOR_TEXTS = 3000
 PRECISION = 0.995
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -58,7 +62,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 #: Signs that may stand between the digit groups of one candidate.
 BETWEEN = re.compile(r"[\x20().\-/]{1,3}\Z")
-WORDY = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\))\s?[A-Za-z0-9.-]{1,64}", re.I)
+WORDY = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:\[at\]|\(at\))\s?[A-Za-z0-9.-]++", re.I)
 SOME = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
 Span = tuple[str, int, int]
 
@@ -175,6 +179,10 @@ class Busy:
         k = bisect_left(self.starts, b) - 1
         return k >= 0 and self.ends[k] > a
 
+    def holds(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and self.ends[k] >= b
+
     def take(self, a: int, b: int) -> None:
         k = bisect_left(self.starts, a)
         self.starts.insert(k, a)
@@ -185,61 +193,71 @@ def examples(text: str) -> list[tuple[str, list[float]]]:
     """(kind of the equal base span or '', features) of the candidates that may be learned from."""
     base, failed = base_spans(text)
     kind = {(a, b): k for k, a, b in base}
-    out, doubtful = [], Busy([(a, b) for a, b in failed if b - a >= 6])
+    out, doubtful, known = [], Busy([(a, b) for a, b in failed if b - a >= 6]), Busy(list(kind))
     for a, b in candidates(text):
         k = kind.get((a, b), "")
-        # The span of a card number is often a part of what another kind's failed match covers: it stays positive.
-        if not k and doubtful.meets(a, b):
+        # The span of a card number is often a part of what another kind's failed match covers: it stays positive, and
+        # a part of a base span stays negative.
+        if not k and doubtful.meets(a, b) and not known.holds(a, b):
             continue
         out.append((k, describe(text, a, b)))
     return out
 
 
-class Fixed:
-    """A kind known by bounds on its features, for tables with too few examples to learn it; of two that fit, the one with more digits is likelier."""
-
-    def __init__(self, *formats: dict[str, tuple[int, int]]):
-        self.formats = [[(FEATURES.index(name), *bounds) for name, bounds in f.items()] for f in formats]
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        fits = np.zeros(len(x), bool)
-        for bounds in self.formats:
-            fits |= np.all([(x[:, k] >= low) & (x[:, k] <= high) for k, low, high in bounds], axis=0)
-        return fits * (0.9 + x[:, FEATURES.index("digits")] / 1000)
-
-
-_APART = {"letter_before": (0, 0), "letter_after": (0, 0)}
-_NUMBER = _APART | {"plus": (0, 0), "bracket": (0, 0), "dots": (0, 0), "luhn": (1, 1)}
-_PHONE = _APART | {"plus": (1, 1), "dots": (0, 0)}
-FALLBACK: dict[str, tuple[Fixed, float]] = {
-    "email": (Fixed({"at_sign": (1, 1), "dots": (1, 64)}), 0.5),
-    "ip": (
-        Fixed(_APART | {"dots": (3, 3), "groups": (4, 4), "longest_group": (1, 3), "largest_part": (0, 255), "plus": (0, 0), "bracket": (0, 0),
-                        "spaces": (0, 0), "dashes": (0, 0), "digit_before": (0, 0), "digit_after": (0, 0)}), 0.5
-    ),
-    # In one group, four times four, or 4-6-5.
-    "card": (
-        Fixed(
-            _NUMBER | {"groups": (1, 1)},
-            _NUMBER | {"groups": (4, 4), "longest_group": (4, 4), "digits": (16, 16), "length": (19, 19)},
-            _NUMBER | {"groups": (3, 3), "first_group": (4, 4), "longest_group": (6, 6), "last_group": (5, 5), "length": (17, 17)},
-        ), 0.5
-    ),
-    # One digit of country code and ten others, or two or three digits of country code.
-    "phone": (
-        Fixed(
-            _PHONE | {"first_group": (1, 1), "digits": (11, 11), "groups": (4, 5)},
-            _PHONE | {"first_group": (2, 3), "digits": (10, 13), "groups": (3, 8), "longest_group": (2, 8)},
-        ), 0.5
-    ),
-}
+def with_luhn_digit(digits: str) -> str:
+    return next(digits + d for d in "0123456789" if luhn(digits + d))
+
+
+def prior_texts(n: int = PRIOR_TEXTS) -> list[str]:
+    """Texts with usual writings of every kind and of numbers that are none, drawn by a fixed rule, so that no kind lacks examples."""
+    rng = random.Random(1)
+
+    def number(k: int) -> str:
+        return str(rng.randint(10 ** (k - 1), 10**k - 1))
+
+    def phone() -> str:
+        country = rng.choice(["1", number(2), number(3)])
+        if country == "1":
+            return f"+1 ({number(3)}) {number(3)}-{number(4)}" if rng.random() < 0.5 else f"+1 {number(3)}-{number(3)}-{number(4)}"
+        groups = rng.choice([(3, 3, 4), (1, 2, 2, 2, 2), (2, 3, 4), (3, 6), (4, 4)])
+        return f"+{country} " + " ".join(number(k) for k in groups)
+
+    def card() -> str:
+        if rng.random() < 0.2:
+            d = with_luhn_digit(number(14))
+            return f"{d[:4]} {d[4:10]} {d[10:]}"
+        d = with_luhn_digit(number(15))
+        return rng.choice(["", " ", "-"]).join(d[k : k + 4] for k in range(0, 16, 4))
+
+    def ip() -> str:
+        return ".".join(str(rng.randint(1, 255)) for _ in range(4))
+
+    def email() -> str:
+        name = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 12)))
+        return f"{name}{rng.choice(['', '.', '_'])}{number(2)}@{name[::-1]}.{rng.choice(['com', 'org', 'net', 'example.com'])}"
+
+    def other() -> str:
+        return rng.choice([
+            f"{number(4)}-{number(2)}-{number(2)}", number(rng.randint(6, 19)), f"{number(2)} {number(3)} {number(3)}", f"v{number(1)}.{number(2)}.{number(3)}",
+            f"{number(1)}.{number(1)}.{number(1)}.{number(1)}.{number(1)}", f"{number(4)} {number(4)} {number(4)} {number(4)}", f"{number(3)}/{number(4)}/{number(2)}",
+            f"{number(3)}-{number(1)}-{number(2)}-{number(6)}-{number(1)}", f"({number(3)}) {number(3)} {number(2)}", f"{number(3)}.{number(3)}.{number(4)}",
+        ])
+
+    # Signs that end a base match, so that a number next to another one is seen as well as one between words.
+    between = [" and ", ", ", "; ", ",", " or ", "; "]
+    kinds = (phone, card, ip, email, other)
+    return [
+        f"{rng.choice(['at', 'call', 'see', 'to'])} {made()}{rng.choice(between)}{rng.choice(kinds)()}{rng.choice(between)}{made()}{rng.choice(between)}{rng.choice(kinds)()}"
+        for _ in range(n // 5)
+        for made in kinds
+    ]
 
 
 class Detector:
-    """Trees and thresholds by kind; the fixed formats for kinds without them."""
+    """Trees and thresholds by kind."""
 
     def __init__(self, models: dict[str, tuple[Boosted, float]]):
-        self.models = FALLBACK | models
+        self.models = models
 
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
         """(base, added), both by kind as listed and then start."""
@@ -343,18 +361,16 @@ def limits(formats: DataFrame, models: dict[str, Boosted]) -> dict[str, float]:
 
 def learn(docs: DataFrame, text: str = "text", fit_formats: int = FIT_FORMATS) -> Detector:
     """Trees from the counted candidates of all texts; about ``fit_formats`` formats of a kind are collected, all that are held out are scored in tasks."""
-    formats = stage(count_formats(docs, text), "pii-formats")
+    prior = docs.sparkSession.createDataFrame([(t,) for t in prior_texts()], "text string")
+    formats = stage(count_formats(docs.select(F.col(text).alias("text")).unionByName(prior)), "pii-formats")
     fits = (F.col("fit") > 0).cast("bigint")
-    rows = formats.groupBy("kind").agg(F.sum(fits).alias("rows"), F.sum("fit").alias("fit"), F.sum("held").alias("held")).collect()
-    enough = [k for k in KINDS if any(r["kind"] == k and r["fit"] >= LEAST_POSITIVE and r["held"] >= LEAST_POSITIVE / 3 for r in rows)]
-    if not enough:
-        return Detector({})
+    rows = formats.groupBy("kind").agg(F.sum(fits).alias("rows"), F.sum("fit").alias("fit")).collect()
     sample = fit_sample(formats, {r["kind"]: (r["rows"], r["fit"]) for r in rows}, fit_formats).toPandas()
     # The order of rows in a table is not fixed; sums of floats depend on it.
     x, kinds = np.stack(sample["x"].to_list()).astype(float), sample["kind"].to_numpy(str)
     order = np.lexsort([*x.T, kinds])
     x, kinds, weight = x[order], kinds[order], sample["weight"].to_numpy(float)[order]
-    models = {k: boost(x, (kinds == k).astype(float), trees=30, depth=4, rate=0.3, least=5, part=1.0, weight=weight) for k in enough}
+    models = {k: boost(x, (kinds == k).astype(float), trees=40, depth=6, rate=0.3, least=5, part=1.0, weight=weight) for k in KINDS}
     least = limits(formats, models)
     return Detector({k: (m, least[k]) for k, m in models.items() if k in least})
 

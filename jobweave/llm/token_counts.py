@@ -42,6 +42,8 @@ def write_token_blocks(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(reachable(path))
+        if pieces.base > 1 << 16:
+            raise ValueError("token files hold 16-bit ids; this vocabulary has more")
         file, block = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         begun: list[tuple[int, int | None]] = []

@@ -37,6 +37,7 @@ from jobweave.llm.arrow import add_columns, free_name, text_bytes
 from jobweave.llm.quality import held_out, labelled_sample
 from jobweave.llm.trees import lasso_logistic, squash
 from jobweave.llm.words import shingle_sets
+from jobweave.session import stage
 
 FIT_ROWS = 20_000
 #: Lengths of the word beginnings that can be learned.
@@ -178,7 +179,7 @@ def word_groups(column: pa.Array) -> list:
     sets = shingle_sets(*text_bytes(column))
     words, names = [], []
     for t, s in zip(column.to_pylist(), sets):
-        found = {w for w in TOKEN.findall((t or "").lower()) if w[0].isalpha() and len(w) < 40}
+        found = {w for w in TOKEN.findall((t or "").lower()) if w[0].isalpha()}
         words.append(sorted(found | {f"^{w[:n]}" for n in STEMS for w in found if len(w) > n}))
         names.append(int(s[:1].view(np.int64)[0]) if len(s) else 0)
     return [words, names]
@@ -197,8 +198,8 @@ def learn_lexicon(sample: DataFrame, least_texts: int = 4, least_odds: float = 2
     )
     odds = ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("good") + 0.5) / (clean + 1))
     kept = counts.where(F.col("bad") >= least_texts).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    # Far fewer words pass than texts were read; the bound keeps the lexicon small whatever the texts hold.
-    rows = kept.orderBy(F.desc("odds"), "w").limit(5000).collect()
+    # A kept word is in several of the sampled toxic texts, whose number is bounded.
+    rows = kept.orderBy(F.desc("odds"), "w").collect()
     words = {r.w: float(np.log(r.odds)) for r in rows if r.w[0] != "^"}
     return Lexicon(words, {r.w[1:]: float(np.log(r.odds)) for r in rows if r.w[0] == "^"})
 
@@ -221,7 +222,7 @@ def fixed_scorer(lexicon: Lexicon) -> Scorer:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", fit_rows: int = FIT_ROWS) -> Scorer:
-    sample = labelled_sample(docs, labels, label, train, fit_rows)
+    sample = stage(labelled_sample(docs, labels, label, train, fit_rows), "toxicity-sample")
     lexicon = learn_lexicon(sample)
     names = [f"f{k}" for k in range(FEATURES)]
     got = add_columns(

@@ -171,12 +171,15 @@ def test_formats_are_counted_and_drawn_by_their_counts(spark):
     assert abs(drawn[drawn.kind == ""].weight.sum() / totals[""][1] - 1) < 0.2
 
 
-def test_candidates_have_any_number_of_groups():
+def test_candidates_have_any_number_of_groups(spark):
     assert (0, 17) in pii.candidates("+33 6 12 34 56 78 4111 1111 1111 1111")
     assert (0, 23) in pii.candidates("41 11 11 11 11 11 11 11") and (3, 40) in pii.candidates("no " + " ".join("1" * 19))
     assert max(b - a for a, b in pii.candidates("7 " * 50)) == 37
     text = "+33 6 12 34 56 78 4111 1111 1111 1111"
-    assert pii.joined(pii.Detector({}).spans(text)[1]) == "card:18:37,phone:0:17"
+    model = pii.learn(spark.createDataFrame([], "text string"))
+    assert set(model.models) == set(pii.KINDS) and pii.joined(model.spans(text)[1]) == "card:18:37,phone:0:17"
+    long = "a" * 100 + " [at] example.com"
+    assert (0, len(long)) in pii.candidates(long) and pii.candidates("b" * 200_000) == []
 
 
 def test_a_hidden_span_is_found_in_a_table_of_any_size(spark):
