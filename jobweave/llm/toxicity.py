@@ -1,26 +1,33 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses. The words of a clause that holds a trigger become class
-symbols: insult, threat, target, negation, report, quote, other. Five transducers,
-composed into one table when the module loads, read them:
-
-* negation marks triggers up to three words after a negation,
-* reported speech marks triggers after a verb of saying or inside quotes,
-* target marks triggers with a target word up to three words before them,
-* insult and threat write the marked triggers with their weights.
-
-A clause gives the weights of its triggers by mark, a text the sums and maxima over
-its clauses, and a logistic regression turns these into a probability. Isolated words
-outside the grammar count for nothing.
+The words of a text become class symbols: insult, threat, target, negation, report, quote,
+end of a clause, other. Six weighted transducers read them. Their arcs write a symbol and a
+factor, and composition multiplies the factors:
+
+* negation marks triggers (insults and threats) up to three words after a negation, factor 0.01,
+* reported speech marks triggers after a verb of saying up to the end of the clause, and
+  between quotes, which outlive clauses but not lines, factor 0.25,
+* target marks triggers up to four words after a target word, factor 2,
+* target from the right marks those up to three words before one, factor 2 unless marked already,
+* insult lets insults through as a match, marked or not,
+* threat lets threats through only with a target: `I will kill you`, not `the frost will kill the plants`.
+
+The first three are composed into one table that reads a text from the left, the others into one
+that reads the clauses with triggers from the right. A clause matches if a trigger passes all; its
+score is the sum of word weights times factors. A text is judged by its clauses alone: score of the
+best one, sum of the scores, sum per clause. A logistic regression turns these three into a
+probability; none of its weights is negative, so equal words never weigh more in denied or reported clauses.
 
 Insult words are the fixed English ones and words or word beginnings learned from the
 labelled rows: of at most ``fit_rows`` labelled rows (by a hash of the id), those that
 are far more frequent in toxic texts; groups of near copies count once.
 
 Defined results: null and empty texts have no clause and get the score of a text
-without triggers. Rows with null ids are scored. Null labels, and labels of ids
-without a document, are not used; without both labels in the sample the fixed
-weights hold. An empty table gives an empty table.
+without matches; very long texts are read whole; repeated rows are scored each, and learned from
+once; equal scores are left as they are. Rows with null ids are scored. Null labels, and labels of
+ids without a document, are not used; without both labels in the sample the fixed
+weights hold. Further columns are ignored or, by ``drop_toxic``, kept, whatever their names. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ from jobweave.session import stage
 FIT_ROWS = 20_000
 #: Lengths of the word beginnings that can be learned.
 STEMS = (4, 5)
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP = range(8)
 WORDS = {
     INSULT: "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown imbecile",
     THREAT: "kill hurt destroy beat shoot stab murder smash",
@@ -58,71 +65,81 @@ QUOTES = frozenset("\"“”«»")
 MARKS = 8
 
 
+SYMBOLS = MARKS << 3
+NEGATED, REPORTED, TARGETED = 1, 2, 4
+#: Factors of the arcs that mark a trigger.
+FACTOR = {NEGATED: 0.01, REPORTED: 0.25, TARGETED: 2.0}
+Arc = tuple[int, int, float]
+
+
+def is_trigger(symbol: int) -> bool:
+    return symbol & 7 in (INSULT, THREAT)
+
+
+def mark(symbol: int, bit: int) -> tuple[int, float]:
+    """A trigger with this mark, and the factor of the arc; 1 if it has the mark already."""
+    return symbol | bit << 3, 1.0 if symbol >> 3 & bit else FACTOR[bit]
+
+
 @dataclass
 class Transducer:
-    """Deterministic: (state, symbol) -> (state, output symbol)."""
+    """Deterministic and weighted: (state, symbol) -> (state, output symbol, factor)."""
 
     states: int
-    arcs: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
+    arcs: dict[tuple[int, int], Arc] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol), (state, symbol))
-
-    def compose(self, other: Transducer, symbols: int) -> Transducer:
-        """Reads with this one and gives its output to ``other``."""
+    def compose(self, other: Transducer) -> Transducer:
+        """Reads with this one and gives its output to ``other``; factors are multiplied."""
         out = Transducer(self.states * other.states)
         for a in range(self.states):
             for b in range(other.states):
-                for s in range(symbols):
-                    na, mid = self.step(a, s)
-                    nb, end = other.step(b, mid)
-                    out.arcs[a * other.states + b, s] = (na * other.states + nb, end)
+                for s in range(SYMBOLS):
+                    na, mid, x = self.arcs[a, s]
+                    nb, end, y = other.arcs[b, mid]
+                    out.arcs[a * other.states + b, s] = (na * other.states + nb, end, x * y)
         return out
 
-
-def marked(symbol: int, mark: int) -> int:
-    """Output symbols: a class in the low three bits, marks above."""
-    return symbol | mark << 3
+    def table(self, symbols: int) -> list[list[Arc]]:
+        return [[self.arcs[state, s] for s in range(symbols)] for state in range(self.states)]
 
 
-def within(opens: int, reach: int, mark: int) -> Transducer:
-    """Marks triggers up to ``reach`` words after a word of the class ``opens``."""
+def within(opens: int, reach: int, bit: int) -> Transducer:
+    """Marks triggers up to ``reach`` words after a word of the class ``opens``, in the same clause."""
     t = Transducer(reach + 1)
     for state in range(reach + 1):
-        for symbol in range(MARKS << 3):
+        for symbol in range(SYMBOLS):
             kind = symbol & 7
-            trigger = kind in (INSULT, THREAT)
-            after = reach if kind == opens else max(state - 1, 0)
-            t.arcs[state, symbol] = (after, symbol | mark << 3 if trigger and state else symbol)
+            after = reach if kind == opens else 0 if kind == STOP else state if kind == QUOTE else max(state - 1, 0)
+            t.arcs[state, symbol] = (after, *(mark(symbol, bit) if state and is_trigger(symbol) else (symbol, 1.0)))
     return t
 
 
 def reported() -> Transducer:
-    """Marks triggers after a verb of saying (to the end of the clause) and between quotes."""
+    """Marks triggers after a verb of saying (bit 1, to the end of the clause) and between quotes (bit 2, over clauses)."""
     t = Transducer(4)
     for state in range(4):
-        for symbol in range(MARKS << 3):
+        for symbol in range(SYMBOLS):
             kind = symbol & 7
-            said, quoted = state & 1, state & 2
-            after = (1 if kind == REPORT else said) | ((quoted ^ 2) if kind == QUOTE else quoted)
-            t.arcs[state, symbol] = (after, symbol | 2 << 3 if kind in (INSULT, THREAT) and state else symbol)
+            after = {REPORT: state | 1, QUOTE: state ^ 2, STOP: state & 2}.get(kind, state)
+            t.arcs[state, symbol] = (after, *(mark(symbol, REPORTED) if state and is_trigger(symbol) else (symbol, 1.0)))
     return t
 
 
-def weighing() -> Transducer:
-    """Keeps marked triggers and writes everything else as OTHER."""
+def passing(kind: int, needs: int) -> Transducer:
+    """Lets triggers of this kind through if they have the marks ``needs``; otherwise they become OTHER."""
     t = Transducer(1)
-    for symbol in range(MARKS << 3):
-        t.arcs[0, symbol] = (0, symbol if symbol & 7 in (INSULT, THREAT) else OTHER)
+    for symbol in range(SYMBOLS):
+        fails = symbol & 7 == kind and symbol >> 3 & needs != needs
+        t.arcs[0, symbol] = (0, OTHER if fails else symbol, 1.0)
     return t
 
 
-GRAMMAR = (
-    within(NEGATION, 3, 1).compose(reported(), MARKS << 3).compose(within(TARGET, 3, 4), MARKS << 3).compose(weighing(), MARKS << 3)
-)
-# One (next state, output) table by state and input class.
-TABLE = [[GRAMMAR.step(state, symbol) for symbol in range(7)] for state in range(GRAMMAR.states)]
-FEATURES = 2 * MARKS + 4
+#: (next state, output, factor) by state and symbol: from the left over classes, from the right over its output.
+LEFT = within(NEGATION, 3, NEGATED).compose(reported()).compose(within(TARGET, 4, TARGETED)).table(8)
+RIGHT = within(TARGET, 3, TARGETED).compose(passing(INSULT, 0)).compose(passing(THREAT, TARGETED)).table(SYMBOLS)
+#: Of a text: weights by kind and mark, which explain a score, then what its clauses are judged by.
+FEATURES = 2 * MARKS + 3
+JUDGED = slice(2 * MARKS, FEATURES)
 
 
 class Lexicon:
@@ -150,28 +167,46 @@ class Lexicon:
                 return INSULT, self.stems[word[:n]]
         return OTHER, 0.0
 
+    def clauses(self, text: str) -> list[list[tuple[int, float]]]:
+        """The matches of every clause that has words: (output symbol, weight times factors), last one first."""
+        out: list[list[tuple[int, float]]] = []
+        state, read, hit = 0, [], False
+        for t in [*TOKEN.findall(text.lower()), "\n"]:
+            if t in QUOTES:
+                state = LEFT[state][QUOTE][0]
+            elif t in END:
+                if read:
+                    out.append(from_the_right(read) if hit else [])
+                state, read, hit = 0 if t == "\n" else LEFT[state][STOP][0], [], False
+            else:
+                kind, weight = self.look_up(t)
+                state, symbol, factor = LEFT[state][kind]
+                read.append((symbol, weight * factor))
+                hit = hit or is_trigger(symbol)
+        return out
+
     def features(self, text: str) -> list[float]:
-        """Weights of triggers by kind and mark, best clause, clauses with triggers, triggers, triggers per word (all damped)."""
+        """Weights of matches by kind and mark; best clause, sum of clauses, sum per clause (all damped)."""
         out = np.zeros(FEATURES)
-        low = text.lower()
-        tokens = TOKEN.findall(low)
-        if not any(self.trigger(t) for t in set(tokens)):
+        if not any(self.trigger(t) for t in set(TOKEN.findall(text.lower()))):
             return out.tolist()
-        best, clauses, triggers = 0.0, 0, 0
-        state, score, hit = 0, 0.0, False
-        for t in [*tokens, "\n"]:
-            if t in END:
-                best, clauses = max(best, score), clauses + hit
-                state, score, hit = 0, 0.0, False
-                continue
-            kind, weight = (QUOTE, 0.0) if t in QUOTES else self.look_up(t)
-            state, symbol = TABLE[state][kind]
-            if symbol & 7:
-                out[(symbol >> 3) + MARKS * (symbol & 7 == THREAT)] += weight
-                score, hit, triggers = score + weight, True, triggers + 1
-        out[: 2 * MARKS] = np.log1p(out[: 2 * MARKS])
-        out[2 * MARKS :] = np.log1p(best), np.log1p(clauses), np.log1p(triggers), np.log1p(100 * triggers / max(len(tokens), 1))
-        return out.tolist()
+        clauses = self.clauses(text)
+        for symbol, weight in (match for clause in clauses for match in clause):
+            out[(symbol >> 3) + MARKS * (symbol & 7 == THREAT)] += weight
+        scores = [sum(weight for _, weight in clause) for clause in clauses if clause]
+        if scores:
+            out[JUDGED] = max(scores), sum(scores), sum(scores) / len(clauses)
+        return np.log1p(out).tolist()
+
+
+def from_the_right(read: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """The triggers of a clause that pass the transducers that read it from the right."""
+    out, state = [], 0
+    for symbol, weight in reversed(read):
+        state, symbol, factor = RIGHT[state][symbol]
+        if is_trigger(symbol):
+            out.append((symbol, weight * factor))
+    return out
 
 
 def word_groups(column: pa.Array) -> list:
@@ -187,8 +222,10 @@ def word_groups(column: pa.Array) -> list:
 
 def learn_lexicon(sample: DataFrame, least_texts: int = 4, least_odds: float = 25.0) -> Lexicon:
     """Words and beginnings far more frequent in toxic texts than in others, with the logarithm of the odds as weight."""
-    found = add_columns(sample, "text", [("found", "array<string>"), ("name", "bigint")], word_groups).drop("text")
-    once = found.groupBy("name", "label").agg(F.min_by("found", "id").alias("found"))
+    found = add_columns(sample, "text", [("found", "array<string>"), ("name", "bigint")], word_groups)
+    found = stage(found.withColumn("key", F.struct("id", F.xxhash64("text").alias("own"))).drop("text"), "toxicity-words")
+    first = found.groupBy("name", "label").agg(F.min("key").alias("key"))
+    once = found.join(first, ["name", "label", "key"], "left_semi")
     sizes = {r.label: r["count"] for r in once.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -212,27 +249,24 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.lexicon.features(t or "") for t in texts]).reshape(-1, FEATURES)
-        return squash(self.base + x @ self.weights)
+        return squash(self.base + x[:, JUDGED] @ self.weights)
 
 
 def fixed_scorer(lexicon: Lexicon) -> Scorer:
-    weights = np.zeros(FEATURES)
-    weights[2 * MARKS] = 3.0
-    return Scorer(lexicon, -4.0, weights)
+    return Scorer(lexicon, -4.0, np.array([3.0, 0.0, 0.0]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", fit_rows: int = FIT_ROWS) -> Scorer:
     sample = stage(labelled_sample(docs, labels, label, train, fit_rows), "toxicity-sample")
     lexicon = learn_lexicon(sample)
-    names = [f"f{k}" for k in range(FEATURES)]
-    got = add_columns(
-        sample, "text", [(n, "double") for n in names], lambda c: list(np.array([lexicon.features(t or "") for t in c.to_pylist()]).reshape(-1, FEATURES).T)
-    )
+    names = [f"f{k}" for k in range(FEATURES)][JUDGED]
+    judged = lambda c: list(np.array([lexicon.features(t or "") for t in c.to_pylist()]).reshape(-1, FEATURES).T[JUDGED])
+    got = add_columns(sample, "text", [(n, "double") for n in names], judged)
     rows = got.drop("text").toPandas().sort_values(["id", *names], ignore_index=True)
     x, y = rows[names].to_numpy(float), rows["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return fixed_scorer(lexicon)
-    base, weights = lasso_logistic(x, y, 1e-4, 1000)
+    base, weights = lasso_logistic(x, y, 1e-4, 2000, positive=True)
     return Scorer(lexicon, base, weights)
 
 

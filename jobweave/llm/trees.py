@@ -132,8 +132,8 @@ def rule_matrix(rules: list[tuple], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Intercept and weights of an L1-penalised logistic regression, by accelerated proximal steps."""
+def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400, positive: bool = False) -> tuple[float, np.ndarray]:
+    """Intercept and weights of an L1-penalised logistic regression, by accelerated proximal steps; with ``positive`` no weight is below 0."""
     n = max(len(x), 1)
     full = np.concatenate([np.ones((len(x), 1)), x], 1)
     v = np.ones(full.shape[1])
@@ -146,7 +146,8 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
     for _ in range(steps):
         g = full.T @ (squash(full @ z) - y) / n
         new = z - step * g
-        new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
+        size = new[1:] if positive else np.abs(new[1:])
+        new[1:] = np.sign(new[1:]) * np.maximum(size - step * penalty, 0)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / after * (new - w)
         w, t = new, after

@@ -286,6 +286,58 @@ def test_grammar_tells_clauses_apart():
     assert not any(lexicon.features("a kind day. nothing else")) and not any(lexicon.features(""))
 
 
+def plain_matches(lexicon, text):
+    """Scores of the clauses with words, by looking around each trigger; no automaton."""
+    words, scores = toxicity.WORDS, []
+    of = lambda t, kind: t in words[kind].split()
+    for line in text.lower().split("\n"):
+        tokens, quoted, clauses = toxicity.TOKEN.findall(line), False, [[]]
+        for t in tokens:
+            if t in toxicity.QUOTES:
+                quoted = not quoted
+            elif t in toxicity.END:
+                clauses.append([])
+            else:
+                clauses[-1].append((t, quoted))
+        for clause in clauses:
+            total = 0.0
+            for k, (t, inside) in enumerate(clause):
+                kind, weight = lexicon.look_up(t)
+                before = lambda kind, n: any(of(w, kind) for w, _ in clause[max(k - n, 0) : k])  # noqa: E731, B023
+                aimed = before(toxicity.TARGET, 4) or any(of(w, toxicity.TARGET) for w, _ in clause[k + 1 : k + 4])
+                if kind == toxicity.INSULT or kind == toxicity.THREAT and aimed:
+                    total += weight * (0.01 if before(toxicity.NEGATION, 3) else 1) * (0.25 if inside or before(toxicity.REPORT, k) else 1) * (2 if aimed else 1)
+            if clause:
+                scores.append(total)
+    return scores
+
+
+def test_composed_transducers_equal_a_plain_clause_matcher():
+    rng = random.Random(8)
+    lexicon = toxicity.Lexicon({"blork": 2.5}, {"zwab": 3.0})
+    some = ["idiot", "scum", "blork", "zwabbel", "kill", "hurt", "you", "them", "not", "never", "said", "calls", "tree", "runs", "green", '"', "»", ".", "!", "\n"]
+    for _ in range(600):
+        text = " ".join(rng.choices(some, k=rng.randrange(40)))
+        got = [sum(w for _, w in c) for c in lexicon.clauses(text)]
+        assert np.allclose(got, plain_matches(lexicon, text)), text
+
+
+def test_equal_words_in_other_clauses_get_other_verdicts(spark):
+    fixed = toxicity.fixed_scorer(toxicity.Lexicon())
+    rng = random.Random(5)
+    data = [(k, f"{sentence(rng, 6)}. {'you are an idiot' if k % 2 else 'you are not an idiot'}. {sentence(rng, 6)}", k % 2) for k in range(200)]
+    docs = spark.createDataFrame([d[:2] for d in data], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in data], "doc_id bigint, toxic int")
+    learned = toxicity.learn(docs, labels, F.lit(True))
+    for scorer in (fixed, learned):
+        assert (scorer.weights >= 0).all()
+        bad, denied, quoted = scorer.score(["you are an idiot", "you are not an idiot, never an idiot", '"you are fine. you are an idiot"'])
+        assert bad >= 0.3 > denied and quoted < bad
+    said, direct, frost, threat = fixed.score(["he said idiot", '"Stop." you idiot', "the frost will kill the plants", "I will kill you"])
+    assert direct > said and threat > frost == fixed.score([""])[0]
+    assert direct >= 0.3 > max(said, frost)
+
+
 def test_quality_on_held_out_rows(spark):
     def junk(rng):
         return rng.choice([" ".join([w] * 9) for w in sentence(rng, 3).split()]) + sentence(rng, 20).upper().replace(" ", "!! ")
