@@ -7,7 +7,7 @@ factor, and composition multiplies the factors:
 * negation marks triggers (insults and threats) up to three words after a negation, factor 0.01,
 * reported speech marks triggers after a verb of saying up to the end of the clause, and
   between quotes, which outlive clauses but not lines, factor 0.25,
-* target marks triggers up to four words after a target word, factor 2,
+* target marks triggers up to four words after a target word, factor 2; who says something is no target of it,
 * target from the right marks those up to three words before one, factor 2 unless marked already,
 * insult lets insults through as a match, marked or not,
 * threat lets threats through only with a target: `I will kill you`, not `the frost will kill the plants`.
@@ -103,13 +103,13 @@ class Transducer:
         return [[self.arcs[state, s] for s in range(symbols)] for state in range(self.states)]
 
 
-def within(opens: int, reach: int, bit: int) -> Transducer:
-    """Marks triggers up to ``reach`` words after a word of the class ``opens``, in the same clause."""
+def within(opens: int, reach: int, bit: int, closes: tuple[int, ...] = (STOP,)) -> Transducer:
+    """Marks triggers up to ``reach`` words after a word of the class ``opens``, unless a symbol of ``closes`` is between."""
     t = Transducer(reach + 1)
     for state in range(reach + 1):
         for symbol in range(SYMBOLS):
             kind = symbol & 7
-            after = reach if kind == opens else 0 if kind == STOP else state if kind == QUOTE else max(state - 1, 0)
+            after = reach if kind == opens else 0 if kind in closes else state if kind == QUOTE else max(state - 1, 0)
             t.arcs[state, symbol] = (after, *(mark(symbol, bit) if state and is_trigger(symbol) else (symbol, 1.0)))
     return t
 
@@ -135,7 +135,7 @@ def passing(kind: int, needs: int) -> Transducer:
 
 
 #: (next state, output, factor) by state and symbol: from the left over classes, from the right over its output.
-LEFT = within(NEGATION, 3, NEGATED).compose(reported()).compose(within(TARGET, 4, TARGETED)).table(8)
+LEFT = within(NEGATION, 3, NEGATED).compose(reported()).compose(within(TARGET, 4, TARGETED, (STOP, REPORT))).table(8)
 RIGHT = within(TARGET, 3, TARGETED).compose(passing(INSULT, 0)).compose(passing(THREAT, TARGETED)).table(SYMBOLS)
 #: Of a text: weights by kind and mark, which explain a score, then what its clauses are judged by.
 FEATURES = 2 * MARKS + 3

@@ -304,7 +304,8 @@ def plain_matches(lexicon, text):
             for k, (t, inside) in enumerate(clause):
                 kind, weight = lexicon.look_up(t)
                 before = lambda kind, n: any(of(w, kind) for w, _ in clause[max(k - n, 0) : k])  # noqa: E731, B023
-                aimed = before(toxicity.TARGET, 4) or any(of(w, toxicity.TARGET) for w, _ in clause[k + 1 : k + 4])
+                heard = max((j + 1 for j in range(k) if of(clause[j][0], toxicity.REPORT)), default=0)
+                aimed = any(of(w, toxicity.TARGET) for w, _ in clause[max(k - 4, heard, 0) : k]) or any(of(w, toxicity.TARGET) for w, _ in clause[k + 1 : k + 4])
                 if kind == toxicity.INSULT or kind == toxicity.THREAT and aimed:
                     total += weight * (0.01 if before(toxicity.NEGATION, 3) else 1) * (0.25 if inside or before(toxicity.REPORT, k) else 1) * (2 if aimed else 1)
             if clause:
