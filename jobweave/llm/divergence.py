@@ -166,11 +166,13 @@ def kept_terms(words: DataFrame, least: int = LEAST) -> DataFrame:
     for number, size in enumerate(level_sizes(longest), 1):
         keyed = live.withColumn("prefix", F.substring("term", 1, size))
         here = F.element_at("docs", F.least(F.lit(number), F.size("docs")))
-        kept = keyed.groupBy("lang", "prefix").agg(F.sum(here).alias("here")).where(F.col("here") >= least)
-        rest = stage(keyed.join(kept, ["lang", "prefix"], "left_semi").drop("prefix"), "iceberg")
-        complete.append(rest.where(F.octet_length("term") < size).select("lang", "term"))
-        live = rest.where(F.octet_length("term") >= size)
-    return reduce(DataFrame.unionAll, complete).distinct()
+        frequent = keyed.groupBy("lang", "prefix").agg(F.sum(here).alias("here")).where(F.col("here") >= least)
+        kept = stage(frequent.select("lang", "prefix"), "iceberg-prefixes")
+        complete.append(kept.where(F.octet_length("prefix") < size).withColumnRenamed("prefix", "term"))
+        if size <= longest:
+            longer = keyed.where(F.octet_length("term") >= size)
+            live = stage(longer.join(kept, ["lang", "prefix"], "left_semi").drop("prefix"), "iceberg")
+    return reduce(DataFrame.unionAll, complete)
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
