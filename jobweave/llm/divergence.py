@@ -47,7 +47,7 @@ from jobweave.session import stage
 #: Documents that must hold a kept term; places of the term report.
 LEAST, PLACES = 10, 10
 #: Counts that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 21
 #: Kept terms and sources that meet in one block.
 TERMS, SOURCES = 1024, 512
 SCALE = 1_000_000_000
