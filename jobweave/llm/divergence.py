@@ -59,8 +59,8 @@ _SLICE = 1 << 20
 
 
 def level_sizes(longest: int) -> list[int]:
-    """Prefix sizes in bytes: 8, then doubling, until one is longer than the longest term."""
-    sizes = [8]
+    """Prefix sizes in bytes: 6, then doubling, until one is longer than the longest term."""
+    sizes = [6]
     while sizes[-1] <= longest:
         sizes.append(sizes[-1] * 2)
     return sizes
