@@ -9,9 +9,11 @@ Spark sums it, and only that small table is solved in Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from jobweave.session import stage
 KEY = "industry_group"
 JOB = [KEY, "job_id"]
 FEATURES = "array<struct<f:string,v:double>>"
+HELD_PRODUCTS = 4 << 20  # sums of products a task holds before it sends them
 
 
 # --- leftover skills as context ---------------------------------------------------
@@ -62,14 +65,58 @@ def tfidf_rows(terms: DataFrame, weights: DataFrame) -> DataFrame:
 def gram(rows: DataFrame, column: str) -> DataFrame:
     """Sums of products of features over the jobs of an industry: (industry_group, f, g, s), f <= g.
 
-    A job multiplies only its own few features; sums are combined before the shuffle.
+    A task adds up the products of its rows as one small matrix per industry; only those are shuffled.
     """
-    products = rows.select(KEY, F.explode(column).alias("a"), column).select(KEY, "a", F.explode(column).alias("b"))
-    return (
-        products.where("a.f <= b.f")
-        .groupBy(KEY, F.col("a.f").alias("f"), F.col("b.f").alias("g"))
-        .agg(F.sum(F.col("a.v") * F.col("b.v")).alias("s"))
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Products] = {}
+        for batch in batches:
+            lists = batch.column(column)
+            flat, industries = lists.flatten(), batch.column(KEY).dictionary_encode()
+            coded, v = flat.field("f").dictionary_encode(), flat.field("v").to_numpy(zero_copy_only=False)
+            names, features = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            owner = industries.indices.to_numpy()[row]
+            order = np.argsort(owner, kind="stable")
+            found, starts = np.unique(owner[order], return_index=True)
+            for code, at in zip(found, np.split(order, starts[1:])):
+                held.setdefault(industries.dictionary[int(code)].as_py(), Products()).add(row[at], features[at], v[at], names)
+            if sum(len(p.at) ** 2 for p in held.values()) > HELD_PRODUCTS:
+                yield from (p.batch(name) for name, p in held.items())
+                held = {}
+        yield from (p.batch(name) for name, p in held.items())
+
+    partial = rows.select(KEY, column).mapInArrow(run, f"{KEY} string, f string, g string, s double")
+    return partial.groupBy(KEY, "f", "g").agg(F.sum("s").alias("s"))
+
+
+class Products:
+    """Sums of products of an industry's features in one task, and how many rows have both."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.sums, self.times = np.zeros((0, 0)), np.zeros((0, 0))
+
+    def add(self, row: np.ndarray, feature: np.ndarray, v: np.ndarray, names: list[str]) -> None:
+        rows, r = np.unique(row, return_inverse=True)
+        mine, f = np.unique(feature, return_inverse=True)
+        x = np.bincount(r * len(mine) + f, v, len(rows) * len(mine)).reshape(len(rows), len(mine))
+        has = (np.bincount(r * len(mine) + f, minlength=x.size) > 0).astype(float).reshape(x.shape)
+        to = np.array([self.at.setdefault(names[i], len(self.at)) for i in mine])
+        more = len(self.at) - len(self.sums)
+        if more:
+            self.sums, self.times = (np.pad(m, (0, more)) for m in (self.sums, self.times))
+        self.sums[np.ix_(to, to)] += x.T @ x
+        self.times[np.ix_(to, to)] += has.T @ has
+
+    def batch(self, industry: str) -> pa.RecordBatch:
+        names = sorted(self.at)
+        place = np.array([self.at[name] for name in names])
+        f, g = np.nonzero(np.triu(self.times[np.ix_(place, place)]))
+        listed = pa.array(names, pa.string())
+        return pa.RecordBatch.from_pydict(
+            {KEY: pa.repeat(pa.scalar(industry, pa.string()), len(f)), "f": listed.take(pa.array(f)), "g": listed.take(pa.array(g)), "s": self.sums[place[f], place[g]]}
+        )
 
 
 def _square(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
