@@ -144,6 +144,7 @@ def residual_context(rows: DataFrame, parts: int = fv.SVD_COMPONENTS) -> DataFra
         lead = np.hstack([lead, np.zeros((len(names), parts - lead.shape[1]))])
         return pd.DataFrame({KEY: pdf[KEY].iloc[0], "f": names, "d": list(lead)})
 
+    rows = stage(rows, "tfidf")  # read for the directions and for the coordinates
     axes = gram(rows, "vec").groupBy(KEY).applyInPandas(directions, f"{KEY} string, f string, d array<double>")
     axes = stage(axes, "axes")
     sums = [F.sum(F.col("x.v") * F.col("d")[i]).alias(f"residual_context_{i + 1}") for i in range(parts)]

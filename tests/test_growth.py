@@ -106,3 +106,10 @@ def test_products_leave_a_task_as_sums(spark, monkeypatch):
 def test_a_row_meets_few_blocks():
     """Chosen_k ships a row once per block of the clusters it asks: at 4,096 rows a block that was 147 GB at 6 GB of input."""
     assert silhouette.BLOCK_ROWS >= 16384 and silhouette.BLOCK_ROWS * silhouette.CHUNK_ROWS <= 4 << 20
+
+
+def test_term_vectors_are_made_once(spark, monkeypatch):
+    rows = [("g", i, [("t", 1.0), ("u", float(i))]) for i in range(20)]
+    df = spark.createDataFrame(rows, f"industry_group string, job_id long, vec {regression.FEATURES}")
+    seen = staged_rows(monkeypatch, regression)
+    assert regression.residual_context(df).count() == 20 and seen["tfidf"] == 20
