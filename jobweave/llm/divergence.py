@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm.arrow import slices, small_batches, text_bytes, whole_groups
 from jobweave.llm.tally import Tally
-from jobweave.llm.words import IS_LETTER, LOWER, find_words
+from jobweave.llm.words import IS_LETTER, LOWER, find_words, mix
 from jobweave.operators.ordering import rank_rows, top_rows
 from jobweave.session import stage
 
@@ -75,20 +75,71 @@ def same_bytes(a: bytes, b: bytes) -> int:
     return low
 
 
-def sorted_terms(low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct terms at these places in byte order, the rank of each place, and the bytes that each shares with the one before."""
-    terms = [low[a:b].tobytes() for a, b in zip(start, stop)]
-    order = np.array(sorted(range(len(terms)), key=terms.__getitem__), np.int64)
-    rank = np.empty(len(terms), np.int64)
-    rank[order] = np.arange(len(terms))
-    terms = [terms[k] for k in order]
-    at = start[order][:, None] + np.arange(_SHOWN)
-    head = np.where(at < stop[order][:, None], low[np.minimum(at, len(low) - 1)], 0)
-    differs = head[1:] != head[:-1]
+def sorted_terms(low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different terms at these places: their byte order, the bytes that each shares with the one before in it, and a 64-bit mark of each.
+
+    Terms hold no zero byte, so their first bytes, filled up with zeros, compare like the terms as three numbers;
+    only longer terms that begin alike are compared as bytes.
+    """
+    at = start[:, None] + np.arange(_SHOWN)
+    head = np.where(at < stop[:, None], low[np.minimum(at, len(low) - 1)], 0).astype(np.uint8)
+    parts = head.view(">u8").astype(np.uint64)
+    order = np.lexsort(parts.T[::-1])
+    alike = (parts[order][1:] == parts[order][:-1]).all(1)
+    for a, b in zip(np.flatnonzero(alike & ~np.append(False, alike[:-1])), np.flatnonzero(alike & ~np.append(alike[1:], False)) + 2):
+        order[a:b] = sorted(order[a:b], key=lambda k: low[start[k] : stop[k]].tobytes())
+    differs = head[order][1:] != head[order][:-1]
     shared = np.where(differs.any(1), differs.argmax(1), _SHOWN)
-    for k in np.flatnonzero(shared == _SHOWN):
-        shared[k] = same_bytes(terms[k], terms[k + 1])
-    return terms, rank, shared
+    for k in np.flatnonzero(alike):
+        shared[k] = same_bytes(*(low[start[x] : stop[x]].tobytes() for x in order[k : k + 2]))
+    mark = (stop - start).astype(np.uint64)
+    for part in parts.T:
+        mark = mix(mark + part)
+    return order, shared, mark
+
+
+class Words:
+    """The words that a task holds, numbered as they come: found by a 64-bit key, told apart by a second one, their bytes end to end."""
+
+    def __init__(self):
+        self.keys, self.marks, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.langs, self.sizes, self.data = [], [], []
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Numbers of words with different keys, and the places of the new ones, to be added next; None if a key belongs to another word here."""
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        known = np.append(self.keys, np.uint64(0))[at] == keys[order]
+        known &= at < len(self)
+        old = at[known]
+        if (self.marks[old] != marks[order[known]]).any():
+            return None
+        number = np.empty(len(keys), np.int64)
+        number[order[known]] = self.numbers[old]
+        fresh, at = order[~known], at[~known]
+        new = np.sort(fresh)  # in the order given, terms beside their neighbours
+        number[new] = len(self) + np.arange(len(new))
+        self.keys, self.marks, self.numbers = (
+            np.insert(mine, at, x[fresh]) for mine, x in ((self.keys, keys), (self.marks, marks), (self.numbers, number))
+        )
+        return number, new
+
+    def add(self, langs: np.ndarray, low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        size = stop - start
+        self.langs.append(langs)
+        self.sizes.append(size)
+        self.data.append(low[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+
+    def columns(self, names: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Language and bytes of every word, in order of their numbers."""
+        none = [np.zeros(0, np.int64)]
+        ends = np.append(0, np.cumsum(np.concatenate(self.sizes or none)))
+        data = np.concatenate(self.data or [np.zeros(0, np.uint8)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+        return pa.array(names, pa.string()).take(pa.array(np.concatenate(self.langs or none))), words
 
 
 def lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -97,17 +148,16 @@ def lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task, a row for each language and term, as ``TERM_ROWS`` says."""
-    words: dict[tuple[str, bytes], int] = {}
-    sources: dict[str, int] = {}
+    words, tongues, sources = Words(), {}, {}
     fresh, found = Tally(), Tally()
 
     def rows() -> Iterator[pa.RecordBatch]:
         # every word is in both: it begins to differ somewhere, and it occurs
         (level_keys, docs), (source_keys, n) = fresh.merge(), found.merge()
-        names, labels = list(words), pa.array(list(sources), pa.string())
+        (langs, terms), labels = words.columns(list(tongues)), pa.array(list(sources), pa.string())
         depth = int((level_keys & 255).max(initial=0)) + 1
-        for a in range(0, len(names), 1 << 14):
-            b = min(a + (1 << 14), len(names))
+        for a in range(0, len(words), 1 << 14):
+            b = min(a + (1 << 14), len(words))
             i, j = np.searchsorted(level_keys, [a << 8, b << 8])
             by_level = np.zeros((b - a, depth), np.int64)
             by_level[(level_keys[i:j] >> 8) - a, level_keys[i:j] & 255] = docs[i:j]
@@ -116,8 +166,8 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             each = np.bincount((source_keys[i:j] >> 32) - a, minlength=b - a)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([w[0] for w in names[a:b]], pa.string()),
-                    pa.array([w[1] for w in names[a:b]], pa.binary()),
+                    langs.slice(a, b - a),
+                    terms.slice(a, b - a).cast(pa.binary()),
                     lists(np.full(b - a, depth), pa.array(by_level.ravel())),
                     lists(each, labels.take(pa.array(source_keys[i:j] & 0xFFFFFFFF))),
                     lists(each, pa.array(n[i:j])),
@@ -133,25 +183,40 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, owner, start, stop = find_words(data, ends, IS_LETTER)
             if not len(name):
                 continue
-            _, first, place = np.unique(name, return_index=True, return_inverse=True)
-            terms, rank, shared = sorted_terms(LOWER[data], start[first], stop[first])
-            pair, n = np.unique(owner * len(terms) + rank[place], return_counts=True)
-            doc, term = pair // len(terms), pair % len(terms)
+            low = LOWER[data]
+            name, first, place = np.unique(name, return_index=True, return_inverse=True)
+            start, stop, terms = start[first], stop[first], len(first)
+            order, shared, mark = sorted_terms(low, start, stop)
+            rank = np.empty(terms, np.int64)
+            rank[order] = np.arange(terms)
+            pair, n = np.unique(owner * terms + rank[place], return_counts=True)
+            doc, term = pair // terms, pair % terms
             level = np.zeros(len(pair), np.int64)
             same = doc[1:] == doc[:-1]
             for size in level_sizes(int(shared.max(initial=0))):
                 code = np.concatenate([[0], np.cumsum(shared < size)])
                 level[1:] += same & (code[term[1:]] == code[term[:-1]])
             own, lang = np.unique(np.array(langs[a:b], object).astype(str), return_inverse=True)
-            found_words, place = np.unique(lang[doc] * len(terms) + term, return_inverse=True)
-            spoken = [str(x) for x in own]
-            number = np.array([words.setdefault((spoken[k // len(terms)], terms[k % len(terms)]), len(words)) for k in found_words.tolist()])[place]
+            found_words, place = np.unique(lang[doc] * terms + term, return_inverse=True)
+            # a word of a language is looked up once a slice, and its bytes are kept when it first comes
+            at = order[found_words % terms]
+            tongue = np.array([tongues.setdefault(str(x), len(tongues)) for x in own], np.int64)[found_words // terms]
+            keys = mix(name[at] + mix(tongue.astype(np.uint64) + np.uint64(1)))
+            marks = mark[at] + tongue.astype(np.uint64)
+            known = words.find(keys, marks)
+            if known is None:
+                yield from rows()
+                words, sources, fresh, found = Words(), {}, Tally(), Tally()
+                known = words.find(keys, marks)
+            number, new = known
+            words.add(tongue[new], low, start[at[new]], stop[at[new]])
+            number = number[place]
             origin = np.array([sources.setdefault(x, len(sources)) for x in origins[a:b]], np.int64)
             fresh.add(number << 8 | level, np.ones(len(pair), np.int64))
             found.add(number << 32 | origin[doc], n)
             if fresh.merged + found.merged > 2 * HELD or len(words) > HELD // 4:
                 yield from rows()
-                words, sources, fresh, found = {}, {}, Tally(), Tally()
+                words, sources, fresh, found = Words(), {}, Tally(), Tally()
     yield from rows()
 
 

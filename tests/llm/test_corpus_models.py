@@ -170,3 +170,38 @@ def test_a_prefix_counts_each_document_once():
     assert {t: r["docs"][-1] for t, r in by.items()} == {b"abcdef": 2, b"abcdeg": 1, b"abcdefghi": 1, b"abcdex": 1}
     assert by[b"abcdef"]["docs"][0] == 2 and by[b"abcdefghi"]["docs"][0] == 0  # its first six bytes are another term's
     assert dict(zip(by[b"abcdef"]["sources"], by[b"abcdef"]["counts"])) == {"s": 2, "t": 1}
+
+
+def test_terms_are_sorted_and_marked_as_numbers():
+    """Byte order, shared beginnings and marks of terms, also of long ones that begin alike."""
+    terms = [b"b", b"ab", b"a", b"x" * 24, b"x" * 25, b"x" * 40 + b"y", b"x" * 40, "日本".encode(), "é".encode(), b"abcdefgh", b"abcdefghi"]
+    low, stop = np.frombuffer(b"".join(terms), np.uint8), np.cumsum([len(t) for t in terms])
+    order, shared, mark = divergence.sorted_terms(low, stop - [len(t) for t in terms], stop)
+    assert [terms[k] for k in order] == sorted(terms)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert shared.tolist() == [common(a, b) for a, b in zip(sorted(terms), sorted(terms)[1:])]
+    assert len(set(mark.tolist())) == len(terms)
+
+
+def test_a_task_keeps_the_bytes_of_a_word_once():
+    words, low = divergence.Words(), np.frombuffer(b"onetwothree", np.uint8)
+    keys, marks = np.array([9, 0, 5], np.uint64), np.array([1, 2, 3], np.uint64)
+    number, new = words.find(keys, marks)
+    words.add(np.zeros(3, np.int64)[new], low, np.array([0, 3, 6])[new], np.array([3, 6, 11])[new])
+    again, none = words.find(keys[::-1], marks[::-1])
+    assert again.tolist() == number.tolist()[::-1] and not len(none) and len(words) == 3
+    langs, terms = words.columns(["l"])
+    assert [terms.to_pylist()[k] for k in number] == [b"one", b"two", b"three"] and langs.to_pylist() == ["l"] * 3
+    assert words.find(keys[:1], marks[1:2]) is None  # the key of another word
+
+
+def test_words_of_one_key_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "mix", lambda x: x * np.uint64(0))  # every word has the same key
+    monkeypatch.setattr(divergence, "_SLICE", 1)
+    real = divergence.sorted_terms
+    monkeypatch.setattr(divergence, "sorted_terms", lambda low, start, stop: (*real(low, start, stop)[:2], low[start].astype(np.uint64)))
+    batch = pa.record_batch({"text": ["one", "two", "one", "one"], "lang": ["l"] * 4, "source": ["s"] * 4})
+    rows = [r for b in divergence.term_rows(iter([batch])) for r in b.to_pylist()]
+    assert [(r["term"], r["counts"]) for r in rows] == [(b"one", [1]), (b"two", [1]), (b"one", [2])]
