@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from jobweave.functions.scalars import add_skills
-from jobweave.operators import bundles, robust, skills
+from jobweave.operators import bundles, robust, skew, skills
 from jobweave.operators.ordering import rank_rows, running_total, with_neighbours
 
 
@@ -173,3 +173,44 @@ def test_robust_values_and_gates(spark):
         assert r["coarse_match_premium"] == pytest.approx(sum(w * d for w, d in diffs) / sum(w for w, _ in diffs))
         assert r["n_with_skill"] + r["n_without_skill"] == r["n_samples"] == 20
         assert np.sign(r["median_premium"]) == np.sign(r["coarse_match_premium"]) and r["pure_skill_value"] == r["coarse_match_premium"]
+
+
+@pytest.mark.parametrize("listed", [128, 3, 0])
+def test_pairs_of_short_and_long_industries(spark, monkeypatch, listed):
+    """A list of skills per industry and a join of tokens find the same pairs, with repeated and missing job ids and hot industries."""
+    monkeypatch.setattr(bundles, "LISTED", listed)
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 30)
+    rng = random.Random(3)
+    rows = [(i // 2 if i % 7 == 0 else i if i % 11 else None, "gh"[i % 3 > 1], rng.choices("abcde" if i % 3 > 1 else "abc", k=rng.randint(0, 6))) for i in range(150)]
+    rows += [(500 + i, "lone", ["a"] * (i % 2)) for i in range(4)] + [(600, None, ["a", "b"])]
+    df = spark.createDataFrame(rows, "job_id long, industry_group string, skills_list array<string>")
+    valid = bundles.varying_skills(skills.plain_counts(df), skills.industry_sizes(df))
+    got = {(r.industry_group, r.skill_a, r.skill_b): (r.n_a, r.n_b, r.n_both) for r in bundles.skill_correlations(df, valid, 0.0).collect()}
+    want = {}
+    for g in ("g", "h", "lone"):
+        mine, n = {}, sum(r[1] == g for r in rows)
+        for job, own, tokens in rows:
+            if own == g:
+                mine.setdefault(job, []).extend(set(tokens))
+        cnt = Counter(t for x in mine.values() for t in x)
+        tokens = Counter(t for _, own, x in rows if own == g for t in x)
+        both = Counter((x[i], x[j]) for x in (sorted(t for t in x if tokens[t] > 1 and cnt[t] < n) for x in mine.values()) for i in range(len(x)) for j in range(i + 1, len(x)))
+        for (a, b), k in both.items():
+            if n * k > cnt[a] * cnt[b]:
+                want[g, a, b] = (cnt[a], cnt[b], k)
+    assert got == want and len(want) > 3
+
+
+def test_counts_without_first_appearances(spark):
+    rows = [(1, "g", ["a", "b", "a"]), (2, "g", ["a"]), (2, "g", ["b", "c"]), (3, "h", ["c", "c"]), (4, None, ["a", "a"]), (5, "h", [])]
+    df = spark.createDataFrame(rows, "job_id long, industry_group string, skills_list array<string>")
+    columns = ["industry_group", "skill", "token_cnt", "job_cnt"]
+    want = sorted(skills.skill_counts(skills.job_skills(df)).select(*columns).collect())
+    assert sorted(skills.plain_counts(df).select(*columns).collect()) == want == [("g", "a", 3, 2), ("g", "b", 2, 2), ("h", "c", 2, 1)]
+
+
+def test_no_token_is_joined(spark):
+    """Skill lists are one row per industry: the tokens of postings are neither exploded nor joined."""
+    df = spark.createDataFrame([(i, "g", ["a", "b", "c"][: 1 + i % 3]) for i in range(30)], "job_id long, industry_group string, skills_list array<string>")
+    valid = bundles.varying_skills(skills.plain_counts(df), skills.industry_sizes(df))
+    assert "Generate" not in bundles.listed_skills(df, valid)._jdf.queryExecution().optimizedPlan().toString()
