@@ -149,6 +149,19 @@ def test_flows_end_to_end(spark, tmp_path):
     assert all(r["industry_group"] == "中 行/业" and r["n_samples"] == 50 for r in robust)
 
 
+def test_an_industry_is_one_file_and_few_tasks_list_them(spark, tmp_path, monkeypatch):
+    rows = [(i, f"g {i % 40}/x", 1 + i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "job_id long, industry_group string, cluster int").coalesce(1)
+    path, name = str(tmp_path / "c"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    files.write_clustered(df, path)
+    folders = [p for p in (tmp_path / "c").iterdir() if p.is_dir()]
+    assert len(folders) == 40 and all(len(list(p.iterdir())) == 1 for p in folders)  # no checksum file beside it
+    before = spark.conf.get(name)
+    got = files.read_clustered(spark, path)
+    assert sorted((r.job_id, r.industry_key, r.cluster) for r in got.collect()) == [(i, f"g_{i % 40}_x", c) for i, _, c in rows]
+    assert spark.conf.get(name) == before
+
+
 def test_entry_points(spark):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
