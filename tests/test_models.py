@@ -167,6 +167,32 @@ def test_portions_do_not_change_the_result(spark, monkeypatch):
     assert sorted(map(str, kmeans.fit_all(points.repartition(3), settings).collect())) == whole
 
 
+def test_dealt_restarts_do_not_change_the_result(spark, monkeypatch):
+    points = spark.createDataFrame([r[:3] for r in blobs(4)], "industry_group string, job_id long, features array<double>")
+    settings = kmeans.Settings(max_k=4, restarts=5)
+    whole = sorted(map(str, kmeans.fit_all(points, settings).collect()))
+    seen, fit = [], kmeans._fit_split
+    monkeypatch.setattr(kmeans, "_fit_split", lambda points, deals, *rest: seen.append(deals) or fit(points, deals, *rest))
+    monkeypatch.setattr(kmeans, "SPLIT_BYTES", 0)  # three industries on four cores: two tasks each
+    assert sorted(map(str, kmeans.fit_all(points.repartition(3), settings).collect())) == whole and seen == [2]
+
+
+def test_moving_centroids_meet_the_rows_together(monkeypatch):
+    """One pass over the rows a round, whatever the number of models; of equally near centroids the first has the row."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(700, 4)), np.zeros((5, 4))])
+    square, seeds = (x * x).sum(1), [x[:2], x[5:7], np.zeros((3, 4)), x[9:12]]
+    passes, assigned = [], kmeans._assigned
+    monkeypatch.setattr(kmeans, "_assigned", lambda *a: passes.append(len(a[3])) or assigned(*a))
+    settled, inertia = kmeans._settle(x, square, seeds, 1e-9, 300)
+    assert passes[0] == passes[-1] == 4 and len(passes) < 100
+    for start, found, total in zip(seeds, settled, inertia):
+        alone, mine = kmeans._settle(x, square, [start], 1e-9, 300)
+        assert found == pytest.approx(alone[0], abs=1e-9) and total == pytest.approx(mine[0])
+    n, sums, _ = assigned(x, square, seeds[2], np.array([3]))
+    assert n.tolist() == [len(x), 0, 0] and sums[0] == pytest.approx(x.sum(0))
+
+
 def plain_kmeans(ids, x, counts, restarts, seed=42):
     """Labels of every k as lists: weighted draws, then moves until they are small, one row and centroid at a time."""
     tolerance = x.var(0, ddof=1).mean() * kmeans.TOLERANCE
