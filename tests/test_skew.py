@@ -54,3 +54,32 @@ def test_a_tag_in_every_posting(spark, monkeypatch):
     lookup = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "tag string, vec array<double>")
     out = {r.job_id: r.skill_vec for r in embedding.tag_vectors(rows, tag_list(F.col("job_skills")), lookup, 2).collect()}
     assert len(out) == 40 and all(out[i] == ([0.5, 1.5] if i % 2 else [1.0, 0.0]) for i in out)
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 32, 1])
+def test_tag_means_where_the_rows_lie(spark, monkeypatch, sent):
+    """Repeated and missing job ids, tags and vectors that are listed twice, tags beyond those sent: as by joins."""
+    monkeypatch.setattr(embedding, "TAG_BYTES", sent)
+    rng = random.Random(7)
+    rows = [(i // 2 if i < 20 else i, [rng.choice("abcdefz") for _ in range(i % 6)] + [None] * (i % 2)) for i in range(120)]
+    rows += [(None, ["a"]), (500, None), (501, [None])]
+    lookup = [("a", [1.0, 0.0]), ("b", [0.0, 3.0]), ("c", [2.5, -1.0]), ("d", [7.0, 7.0]), ("e", [0.5, 0.25]), ("b", [8.0, 1.0]), ("unused", [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "job_id long, tags array<string>").repartition(3)
+    out = embedding.tag_vectors(df, F.col("tags"), spark.createDataFrame(lookup, "tag string, vec array<double>"), 2).collect()
+    named, vecs = {}, {}
+    for job_id, tags in rows:
+        named.setdefault(job_id, []).extend(tags or [])
+    for tag, vec in lookup:
+        vecs.setdefault(tag, []).append(vec)
+    for r in out:
+        own = [v for t in named[r.job_id] for v in vecs.get(t, [])] if r.job_id is not None else []
+        assert r.skill_vec == pytest.approx([sum(v[d] for v in own) / len(own) if own else 0.0 for d in range(2)]), r.job_id
+    assert sorted((str(r.job_id), str(r.tags)) for r in out) == sorted((str(i), str(t)) for i, t in rows)
+
+
+def test_tag_vectors_do_not_move(spark, tmp_path):
+    spark.createDataFrame([(i, "a,b" if i % 2 else "a,a,zz") for i in range(40)], "job_id long, job_skills string").write.parquet(f"{tmp_path}/jobs")
+    rows = spark.read.parquet(f"{tmp_path}/jobs")
+    lookup = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "tag string, vec array<double>")
+    plan = embedding.tag_vectors(rows, tag_list(F.col("job_skills")), lookup, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
