@@ -313,6 +313,32 @@ def test_bounds_choose_the_same_k_with_fewer_pairs(spark, monkeypatch, apart):
     assert silhouette.choose_k(points.limit(0), kmeans.Settings(max_k=5)).collect() == []
 
 
+def test_a_distance_is_taken_once_for_all_models(spark, monkeypatch):
+    """Industries that fit into a task get the scores that bounds and pairs give, in blocks, and no distance is taken per model."""
+    for name, value in (("TILE_ROWS", 31), ("CHUNK_ROWS", 7), ("LEAST_PAIRS", 1500)):
+        monkeypatch.setattr(silhouette, name, value)
+    rng = np.random.default_rng(9)
+    rows = []
+    for industry, n in (("g", 150), ("h", 40), ("twice", 30)):
+        x = rng.normal(size=(n, 3)) + 3 * rng.normal(size=(4, 3))[rng.integers(0, 4, n)]
+        labels = np.stack([(x[:, 0] * k).astype(int) % k for k in (2, 3, 4)], 1).tolist()
+        labels[0], labels[1] = [0, 7, None], [1, 1, 1]  # a cluster of one row, a row without a label
+        rows += [(industry, i % 29 if industry == "twice" else i, x[i].tolist(), labels[i]) for i in range(n)]
+    rows.append(("alone", 1, [1.0, 2.0, 3.0], [0, None, None]))
+    points = spark.createDataFrame(rows, "industry_group string, job_id long, features array<double>, labels array<int>").repartition(3)
+    pruned, seen = silhouette._pruned_scores, []
+    monkeypatch.setattr(silhouette, "_pruned_scores", lambda p: seen.append({r[0] for r in p.select("industry_group").distinct().collect()}) or pruned(p))
+    settings = kmeans.Settings(max_k=4)
+    whole = {r.industry_group: (r.k, round(r.silhouette, 9)) for r in silhouette.choose_k(points, settings).collect()}
+    assert seen == [{"twice"}] and set(whole) == {"g", "h", "twice"}
+    exact = {(r.industry_group, r.model): r.silhouette for r in silhouette.silhouette_scores(points).collect()}
+    sizes = points.groupBy("industry_group").agg(F.count(F.lit(1)).alias("n_jobs")).where("industry_group in ('g', 'h')")
+    scores = {(r.industry_group, r.model): r.silhouette for r in silhouette.whole_scores(points, sizes).collect()}
+    assert scores == pytest.approx({k: v for k, v in exact.items() if k[0] in ("g", "h")}, abs=1e-9) and len(scores) == 6
+    monkeypatch.setattr(silhouette, "WHOLE_BYTES", 0)
+    assert {r.industry_group: (r.k, round(r.silhouette, 9)) for r in silhouette.choose_k(points, settings).collect()} == whole
+
+
 def test_vectors(spark):
     lookup = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "tag string, vec array<double>")
     df = spark.createDataFrame([(1, "a,a,b,zz"), (2, "zz"), (3, None)], "job_id long, job_skills string")
