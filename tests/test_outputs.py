@@ -1,6 +1,9 @@
 import importlib
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from jobweave.operators import prompts, warehouse
@@ -166,3 +169,21 @@ def test_entry_points(spark):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns[:2] == ["industry_group", "skill"]
+
+
+def test_folders_on_a_local_path_are_written_by_the_tasks(spark, tmp_path):
+    """The folders and rows that Spark's own writer makes, and no process for each of them."""
+    names = ["a/b c", "50% of: 'x'=[y]", "中文", "", "plain", "q?*#\\^{\x7f", "dots.."]
+    rows = [(n, i, f"t{i}" if i % 3 else None, [1.0]) for i, n in enumerate(names * 5)] + [(None, 99, "none", [2.0])]
+    df = spark.createDataFrame(rows, "industry_group string, job_id long, job_title string, job_vec array<double>").repartition(3)
+    mine, theirs = f"{tmp_path}/mine", f"{tmp_path}/theirs"
+    files.write_clustered(df, f"file://{mine}")
+    df.drop("job_vec").withColumn("industry_key", files.file_key(F.col("industry_group"))).write.partitionBy("industry_key").parquet(theirs)
+    folders = lambda path: sorted(p.name for p in Path(path).iterdir() if not p.name.startswith("."))
+    assert folders(mine) == folders(theirs)
+    assert sorted(map(str, files.read_clustered(spark, mine).collect())) == sorted(map(str, spark.read.parquet(theirs).collect()))
+    assert files.read_clustered(spark, mine).schema == spark.read.parquet(theirs).schema
+    written = list(Path(mine).rglob("*.parquet"))
+    assert written and all("arrow" in pq.read_metadata(p).created_by for p in written)
+    with pytest.raises(AnalysisException):
+        files.write_clustered(df, mine)
