@@ -83,3 +83,10 @@ def test_tag_vectors_do_not_move(spark, tmp_path):
     lookup = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "tag string, vec array<double>")
     plan = embedding.tag_vectors(rows, tag_list(F.col("job_skills")), lookup, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_tag_without_a_vector_is_an_error(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"])], "job_id long, tags array<string>")
+    lookup = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "tag string, vec array<double>")
+    with pytest.raises(ValueError, match="vector of 2 values"):
+        embedding.tag_vectors(rows, F.col("tags"), lookup, 2)
